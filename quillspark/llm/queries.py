@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import mixing, neardup, packing, secrets, toxicity
+from quillspark.llm import extraction, fingerprint, mixing, neardup, packing, ranking, rules, secrets, toxicity, urlfilter
 from quillspark.llm.common import held_out, table, tuned
 
 
@@ -15,12 +15,32 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(tuned(spark), sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(tuned(spark), sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprinted(table(tuned(spark), sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.scored(docs.select("doc_id", "text"), toxicity.trained(docs, labels))
     return scored.select("doc_id", held_out("doc_id", toxicity.FOLDS, toxicity.HELD_FOLD).alias("held_out"), "score", "predicted")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(tuned(spark), sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.scored(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "mix_copy")
 
@@ -33,7 +53,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op5_toxicity, op8_source_mixing, op9_near_duplicates, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_html_extraction, op3_quality_rules, op4_fingerprints, op5_toxicity,
+    op6_url_filter, op7_quality_classifier, op8_source_mixing, op9_near_duplicates, op10_secret_scan,
+)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_source_mixing": """
