@@ -2,19 +2,20 @@
 
 A text is read as sentences, a sentence as windows: its words, and runs of single characters
 joined ("i d i o t"). Windows are folded to lower case ASCII letters; signs inside a word
-vanish. The kernel of two windows sums, over all subsequences of three characters that both
-have within a span of SPAN, the product of decay ** span; each window is scaled by the norm
-of its places, so gaps and inserted characters only weaken a match. A sentence scores as its
-highest window, a text as its highest sentence, through a logistic curve fitted to texts.
+vanish, and a mark stands for its start. The kernel of two windows sums, over all
+subsequences of three characters that both have within a span of SPAN, the product of
+decay ** span; each window is scaled by the norm of its places, so gaps and inserted
+characters only weaken a match. A text's score is a logistic function of its highest window,
+and of how many windows score above 0, in all and by its length.
 
 Training: of labelled sentences, those of clean texts give negative windows, the common ones
 and those that the machine trained so far mistakes; a toxic text's
-sentences give as a witness the window that best tells toxic texts, first by the texts that
-have it, then by the machine trained so far. Copies of witnesses with an inserted character
+sentences give as witnesses the windows that best tell toxic texts, first by the texts that
+have them, then by the machine trained so far. Copies of witnesses with an inserted character
 join them. Landmarks are spread over the witnesses and the negatives; in the feature space
 that they span, a squared-hinge machine is trained by Newton steps.
 
-Null and empty texts have no window and score as a clean text does. Repeated rows score
+Null and empty texts have no window and get the score of that. Repeated rows score
 alike. Without labels of both classes every score is 0.0.
 """
 
@@ -24,6 +25,7 @@ import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -35,16 +37,21 @@ from quillspark.llm.common import appended, held_out, training_sample
 DECAY = 0.85
 SPAN = 6
 LONGEST = 24
-LANDMARKS = 160
+#: Windows with fewer letters have no score.
+SHORTEST = 2
+LANDMARKS = 200
 #: Labelled texts to learn from, at most, of either class; more aren't needed.
 SAMPLE = {0: 2500, 1: 1200}
 #: Windows of clean texts to learn from, at most.
 NEGATIVES = 12_000
-#: Words whose scores a task remembers.
+#: Windows of a toxic text that count as witnesses, and of all texts that are learned from, at most.
+WITNESSES, POSITIVES = 1, 3000
+ROUNDS = 4
+#: Words whose scores a Python worker remembers.
 CACHE = 800_000
 FOLDS, HELD_FOLD = 5, 0
 
-_CODES = 28  # 0: none, 1-26: letters, 27: any other letter or digit
+_CODES = 29  # 0: none, 1-26: letters, 27: any other letter or digit, 28: the window's start
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _SPELLED = re.compile(r"(?<!\w)\w(?:[^\w\n]{1,2}\w(?!\w)){3,}")
 _CODE = np.zeros(128, "uint8")
@@ -61,22 +68,16 @@ def _letter(c: str) -> str:
     return base if base.isascii() and base.isalnum() else "0" if c.isalnum() else ""
 
 
-def fold(word: str) -> bytes:
-    """Codes of the word's letters."""
-    raw = word.encode() if word.isascii() else "".join(c if c.isascii() else _letter(c) for c in word).encode()
-    codes = _CODE[np.frombuffer(raw, "uint8")]
-    return codes[codes > 0].tobytes()
-
-
+_START = bytes([28])
 _FOLD_TABLE = bytes(_CODE.tolist() + [0] * 128)
 _DROP = bytes(i for i in range(256) if i >= 128 or not _CODE[i])
 
 
 def folded(word: str) -> bytes:
-    """As fold, by byte tables."""
+    """Codes of the word's start and letters."""
     if not word.isascii():
         word = "".join([c if c.isascii() else _letter(c) for c in word])
-    return word.encode().translate(_FOLD_TABLE, _DROP)
+    return _START + word.encode().translate(_FOLD_TABLE, _DROP)
 
 
 def _matrix(codes: list[bytes]) -> np.ndarray:
@@ -169,27 +170,22 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4
     return w
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s]
-
-
 def spelled(text: str) -> list[str]:
     """Runs of single characters."""
     return [re.sub(r"\W", "", m[0]) for m in _SPELLED.finditer(text)]
 
 
-def windows(text: str) -> set[str]:
-    """The distinct windows of all sentences."""
-    found = set(text.lower().replace(".", "").replace(",", "").split())
-    found.update(spelled(text))
-    return found
+def windows(text: str) -> list[str]:
+    """The windows of all sentences. None spans sentences, so the whole text is cut at once."""
+    return text.lower().replace(".", "").replace(",", "").split() + spelled(text)
 
 
 class Model:
-    """weights over character triples, offset, and the logistic curve's slope and middle."""
+    """weights over character triples and an offset for windows, and of the logistic function of a text."""
 
-    def __init__(self, weights: np.ndarray | None, offset: float, slope: float, middle: float):
-        self.weights, self.offset, self.slope, self.middle = weights, offset, slope, middle
+    def __init__(self, weights: np.ndarray | None, offset: float):
+        self.weights, self.offset = weights, offset
+        self.logistic = np.zeros(len(describe([])) + 1)
 
     @property
     def name(self) -> str:
@@ -202,10 +198,39 @@ class Model:
             np.maximum.at(got, own[i : i + 8192], linear(parts[i : i + 8192], self.weights))
         return got + self.offset
 
-    def probability(self, highest: float) -> float:
+    def probability(self, scores: list[float]) -> float:
+        """Of a text with those windows."""
         if self.weights is None:
             return 0.0
-        return 1.0 / (1.0 + math.exp(min(50.0, max(-50.0, -self.slope * (highest - self.middle)))))
+        z = float(self.logistic[0] + np.dot(self.logistic[1:], describe(scores)))
+        return 1.0 / (1.0 + math.exp(min(50.0, max(-50.0, -z))))
+
+
+NO_SCORE = -3.0
+
+
+def describe(scores: list[float]) -> list[float]:
+    """The highest score, whole and up to 0.5; how many are above 0, 0.3 and 0.6, as logarithms; those above 0.3 in 100."""
+    above = [s for s in scores if s > 0]
+    some, sure, every = sum(s > 0.3 for s in above), sum(s > 0.6 for s in above), len(scores) + 20
+    most = max(above, default=0.0)
+    return [most, min(0.5, most), math.log1p(len(above)), math.log1p(some), math.log1p(sure), min(3.0, 100 * some / every)]
+
+
+def fitted_logistic(rows: np.ndarray, label: np.ndarray, ridge: float = 0.02) -> np.ndarray:
+    """Offset and weights by Newton's method; features are scaled for the ridge."""
+    scale = rows.std(0) + 1e-6
+    x = np.hstack([np.ones((len(rows), 1)), rows / scale])
+    w = np.zeros(x.shape[1])
+    keep = np.eye(len(w)) * ridge
+    keep[0, 0] = 1e-6
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (label - p) - keep @ w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return np.concatenate([w[:1], w[1:] / scale])
 
 
 #: What a Python worker remembers, of its last model.
@@ -221,31 +246,32 @@ class Scorer:
             _KNOWN.clear()
         self.known = _KNOWN.setdefault(model.name, {})
 
-    def highest(self, texts: list[str | None]) -> list[float]:
+    def windows(self, texts: list[str | None]) -> list[list[float]]:
+        """The scores of each text's windows; short ones have none."""
         model, known = self.model, self.known
-        if model.weights is None:
-            return [0.0] * len(texts)
         if len(known) > CACHE:
             known.clear()
-        found = [windows(t) if t else () for t in texts]
+        found = [windows(t) if t else [] for t in texts]
         got = [list(map(known.get, f)) for f in found]
         new = list({w for f, g in zip(found, got) if None in g for w, s in zip(f, g) if s is None})
         if new:
             codes = [folded(w) for w in new]
-            real = [i for i, c in enumerate(codes) if len(c) > 2]
-            known.update(dict.fromkeys(new, -9.0))
+            real = [i for i, c in enumerate(codes) if len(c) > SHORTEST]
+            known.update(dict.fromkeys(new, NO_SCORE))
             if real:
                 for i, s in zip(real, model.decide([codes[i] for i in real]).tolist()):
                     known[new[i]] = s
             got = [list(map(known.get, f)) if None in g else g for f, g in zip(found, got)]
-        return [max(g, default=-9.0) for g in got]
+        return got
 
     def __call__(self, texts: list[str | None]) -> list[float]:
-        return [self.model.probability(h) for h in self.highest(texts)]
+        if self.model.weights is None:
+            return [0.0] * len(texts)
+        return [self.model.probability(g) for g in self.windows(texts)]
 
 
 def _inserted(code: bytes, k: int) -> bytes:
-    at = 1 + k % (len(code) - 1)
+    at = 2 + k % (len(code) - 1)
     return code[:at] + bytes([1 + k * 7 % 26]) + code[at:]
 
 
@@ -254,64 +280,60 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     seen: dict[str, int] = {}
     for text, label in rows:
         seen.setdefault(text or "", int(label))
-    bags = {0: [], 1: []}
-    for text, label in sorted(seen.items()):
-        bags[label].append({c for w in {w for s in sentences(text) for w in windows(s)} if len(c := folded(w)) > 2})
-    if not bags[0] or not bags[1]:
-        return Model(None, 0.0, 1.0, 0.0)
-    clean: dict[bytes, int] = {}
-    toxic: dict[bytes, int] = {}
-    for bag, n in ((bags[0], clean), (bags[1], toxic)):
-        for own in bag:
-            for c in own:
-                n[c] = n.get(c, 0) + 1
+    texts = sorted(seen.items())
+    words = {w for t, _ in texts for w in windows(t)}
+    code = {w: c for w in words if len(c := folded(w)) > SHORTEST}
+    bags: dict[int, list[set[bytes]]] = {0: [], 1: []}
+    for text, label in texts:
+        bags[label].append({code[w] for w in windows(text) if w in code})
+    if not any(bags[0]) or not any(bags[1]):
+        return Model(None, 0.0)
+    clean = Counter(c for own in bags[0] for c in own)
+    toxic = Counter(c for own in bags[1] for c in own)
     by_count = sorted(clean, key=lambda c: (-clean[c], c))
     common = by_count[: NEGATIVES // 3]
-    rest = sorted(by_count[NEGATIVES // 3 :], key=lambda c: hash_of(c))[: NEGATIVES - len(common)]
-    negatives = common + rest
-    share = {c: toxic[c] * math.log((toxic[c] + 0.5) / (clean.get(c, 0) + 0.5) * len(bags[0]) / len(bags[1])) for c in toxic}
-    witnesses: dict[bytes, int] = {}
-    for own in bags[1]:
-        best = max(own, key=lambda c: (share[c], c), default=None)
-        if best is not None and not clean.get(best):
-            witnesses[best] = witnesses.get(best, 0) + 1
+    negatives = common + sorted(by_count[NEGATIVES // 3 :], key=lambda c: (hash_of(c), c))[: NEGATIVES - len(common)]
+    odds = len(bags[0]) / len(bags[1])
+    tells = {c: math.log((n + 0.5) / (clean[c] + 0.5) * odds) for c, n in toxic.items()}
+    scores = {c: n * tells[c] for c, n in toxic.items() if n > 1 and tells[c] > 1.5}
+    witnesses = _witnesses(bags[1], scores, 0.0)
     model = None
-    for _ in range(4):
-        positives = sorted(witnesses, key=lambda c: (-witnesses[c], c))
+    for _ in range(ROUNDS):
+        positives = sorted(witnesses, key=lambda c: (-witnesses[c], c))[:POSITIVES]
         if not positives:
-            return Model(None, 0.0, 1.0, 0.0)
-        landmarks = positives[: LANDMARKS * 3 // 4]
-        landmarks += sorted(negatives, key=hash_of)[: LANDMARKS - len(landmarks)]
+            return Model(None, 0.0)
+        landmarks = positives[: LANDMARKS // 2]
+        landmarks += sorted(positives[LANDMARKS // 2 :], key=lambda c: (hash_of(c), c))[: LANDMARKS // 4]
+        landmarks += sorted(negatives, key=lambda c: (hash_of(c), c))[: LANDMARKS - len(landmarks)]
         space = Nystrom([c[:LONGEST] for c in landmarks])
         gapped = [_inserted(c, k) for c in positives for k in range(1, 4)]
-        codes = [c[:LONGEST] for c in positives + gapped + negatives]
-        y = np.asarray([1.0] * (len(positives) + len(gapped)) + [-1.0] * len(negatives))
-        weight = np.asarray([math.sqrt(witnesses[c]) for c in positives] + [1.0] * len(gapped) + [1.0] * len(negatives))
+        own = set(positives)
+        against = [c for c in negatives if c not in own]
+        codes = [c[:LONGEST] for c in positives + gapped + against]
+        y = np.asarray([1.0] * (len(positives) + len(gapped)) + [-1.0] * len(against))
+        weight = np.asarray([math.sqrt(witnesses[c]) for c in positives] + [1.0] * len(gapped) + [1.0] * len(against))
         weight[y > 0] *= (weight[y < 0].sum() / weight[y > 0].sum()) ** 0.5
         w = squared_hinge(space(codes), y, weight)
-        model = Model(space.primal(w[:-1]).astype("float32"), float(w[-1]), 4.0, 0.0)
+        model = Model(space.primal(w[:-1]).astype("float32"), float(w[-1]))
         every = sorted({*toxic, *clean})
         scores = dict(zip(every, model.decide(every).tolist()))
-        hard = sorted((c for c in clean if scores[c] > -0.6), key=lambda c: (-scores[c], c))[: NEGATIVES // 2]
+        hard = sorted((c for c in clean if scores[c] > -0.6 and tells.get(c, 0.0) < 1.0), key=lambda c: (-scores[c], c))[: NEGATIVES // 2]
         negatives = list(dict.fromkeys([*negatives, *hard]))
-        witnesses = {}
-        for own in bags[1]:
-            best = max(own, key=lambda c: (scores[c], c), default=None)
-            if best is not None and not clean.get(best):
-                witnesses[best] = witnesses.get(best, 0) + 1
-    tops = {k: [max((scores[c] for c in bag), default=-9.0) for bag in bags[k]] for k in bags}
-    model.slope, model.middle = _logistic(tops[0], tops[1])
+        witnesses = _witnesses(bags[1], {c: s for c, s in scores.items() if tells.get(c, -1.0) > 0.5}, -0.5)
+    scorer = Scorer(model)
+    found = [g for i in range(0, len(texts), 200) for g in scorer.windows([t for t, _ in texts[i : i + 200]])]
+    label = [label for _, label in texts]
+    model.logistic = fitted_logistic(np.asarray([describe(g) for g in found]), np.asarray(label, float))
     return model
 
 
-def _logistic(clean: list[float], toxic: list[float]) -> tuple[float, float]:
-    """Slope and middle of the curve; the middle has about the fewest errors, and is low, for gapped words."""
-    every = sorted({*clean, *toxic})
-    middles = [(a + b) / 2 for a, b in zip(every, every[1:])] or [every[0]]
-    c, t = np.sort(clean), np.sort(toxic)
-    errors = np.asarray([len(c) - np.searchsorted(c, m) + np.searchsorted(t, m) for m in middles])
-    best = [m for m, e in zip(middles, errors) if e <= errors.min() + 0.001 * (len(c) + len(t))]
-    return 4.0, float(0.8 * best[0] + 0.2 * best[-1])
+def _witnesses(bags: list[set[bytes]], scores: dict[bytes, float], least: float) -> Counter:
+    """Of each bag the windows with the highest scores, counted."""
+    found: Counter = Counter()
+    for own in bags:
+        best = sorted((c for c in own if scores.get(c, least) > least), key=lambda c: (-scores[c], c))[:WITNESSES]
+        found.update(best)
+    return found
 
 
 def hash_of(code: bytes) -> int:
