@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import trimmed
 from quillspark.operators.links import lint_keys, links
 
 
@@ -49,7 +50,7 @@ def semantic(answer: Column) -> Column:
             F.lower(x["severity"]).alias("severity"),
             x["title"].alias("title"),
             named(x["body"]).alias("pages"),
-            F.trim(F.regexp_replace(x["body"], "(?m)^PAGES:[^\\n]*\\n?", "")).alias("detail"),
+            trimmed(F.regexp_replace(x["body"], "(?m)^PAGES:[^\\n]*\\n?", "")).alias("detail"),
         ),
     )
 

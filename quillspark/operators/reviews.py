@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import normalize_review_title, slug
+from quillspark.functions.text import normalize_review_title, slug, trimmed
 
 TYPES = ("contradiction", "duplicate", "missing-page", "suggestion")
 BATCH, BATCHES = 40, 5
@@ -29,7 +29,7 @@ def parsed(answer: Column) -> Column:
             listed(x["body"], "OPTIONS", "\\|").alias("options"),
             listed(x["body"], "PAGES", ",").alias("pages"),
             listed(x["body"], "SEARCH", "\\|").alias("queries"),
-            F.trim(F.regexp_replace(x["body"], "(?m)^(OPTIONS|PAGES|SEARCH):[^\\n]*\\n?", "")).alias("description"),
+            trimmed(F.regexp_replace(x["body"], "(?m)^(OPTIONS|PAGES|SEARCH):[^\\n]*\\n?", "")).alias("description"),
         ),
     )
 
