@@ -51,9 +51,9 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPH
         n = n.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(alpha)))
     else:
         n = n.join(weights.select("source", F.col("weight").cast("double").alias("weight")), "source", "left").na.fill(0.0, ["weight"])
-    total = n.agg(F.sum("n").alias("all_n"), F.sum("weight").alias("all_w"))
-    share = F.when(F.col("all_w") > 0, F.col("weight") / F.col("all_w")).otherwise(F.lit(0.0))
-    return n.crossJoin(F.broadcast(total)).select("source", (F.lit(rate) * F.col("all_n") * share / F.col("n")).alias("rate"))
+    total = n.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
+    share = F.col("weight") / F.lit(total["weight"]) if total["weight"] else F.lit(0.0)
+    return n.select("source", (F.lit(rate) * F.lit(total["n"] or 0) * share / F.col("n")).alias("rate"))
 
 
 def counted(docs: DataFrame, seed: str = SEED, **mix) -> DataFrame:
