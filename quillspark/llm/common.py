@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quillspark.sources.shipping import shipped
+
 #: Rows of one Arrow batch. Texts can be long, so batches are short.
 BATCH_ROWS = 256
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """The session, with Arrow batches short enough for long texts."""
+    """The session, with Arrow batches short enough for long texts, and this code on its executors."""
+    shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
