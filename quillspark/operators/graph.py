@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,40 +60,67 @@ def affinity(a: Column, b: Column) -> Column:
     return F.coalesce(pairs[F.concat_ws("-", a, b)], F.lit(OTHER_AFFINITY))
 
 
-def signals(graph_nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """a < b and their direct links, shared sources and common-neighbour weight, where any is above 0.
+def neighbours(edges: DataFrame) -> DataFrame:
+    """id and n, each neighbour once, whichever way the link goes."""
+    return edges.select(F.col("src").alias("id"), F.col("dst").alias("n")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("n"))).distinct()
 
-    Candidates come from what two pages share, so no two pages meet that share nothing. A
-    source or neighbour of very many pages still makes as many pairs as the square of that
-    number, since each of them is a result; callers that need only few pages ask for seeds.
-    """
-    lesser = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    direct = edges.select(*lesser(F.col("src"), F.col("dst")), F.lit(1.0).alias("direct"), F.lit(0.0).alias("shared"), F.lit(0.0).alias("common"))
-    by_source = graph_nodes.select("id", F.explode("sources").alias("source"))
-    left, right = by_source.select(F.col("id").alias("a"), "source").distinct(), by_source.select(F.col("id").alias("b"), "source")
-    shared = left.join(right, "source").where("a < b").select("a", "b", F.lit(0.0).alias("direct"), F.lit(1.0).alias("shared"), F.lit(0.0).alias("common"))
-    near = edges.select(F.col("src").alias("id"), F.col("dst").alias("n")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("n"))).distinct()
-    weighted = near.join(degrees(edges).select(F.col("id").alias("n"), "degree"), "n").withColumn("w", 1.0 / F.log(F.greatest(F.col("degree"), F.lit(2)).cast("double")))
-    common = weighted.select(F.col("id").alias("a"), "n", "w").join(near.select(F.col("id").alias("b"), "n"), "n").where("a < b").select("a", "b", F.lit(0.0).alias("direct"), F.lit(0.0).alias("shared"), F.col("w").alias("common"))
-    every = reduce(DataFrame.unionByName, (direct, shared, common))
-    return every.groupBy("a", "b").agg(F.sum("direct").alias("direct"), F.sum("shared").alias("shared"), F.sum("common").alias("common"))
+
+def pair(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def relevance(graph_nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """a < b and their relevance, where they share more than the affinity of their types."""
-    kind = graph_nodes.select("id", "type")
-    both = signals(graph_nodes, edges).join(kind.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a").join(kind.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b")
-    total = DIRECT * F.col("direct") + SHARED_SOURCE * F.col("shared") + COMMON_NEIGHBOUR * F.col("common") + AFFINITY * affinity(F.col("ta"), F.col("tb"))
-    return both.select("a", "b", total.alias("relevance"))
+def relevance_of(pairs: DataFrame, graph_nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """a, b and relevance of given pairs, a < b.
+
+    Only these pairs are looked at. Common neighbours are looked up from the end with fewer
+    neighbours, so a page with very many costs no more than the pages around it.
+    """
+    pairs = pairs.select("a", "b").distinct()
+    direct = edges.select(*pair("src", "dst")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("direct"))
+    own = graph_nodes.select("id", "type", "sources")
+    known = pairs.join(own.select(F.col("id").alias("a"), F.col("type").alias("ta"), F.col("sources").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("type").alias("tb"), F.col("sources").alias("sb")), "b")
+    shared = F.size(F.filter("sb", lambda x: F.array_contains(F.col("sa"), x)))
+    degree = degrees(edges).select("id", "degree")
+    near = neighbours(edges)
+    ends = known.select("a", "b").join(degree.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a").join(degree.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b")
+    fewer = ends.select("a", "b", F.when(F.col("da") <= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("id"), F.when(F.col("da") <= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    both = fewer.join(near, "id").join(near.select(F.col("id").alias("other"), "n"), ["other", "n"], "left_semi")
+    weighted = both.join(degree.select(F.col("id").alias("n"), "degree"), "n")
+    common = weighted.groupBy("a", "b").agg(F.sum(1.0 / F.log(F.greatest("degree", F.lit(2)).cast("double"))).alias("common"))
+    every = known.join(direct, ["a", "b"], "left").join(common, ["a", "b"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    total = DIRECT * zero("direct") + SHARED_SOURCE * shared + COMMON_NEIGHBOUR * zero("common") + AFFINITY * affinity(F.col("ta"), F.col("tb"))
+    return every.select("a", "b", total.alias("relevance"))
+
+
+def candidates(graph_nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """Pairs id, other among which the k most relevant others of each page are.
+
+    They are its neighbours, their neighbours, and of pages that share a source the first
+    k + 1 for each type and set of sources: pages with the same set and type are equally relevant
+    but for links, so later ones never come before these.
+    """
+    near = neighbours(edges)
+    two = near.join(near.select(F.col("id").alias("n"), F.col("n").alias("other")), "n").select("id", "other")
+    groups = graph_nodes.withColumn("own", F.array_sort(F.array_distinct("sources")))
+    w = Window.partitionBy("own", "type").orderBy("ord")
+    first = groups.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    firsts = first.select(F.col("id").alias("other"), F.explode("own").alias("source"))
+    by_source = graph_nodes.select("id", F.explode(F.array_distinct("sources")).alias("source")).join(firsts, "source").select("id", "other")
+    found = near.select("id", F.col("n").alias("other")).unionByName(two).unionByName(by_source)
+    return found.where("id <> other").distinct()
 
 
-def related(graph_nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
-    """For each page its k most relevant others; ties in listing order.
+def related(graph_nodes: DataFrame, edges: DataFrame, k: int = 5, seeds: DataFrame | None = None) -> DataFrame:
+    """For each page, or each of seeds (id), its k most relevant others; ties in listing order.
 
     Pages that share nothing have only the affinity of their types and are left out.
     """
-    pairs = relevance(graph_nodes, edges)
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "relevance").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "relevance"))
+    found = candidates(graph_nodes, edges, k)
+    if seeds is not None:
+        found = found.join(seeds.select("id"), "id", "left_semi")
+    known = relevance_of(found.select(*pair("id", "other")), graph_nodes, edges)
+    both = found.withColumn("a", F.least("id", "other")).withColumn("b", F.greatest("id", "other")).join(known, ["a", "b"]).select("id", "other", "relevance")
     placed = both.join(graph_nodes.select(F.col("id").alias("other"), F.col("ord")), "other")
     w = Window.partitionBy("id").orderBy(F.desc(F.round("relevance", 9)), "ord")
     return placed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "other", "relevance", "rank")
@@ -109,7 +134,7 @@ def visual_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     alive = shown.select("id")
     own = found.join(alive.withColumnRenamed("id", "src"), "src", "left_semi").join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi")
     counts = link_counts(pages, own).join(alive, "id", "left_semi")
-    weights = relevance(every, found.where("dst IS NOT NULL AND src <> dst").select("src", "dst").distinct())
     edges = undirected_edges(own).withColumn("a", F.least("source", "target")).withColumn("b", F.greatest("source", "target"))
+    weights = relevance_of(edges, every, found.where("dst IS NOT NULL AND src <> dst").select("src", "dst").distinct())
     edges = edges.join(weights, ["a", "b"], "left").select("source", "target", F.coalesce("relevance", F.lit(1.0)).alias("weight"))
     return shown.join(counts, "id").select("id", "ord", F.col("title").alias("label"), "type", "link_count"), edges

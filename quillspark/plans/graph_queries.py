@@ -82,11 +82,12 @@ v AS (SELECT a, b, sum(dl) AS dl, sum(sh) AS sh, sum(cn) AS cn FROM g GROUP BY 1
 rel AS (SELECT a, b, 3.0 * dl + 4.0 * sh + 1.5 * cn + {_AFFINITY_SQL} AS relevance FROM (SELECT v.*, x.type AS ta, y.type AS tb FROM v JOIN wiki x ON x.page_id = a JOIN wiki y ON y.page_id = b))"""
 
 
-@query(f"{_FM}, {_RELEVANCE_SQL} SELECT a, b, round(relevance, 6) AS relevance FROM rel")
+@query(f"{_FM}, {_RELEVANCE_SQL} SELECT a, b, round(relevance, 6) AS relevance FROM rel SEMI JOIN (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM e) USING (a, b)")
 def graph_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevance of pages that share a link, source or neighbour."""
+    """Relevance of linked pages to each other."""
     pages = _pages(spark, sf_dir)
-    return graph.relevance(graph.nodes(pages), graph.out_edges(pages)).select("a", "b", F.round("relevance", 6).alias("relevance"))
+    edges = graph.out_edges(pages)
+    return graph.relevance_of(edges.select(*graph.pair("src", "dst")), graph.nodes(pages), edges).select("a", "b", F.round("relevance", 6).alias("relevance"))
 
 
 @query(f"""{_FM}, {_RELEVANCE_SQL}, bt AS (SELECT a AS id, b AS other, relevance FROM rel UNION ALL SELECT b, a, relevance FROM rel),
@@ -101,13 +102,13 @@ def graph_related_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH h AS (SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(html, '<li><a href="/([^"]*)"', 1))) AS slug FROM pages),
 d AS (SELECT slug, count(*) AS n FROM h GROUP BY 1)
-SELECT a, b, round(sum(w), 6) AS score FROM (SELECT x.page_id AS a, y.page_id AS b, 1 / ln(greatest(n, 2)::DOUBLE) AS w FROM h x JOIN h y ON x.slug = y.slug AND x.page_id < y.page_id JOIN d ON d.slug = x.slug WHERE n <= 8) GROUP BY 1, 2""")
+SELECT x.page_id AS a, y.page_id AS b, round(sum(1 / ln(greatest(n, 2)::DOUBLE)), 6) AS score FROM h x JOIN h y ON x.slug = y.slug AND x.page_id <> y.page_id JOIN d ON d.slug = x.slug WHERE x.page_id % 20 = 0 GROUP BY 1, 2""")
 def adamic_adar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by their rare common link targets, those of eight pages at most."""
+    """Each twentieth page against all pages, by their common link targets."""
     h = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<li><a href="/([^"]*)"'), 1)).alias("slug")).select("page_id", F.lower("slug").alias("slug")).distinct()
-    d = h.groupBy("slug").agg(F.count(F.lit(1)).alias("n")).where("n <= 8")
-    own = h.join(d, "slug").withColumn("w", 1.0 / F.log(F.greatest("n", F.lit(2)).cast("double")))
-    pairs = own.select(F.col("page_id").alias("a"), "slug", "w").join(own.select(F.col("page_id").alias("b"), "slug"), "slug").where("a < b")
+    d = h.groupBy("slug").agg((1.0 / F.log(F.greatest(F.count(F.lit(1)), F.lit(2)).cast("double"))).alias("w"))
+    asked = h.where("page_id % 20 = 0").join(d, "slug").select(F.col("page_id").alias("a"), "slug", "w")
+    pairs = asked.join(h.select(F.col("page_id").alias("b"), "slug"), "slug").where("a <> b")
     return pairs.groupBy("a", "b").agg(F.round(F.sum("w"), 6).alias("score"))
 
 

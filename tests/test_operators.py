@@ -101,13 +101,16 @@ def test_link_resolution(spark):
 def test_relevance_by_hand(spark):
     pages = wiki(spark, LINKED)
     edges = graph.out_edges(pages)
-    got = {(r.a, r.b): r.relevance for r in graph.relevance(graph.nodes(pages), edges).collect()}
+    asked = spark.createDataFrame([("attention", "kv-cache"), ("attention", "q"), ("kv-cache", "q"), ("Rope", "q")], "a string, b string")
+    got = {(r.a, r.b): r.relevance for r in graph.relevance_of(asked, graph.nodes(pages), edges).collect()}
     # links both ways, one shared source, entity and concept
     assert got["attention", "kv-cache"] == pytest.approx(3 * 2 + 4 * 1 + 1.2)
     assert got["attention", "q"] == pytest.approx(3 + 0.8)
     # q and kv-cache share attention, which has a link both ways and one more
     assert got["kv-cache", "q"] == pytest.approx(1.5 / math.log(3) + 1.0)
-    assert ("Rope", "q") not in got  # nothing but the affinity of types (defect 8)
+    assert got["Rope", "q"] == pytest.approx(0.8)  # nothing but the affinity of types (defect 8)
+    top = {(r.id, r.other): r["rank"] for r in graph.related(graph.nodes(pages), edges, 2).collect()}
+    assert top["q", "attention"] == 1 and top["q", "kv-cache"] == 2 and not any("Rope" in x for x in top)
     n = {r.id: r.link_count for r in graph.link_counts(pages).collect()}
     assert n == {"kv-cache": 3, "attention": 4, "Rope": 0, "q": 1}
 
