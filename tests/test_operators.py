@@ -367,3 +367,10 @@ def test_defect_12_fate_is_case_insensitive(spark):
 def test_sources_of_a_page_without_front_matter(spark):
     df = spark.createDataFrame([("text\nsources: [a.pdf]\n",)], "c string")
     assert df.select(fm.sources(F.col("c"))).first()[0] == ["a.pdf"]
+
+
+def test_defect_4_pages_found_by_vector_alone_may_lie_anywhere(spark):
+    pages = wiki(spark, {**SEARCHED, "wiki/comparisons/a-b.md": page("A and B"), "wiki/root.md": page("Root")})
+    near = spark.createDataFrame([("a-b", 0.9), ("root", 0.8), ("ghost", 0.7)], "page_id string, score double")
+    got = [r.page_id for r in search.search(pages, "attention", near).collect()]
+    assert set(got) == {"attention", "transformer", "a-b", "root"}

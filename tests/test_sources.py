@@ -150,3 +150,17 @@ def test_models(spark):
     assert [r.id for r in models.judged(items, lambda ids: ["2"] if "1" in ids else 1 / 0).collect()] == ["2"]
     asked = spark.createDataFrame([("p",), ("q",)], "prompt string")
     assert sorted(r.answer for r in models.replayed(asked, spark.createDataFrame([("p", "x")], "prompt string, answer string")).collect()) == ["", "x"]
+
+
+def test_defect_11_images_are_extracted():
+    small = PNG[:16] + struct.pack(">II", 99, 500) + b"\0" * 8
+    found = office.images(zipped({"word/media/a.png": PNG, "word/media/b.png": small, "word/media/c.txt": b"x"}))
+    assert [(i["index"], i["width"], i["height"], i["page"]) for i in found] == [(1, 120, 200, None)]
+    assert office.images(b"no zip") == []
+
+
+def test_defect_13_rows_of_the_inbox_carry_their_source(spark, tmp_path):
+    (tmp_path / "1.json").write_text(json.dumps({"project_id": "p", "source": "dir/a.md", "content": "ok", "added_at": "2024-01-01T00:00:00Z"}))
+    q = queue.inbox(spark, str(tmp_path)).writeStream.format("memory").queryName("inbox").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    assert [r.source for r in spark.table("inbox").collect()] == ["dir/a.md"]
