@@ -9,8 +9,8 @@ from quillspark.functions.text import safe_page_id
 
 # How much lower chunks of a page add, and the chunks that a page shows.
 TAIL_WEIGHT, SHOWN_CHUNKS = 0.3, 3
-#: Query vectors up to this number are broadcast against the scan; more go in blocks.
-QUERY_BLOCK = 512
+#: Query vectors up to this number are broadcast against the scan; more meet the rows in blocks of both.
+QUERY_BLOCK, ROW_BLOCK = 512, 50_000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -33,9 +33,18 @@ def nearest(rows: DataFrame, query: list[float], k: int, vector: str = "vector")
 def nearest_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """For each (query_id, query_vector) its k nearest rows (chunk_id, vector).
 
-    A stated set of queries meets all rows; each task keeps k a query before anything moves.
+    A stated set of queries meets all rows. A block of queries is broadcast; if there are more,
+    each block of queries is joined to each block of rows by their numbers, so a task has one
+    block of either. Before rows move again each task keeps k for a query.
     """
-    pairs = rows.select("chunk_id", "vector").crossJoin(F.broadcast(queries.select("query_id", "query_vector")))
+    rows, queries = rows.select("chunk_id", "vector"), queries.select("query_id", "query_vector")
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        pairs = rows.crossJoin(F.broadcast(queries))
+    else:
+        parts = max(1, -(-rows.count() // ROW_BLOCK))
+        deal = lambda df, key, n, name, m, other: df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        pairs = deal(rows, "chunk_id", parts, "part", blocks, "block").join(deal(queries, "query_id", blocks, "block", parts, "part"), ["block", "part"])
     found = pairs.select("query_id", "chunk_id", squared_distance(F.col("vector"), F.col("query_vector")).alias("distance")).where("distance IS NOT NULL")
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -374,3 +374,15 @@ def test_defect_4_pages_found_by_vector_alone_may_lie_anywhere(spark):
     near = spark.createDataFrame([("a-b", 0.9), ("root", 0.8), ("ghost", 0.7)], "page_id string, score double")
     got = [r.page_id for r in search.search(pages, "attention", near).collect()]
     assert set(got) == {"attention", "transformer", "a-b", "root"}
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    rows = spark.createDataFrame([(f"c{i}", [r.random() for _ in range(4)]) for i in range(60)], "chunk_id string, vector array<float>")
+    asked = spark.createDataFrame([(i, [r.random() for _ in range(4)]) for i in range(9)], "query_id int, query_vector array<float>")
+    one = {(x.query_id, x.chunk_id, x["rank"]) for x in vectors.nearest_batch(rows, asked, 3).collect()}
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 25)
+    assert {(x.query_id, x.chunk_id, x["rank"]) for x in vectors.nearest_batch(rows, asked, 3).collect()} == one
