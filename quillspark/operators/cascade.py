@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import frontmatter as fm
 from quillspark.functions.text import normalize_key
-from quillspark.operators.links import without_dead
+from quillspark.operators.links import targets, without_dead
 
 STRUCTURAL = ("index.md", "log.md", "overview.md")
 
@@ -38,9 +38,11 @@ def delete_source(pages: DataFrame, source: str) -> DataFrame:
     judged = related_pages(pages, source).withColumn("f", fate(fm.sources(F.col("content")), F.lit(source)))
     changed = judged.where("f.action <> 'skip'").select("page_id", "path", "content", F.col("f.action").alias("action"), F.col("f.survivors").alias("survivors"))
     gone = changed.where("action = 'delete'").select("page_id", fm.title(F.col("content"), F.col("path")).alias("title"))
-    keys = gone.select(F.explode(F.array(normalize_key(F.col("page_id")), normalize_key(F.col("title")))).alias("key")).agg(F.collect_set("key").alias("dead"))
-    every = pages.join(changed.select("page_id", "action", "survivors"), "page_id", "left").crossJoin(F.broadcast(keys))
+    keys = gone.select(F.explode(F.array(normalize_key(F.col("page_id")), normalize_key(F.col("title")))).alias("key")).distinct()
+    linked = pages.select("page_id", F.explode(F.array_distinct(F.transform(targets(F.col("content")), normalize_key))).alias("key"))
+    dead = linked.join(keys, "key", "left_semi").groupBy("page_id").agg(F.collect_set("key").alias("dead"))  # at most a page's own links
+    every = pages.join(changed.select("page_id", "action", "survivors"), "page_id", "left").join(dead, "page_id", "left")
     kept = F.when(F.col("action") == "keep", fm.with_sources(F.col("content"), F.col("survivors"))).otherwise(F.col("content"))
-    new = F.when(F.coalesce("action", F.lit("")) != "delete", F.when(F.size("dead") > 0, without_dead(kept, F.col("dead"))).otherwise(kept))
+    new = F.when(F.coalesce("action", F.lit("")) != "delete", F.when(F.col("dead").isNotNull(), without_dead(kept, F.col("dead"))).otherwise(kept))
     out = every.select("page_id", F.coalesce("action", F.when(new != F.col("content"), "relink")).alias("action"), new.alias("content"))
     return out.where("action IS NOT NULL")
