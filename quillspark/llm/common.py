@@ -90,14 +90,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, per
     """(text, label) of at most per_class[label] labelled documents of each class.
 
     The choice is by a hash of the id, so it doesn't depend on the order of rows. At most
-    sum(per_class) ids are broadcast; texts stay where they are read.
+    sum(per_class) ids are broadcast; texts stay where they are read. Of rows with one id the
+    least text counts.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(*per_class) & allowed).groupBy("doc_id").agg(F.max(label).alias("label"))
     parts = None
     for value, most in per_class.items():
         part = rows.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         parts = part if parts is None else parts.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(parts), "doc_id").select("text", "label")
+    own = docs.select("doc_id", "text").join(F.broadcast(parts), "doc_id")
+    return own.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "label")
 
 
 def log2_ceil(n: int) -> int:

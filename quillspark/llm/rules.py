@@ -145,13 +145,14 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def labelled(counts: DataFrame, labels: DataFrame, allowed: Column, per_class: dict[int, int], label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most per_class rows of each value, by a hash of the id."""
+    """Statistics and labels of at most per_class ids of each value, by a hash of the id; of rows with one id the least."""
     own = labels.where(allowed & F.col(label).isin(*per_class) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     parts = [own.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v, most in per_class.items()]
     sample = parts[0]
     for p in parts[1:]:
         sample = sample.unionByName(p)
-    rows = counts.select("doc_id", *NAMES).join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), *NAMES).toPandas()
+    rows = counts.select("doc_id", *NAMES).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*NAMES)).alias("s"))
+    rows = rows.select("doc_id", "label", "s.*").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     return rows[list(NAMES)].to_numpy("float64").reshape(-1, len(NAMES)), rows["label"].to_numpy()
 
 
