@@ -2,8 +2,9 @@
 
 A url's host is split at its dots and signs, and each run of letters into words by the most
 likely split under a unigram model (Viterbi). Words and counts of that model are a seed list
-and what stands between signs in the urls themselves. Tokens of host and path then score by
-multinomial naive Bayes, whose classes are learned from distant labels: a url whose words
+and what stands between signs in the urls themselves, but for what splits without a count of
+its own: a joined name is no word because it stands in a url. Tokens of host and path then score
+by multinomial naive Bayes, whose classes are learned from distant labels: a url whose words
 include a seed word of the blocked kind is an example of it, any other of the rest.
 
 Null urls and those without :// have an empty host and path, and are allowed. Repeated rows
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import appended
+from quillspark.llm.common import appended, stashed
 
 # Fixed values: (host, path, verdict).
 RULES = (
@@ -43,8 +44,10 @@ ALLOWED = tuple(
     review school science shop site sport sports store story study support tech travel university video water weather
     web wiki world""".split()
 )
-#: Distinct words of the urls that the unigram model and the classifier keep, at most.
+#: A run or token is frequent if it is so small a part of all; there can't be more of them.
 VOCABULARY = 20_000
+#: Counts of the unigram model are scaled to it, so that a split doesn't depend on the number of urls.
+TOTAL = 3 * VOCABULARY
 SEED_COUNT = 20
 #: Words longer than this aren't tried in a split.
 LONGEST = 24
@@ -74,8 +77,8 @@ def rule(host: Column, path: Column, verdict: bool) -> Column:
 class Unigrams:
     """Splits runs of letters into the likeliest words."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, float], least: float = 1):
+        self.total = max(sum(counts.values()), least)
         self.cost = {w: -math.log(n / self.total) for w, n in counts.items() if n > 0}
         self.known: dict[str, list[str]] = {}
 
@@ -150,14 +153,28 @@ def split_urls(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
 
 
+def pruned(runs: dict[str, float]) -> Unigrams:
+    """The seed list and those runs that stay whole without their own count; the others count for their parts."""
+    words = Unigrams(dict.fromkeys((*BLOCKED, *ALLOWED), SEED_COUNT), TOTAL)
+    counts: dict[str, float] = dict.fromkeys((*BLOCKED, *ALLOWED), SEED_COUNT)
+    for run in sorted(runs, key=lambda r: (len(r), r)):  # parts are shorter, so they come first
+        parts = [run] if run in counts else words.split(run)
+        for w in parts:
+            if len(parts) == 1 or w in counts:
+                counts[w] = counts.get(w, 0) + runs[run]
+                words.cost[w] = -math.log(min(1.0, counts[w] / TOTAL))
+        words.known.clear()
+    return Unigrams(counts, TOTAL)
+
+
 def unigrams_of(urls: DataFrame) -> Unigrams:
-    """From the runs of letters between signs, each url counted once for a host and path."""
+    """From the frequent runs of letters between signs, each url counted once for a host and path."""
     runs = urls.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(r"(\p{L}+)"))).alias("run"))
-    top = runs.groupBy("run").count().orderBy(F.desc("count"), "run").limit(VOCABULARY).collect()
-    counts = {r["run"]: int(math.sqrt(r["count"])) + 1 for r in top if 2 < len(r["run"]) <= LONGEST}
-    for w in (*BLOCKED, *ALLOWED):
-        counts[w] = counts.get(w, 0) + SEED_COUNT
-    return Unigrams(counts)
+    runs = stashed(runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")))
+    every = runs.agg(F.sum("n")).first()[0] or 0
+    top = runs.where((F.col("n") * VOCABULARY >= every) & F.length("run").between(3, LONGEST)).collect()
+    roots = {r["run"]: math.sqrt(r["n"]) for r in top}
+    return pruned({run: 1 + VOCABULARY * x / sum(roots.values()) for run, x in roots.items()})
 
 
 def bayes_of(urls: DataFrame, unigrams: Unigrams) -> Bayes:

@@ -83,3 +83,16 @@ def test_bayes_by_hand():
     b = urlfilter.Bayes({}, (0, 0))
     assert b.weight["h:casino"] > 0 > b.weight["h:news"]
     assert b.odds([]) == 0.0 and not math.isnan(b.odds(["h:zzz"]))
+
+
+JOINED = ["http://freecasino.example.org/en/1", "http://cheappills.example.org/de/2.html", "https://www.onlinecasino.example.org/fr/3", "http://pokerbonus.example.org/en/4"]
+
+
+def test_joined_names_in_the_table_are_split(spark):
+    pages = table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url")
+    own = spark.createDataFrame([(-k - 100 * i, u) for i, u in enumerate(JOINED) for k in (range(1, 60) if i == 0 else (1,))] + [(-1000, "http://sussex.example.org/en/1")], "page_id bigint, url string")
+    pages = pages.unionByName(own)
+    unigrams = urlfilter.unigrams_of(urlfilter.split_urls(pages))
+    assert [unigrams.split(w) for w in ("freecasino", "cheappills", "onlinecasino", "sussex")] == [["free", "casino"], ["cheap", "pills"], ["online", "casino"], ["sussex"]]
+    got = {r.page_id: r.verdict for r in urlfilter.judged(pages).where("page_id < 0").collect()}
+    assert got.pop(-1000) == "allow" and set(got.values()) == {"block"}
