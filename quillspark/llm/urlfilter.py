@@ -5,7 +5,8 @@ likely split under a unigram model (Viterbi). Words and counts of that model are
 and what stands between signs in the urls themselves, but for what splits without a count of
 its own: a joined name is no word because it stands in a url. Tokens of host and path then score
 by multinomial naive Bayes, whose classes are learned from distant labels: a url whose words
-include a seed word of the blocked kind is an example of it, any other of the rest.
+include a seed word of the blocked kind is an example of it, any other of the rest. All tokens
+count; the weights of frequent ones go to the workers, the others' are joined.
 
 Null urls and those without :// have an empty host and path, and are allowed. Repeated rows
 give repeated results. No rows give no rows. Other columns stay as they are.
@@ -123,9 +124,12 @@ _SEEDS = frozenset(BLOCKED)
 
 
 class Bayes:
-    """Multinomial naive Bayes of two classes over tokens; host and path share seed words' counts."""
+    """Multinomial naive Bayes of two classes over tokens; host and path share seed words' counts.
 
-    def __init__(self, counts: dict[str, tuple[int, int]], urls: tuple[int, int]):
+    rest are the number and both counts of the tokens, none a seed word, that aren't in counts.
+    """
+
+    def __init__(self, counts: dict[str, tuple[int, int]], urls: tuple[int, int], rest: tuple[int, int, int] = (0, 0, 0)):
         own = {w: list(map(float, n)) for w, n in counts.items()}
         # each seed word stands for SEED_COUNT urls, which else have what urls have on average
         every = max(1, sum(urls))
@@ -136,7 +140,9 @@ class Bayes:
             for w in words:
                 for mark in ("h:", "p:"):
                     own.setdefault(mark + w, [0.0, 0.0])[k] += SEED_COUNT
-        sums = [sum(n[k] for n in own.values()) + SMOOTH * (len(own) + 1) for k in (0, 1)]
+        self.usual = [SEED_COUNT * len(words) / every for words in (ALLOWED, BLOCKED)]
+        more = [rest[1 + k] + self.usual[k] * (rest[1] + rest[2]) for k in (0, 1)]
+        self.sums = sums = [sum(n[k] for n in own.values()) + more[k] + SMOOTH * (len(own) + rest[0] + 1) for k in (0, 1)]
         self.weight = {w: math.log((n[1] + SMOOTH) / sums[1]) - math.log((n[0] + SMOOTH) / sums[0]) for w, n in own.items()}
         self.other = 0.0  # what neither class has tells nothing
         self.prior = math.log((urls[1] + 1) / (urls[0] + 1)) if every > 1 else 0.0
@@ -177,7 +183,9 @@ def unigrams_of(urls: DataFrame) -> Unigrams:
     return pruned({run: 1 + VOCABULARY * x / sum(roots.values()) for run, x in roots.items()})
 
 
-def bayes_of(urls: DataFrame, unigrams: Unigrams) -> Bayes:
+def tokens_of(urls: DataFrame, unigrams: Unigrams) -> DataFrame:
+    """token and its numbers of urls, a of the rest and b of the blocked kind; '' counts the urls."""
+
     def make():
         def work(keys):
             found = [tokens(*k.split("\n", 1), unigrams) for k in keys]
@@ -188,25 +196,49 @@ def bayes_of(urls: DataFrame, unigrams: Unigrams) -> Bayes:
     fields = [T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("blocked", T.BooleanType())]
     found = appended(urls.select(F.concat_ws("\n", "host", "path").alias("key")), "key", make, fields, without=("key",))
     each = found.select(F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token"), "blocked")
-    top = each.groupBy("token").agg(F.count_if(~F.col("blocked")).alias("a"), F.count_if("blocked").alias("b")).orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(2 * VOCABULARY).collect()
-    counts = {r["token"]: (r["a"], r["b"]) for r in top}
-    return Bayes(counts, counts.pop("", (0, 0)))
+    return stashed(each.groupBy("token").agg(F.count_if(~F.col("blocked")).alias("a"), F.count_if("blocked").alias("b")))
+
+
+def bayes_of(counts: DataFrame) -> tuple[Bayes, DataFrame | None]:
+    """The classifier with the frequent tokens, and token and weight of the others, if any."""
+    n = F.col("a") + F.col("b")
+    every = counts.where("token <> ''").agg(F.sum(n)).first()[0] or 0
+    seeds = [mark + w for mark in ("h:", "p:") for w in (*BLOCKED, *ALLOWED)]
+    kept = (n * VOCABULARY >= every) | F.col("token").isin("", *seeds)
+    frequent = {r["token"]: (r["a"], r["b"]) for r in counts.where(kept).collect()}
+    others = counts.where(~kept)
+    rest = others.agg(F.count(F.lit(1)), F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    bayes = Bayes(frequent, frequent.pop("", (0, 0)), tuple(rest))
+    if not rest[0]:
+        return bayes, None
+    own = [F.col(c) + bayes.usual[k] * n + SMOOTH for k, c in enumerate(("a", "b"))]
+    return bayes, others.select("token", (F.log(own[1] / bayes.sums[1]) - F.log(own[0] / bayes.sums[0])).alias("weight"))
 
 
 def judged(pages: DataFrame, url: str = "url") -> DataFrame:
     """pages with host, path, rule and verdict."""
     urls = split_urls(pages, url)
     unigrams = unigrams_of(urls)
-    bayes = bayes_of(urls, unigrams)
+    bayes, others = bayes_of(tokens_of(urls, unigrams))
 
     def make():
         def work(keys):
-            return {"odds": [0.0 if k == "\n" else bayes.odds(tokens(*k.split("\n", 1), unigrams)) for k in keys]}
+            found = [[] if k == "\n" else tokens(*k.split("\n", 1), unigrams) for k in keys]
+            odds = [0.0 if k == "\n" else bayes.odds(f) for k, f in zip(keys, found)]
+            return {"odds": odds, "rare": [sorted(t for t in f if t not in bayes.weight) for f in found]}
 
         return work
 
     keyed = urls.withColumn("filter_key", F.concat_ws("\n", "host", "path"))
-    scored = appended(keyed, "filter_key", make, [T.StructField("odds", T.DoubleType())], without=("filter_key",))
+    fields = [T.StructField("odds", T.DoubleType()), T.StructField("rare", T.ArrayType(T.StringType()))]
+    scored = appended(keyed, "filter_key", make, fields, without=("filter_key",))
+    if others is not None:
+        scored = stashed(scored)
+        # rows without rare tokens have keys of their own, which meet nothing
+        scored = scored.withColumn("bag", F.when(F.size("rare") > 0, F.array_join("rare", " ")).otherwise(F.monotonically_increasing_id().cast("string")))
+        each = scored.where(F.size("rare") > 0).select("bag", "rare").distinct().select("bag", F.explode("rare").alias("token"))
+        more = each.join(others, "token").groupBy("bag").agg(F.sum("weight").alias("more"))
+        scored = scored.join(more, "bag", "left").withColumn("odds", F.col("odds") + F.coalesce("more", F.lit(0.0))).drop("bag", "more")
     method = F.when(F.col("odds") > 0, F.lit("block")).otherwise(F.lit("allow"))
     found = scored.withColumn("rule", rule(F.col("host"), F.col("path"), False))
-    return found.withColumn("verdict", F.coalesce(rule(F.col("host"), F.col("path"), True), method)).drop("odds")
+    return found.withColumn("verdict", F.coalesce(rule(F.col("host"), F.col("path"), True), method)).drop("odds", "rare")

@@ -96,3 +96,21 @@ def test_joined_names_in_the_table_are_split(spark):
     assert [unigrams.split(w) for w in ("freecasino", "cheappills", "onlinecasino", "sussex")] == [["free", "casino"], ["cheap", "pills"], ["online", "casino"], ["sussex"]]
     got = {r.page_id: r.verdict for r in urlfilter.judged(pages).where("page_id < 0").collect()}
     assert got.pop(-1000) == "allow" and set(got.values()) == {"block"}
+
+
+def test_rare_tokens_count(spark, monkeypatch):
+    rows = [(i, f"http://{'abcdefghij'[i % 10]}qx{'klmnopqrst'[i // 10 % 10]}.example.org/en/{'casino' if i % 10 < 4 else 'zzyx'}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    urls = urlfilter.split_urls(pages)
+    unigrams = urlfilter.unigrams_of(urls)
+    counts = urlfilter.tokens_of(urls, unigrams)
+    whole, none = urlfilter.bayes_of(counts)
+    assert none is None
+    monkeypatch.setattr(urlfilter, "VOCABULARY", 20)
+    few, others = urlfilter.bayes_of(counts)
+    rare = {r.token: r.weight for r in others.collect()}
+    assert len(rare) >= 100 and not rare.keys() & few.weight.keys()
+    assert {**few.weight, **rare} == pytest.approx(whole.weight)
+    got = {r.page_id: r.verdict for r in urlfilter.judged(pages).collect()}
+    assert got == {i: "block" if whole.odds(urlfilter.tokens(*u.split("://")[1].split("/", 1), unigrams)) > 0 else "allow" for i, u in rows}
+    assert set(got.values()) == {"allow", "block"}
