@@ -279,7 +279,7 @@ def readable(html: str) -> tuple[str, str]:
 
 def main_markdown(pages: DataFrame) -> DataFrame:
     """page_id, title and markdown; the patterns' text where scoring finds nothing."""
-    rows = pages.select("page_id", "html", fallback_text(F.col("html")).alias("fallback"))
+    rows = pages.select("page_id", "html", fallback_text(F.col("html"), most=None).alias("fallback"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

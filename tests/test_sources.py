@@ -164,3 +164,10 @@ def test_defect_13_rows_of_the_inbox_carry_their_source(spark, tmp_path):
     q = queue.inbox(spark, str(tmp_path)).writeStream.format("memory").queryName("inbox").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert [r.source for r in spark.table("inbox").collect()] == ["dir/a.md"]
+
+
+def test_long_pages_without_scored_parts_are_whole(spark):
+    page = "<body>" + "".join(f"<div>line {i}<br></div>" for i in range(8000)) + "</body>"
+    assert html.readable(page)[1] == ""
+    got = html.main_markdown(spark.createDataFrame([(1, page)], "page_id bigint, html string")).first().markdown
+    assert len(got) > 50_000 and got.rstrip().endswith("line 7999")
