@@ -35,7 +35,7 @@ STOP_WORDS = frozenset(
     el los las y una por con para del se lo su al más como o pero""".split()
 )
 # Elements.
-_RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|title|select|audio|video"
+_RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|title|select|audio|video"
 _BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption
     figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section
@@ -56,6 +56,7 @@ _STRONG = frozenset("article post entry content main body story text title".spli
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<svg\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+(?<=/)>"
     rf"|<(?P<raw>{_RAW})\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[a-zA-Z/!?][^<>]*(?:>|\Z)",

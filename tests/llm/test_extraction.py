@@ -40,3 +40,8 @@ def test_edges(spark):
     assert len(out) == 6
     assert out[1, 0] == out[2, 0] == "" and out[3, 5] == "a &am" and out[4, len(LONG)] == LONG and out[5, 9] == "just text"
     assert extraction.extracted(pages.where("false")).count() == 0
+
+
+def test_svg_and_math_in_an_article():
+    page = f'<article><p>{LONG}</p><svg class="i" viewBox="0 0 1 1"/><p>{LONG} So is <math><mi>x</mi></math> too.</p><svg><text>no</text></svg><math/><p>{LONG} End.</p></article>'
+    assert [b.text for b in extraction.blocks(page)] == [LONG, f"{LONG} So is x too.", f"{LONG} End."]
