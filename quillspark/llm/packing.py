@@ -34,8 +34,13 @@ SEQUENCE = 1024
 END = 2
 #: Pieces in a shard, on average.
 SHARD = 16384
-#: Passes of local search over a shard's underfull bins.
+#: Passes of local search over a shard's underfull bins. This and the next three bound the time of a
+#: search and drop nothing; a piece that isn't moved stays where best fit has put it.
 PASSES = 12
+#: Items of a bin that are tried in twos.
+IN_TWOS = 6
+#: Lengths tried in place of what a bin gives, the longest first, and bins tried of a length.
+LENGTHS, OF_LENGTH = 4, 4
 #: Words whose ids a Python worker remembers.
 CACHE = 700_000
 
@@ -49,10 +54,17 @@ class Ids:
     The tokenizer's pattern never joins what stands on both sides of a single space, but
     for that space, which goes with the right side. So texts are cut there, and the ids of
     each part are looked up. New parts go to the rank file of the same vocabulary where it
-    lies beside the given file, as that gives the same ids in half the time.
+    lies beside the given file, as that gives the same ids in half the time. Texts that hold
+    an added token's string, such as the end token's, are given to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        self.whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        self.encode = self.whole
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -61,12 +73,6 @@ class Ids:
             with open(ranks, "rb") as f:
                 merges = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
             self.encode = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
@@ -78,6 +84,10 @@ class Ids:
             self.known.clear()
         known, end, out = self.known, struct.pack("<I", END), []
         for text in texts:
+            if any(t in text for t in self.added):
+                ids = self.whole(text)
+                out.append(struct.pack(f"<{len(ids)}I", *ids) + end)
+                continue
             head, *rest = text.split(" ") if not _DOUBLE.search(text) else _GAP.split(text)
             for part in [p for p in {*rest} if p not in known]:
                 known[part] = self.packed(" " + part)
@@ -171,7 +181,7 @@ class Bins:
             for i in own:
                 where.setdefault(lengths[i], set()).add((b, i))
                 mask |= 1 << lengths[i]
-            for x in range(min(len(own), 6)):
+            for x in range(min(len(own), IN_TWOS)):
                 for y in range(x):
                     n = lengths[own[x]] + lengths[own[y]]
                     pairs.setdefault(n, set()).add((b, own[y], own[x]))
@@ -185,7 +195,7 @@ class Bins:
                 s.discard((b, i))
                 if not s:
                     mask &= ~(1 << lengths[i])
-            for x in range(min(len(own), 6)):
+            for x in range(min(len(own), IN_TWOS)):
                 for y in range(x):
                     n = lengths[own[x]] + lengths[own[y]]
                     s = pairs[n]
@@ -197,11 +207,11 @@ class Bins:
             """What is longer than low, at most high, in a bin less full than b would be."""
             bits &= (1 << (high + 1)) - 1
             tries = 0
-            while bits and (n := bits.bit_length() - 1) > low and tries < 4:
+            while bits and (n := bits.bit_length() - 1) > low and tries < LENGTHS:
                 for k, found in enumerate(of[n]):
                     if found[0] != b and fill[b] + n - low > fill[found[0]]:
                         return found, n
-                    if k >= 3:
+                    if k + 1 >= OF_LENGTH:
                         break
                 bits &= (1 << n) - 1
                 tries += 1
@@ -215,7 +225,7 @@ class Bins:
                 room, best = size - fill[b], None
                 own = items[b]
                 gives = [((), 0), *(((i,), lengths[i]) for i in own)]
-                gives += [((own[y], own[x]), lengths[own[x]] + lengths[own[y]]) for x in range(min(len(own), 6)) for y in range(x)]
+                gives += [((own[y], own[x]), lengths[own[x]] + lengths[own[y]]) for x in range(min(len(own), IN_TWOS)) for y in range(x)]
                 for give, n in gives:
                     got = largest(where, mask, n, min(n + room, size), b)
                     if got and (best is None or got[1] - n > best[0]):

@@ -7,14 +7,13 @@ import pytest
 from quillspark.llm import packing
 from quillspark.llm.common import tokenizer_path
 
-TEXTS = ["", None, " ", "one", "a  b", "a \n b", "x\n foo", "don't  ", " a\u3000b c", "a\x1cb c\x1d d", "  lead", "tab\tx y", "<|endoftext|> hi", "é 中文 字 😀 ok", "it 's 're", "word " * 5000]
+TEXTS = ["", None, " ", "one", "a  b", "a \n b", "x\n foo", "don't  ", " a\u3000b c", "a\x1cb c\x1d d", "  lead", "tab\tx y", "<|endoftext|> hi", "hi <|endoftext|> x", "a <|endoftext|><|endoftext|>", "<|endoftext |>", "é 中文 字 😀 ok", "it 's 're", "word " * 5000]
 
 
 def reference_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, packing.END]
 
 
@@ -24,6 +23,11 @@ def test_ids_are_those_of_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == reference_ids(text)
 
 
+def test_added_tokens_in_a_text_are_themselves():
+    got = packing.Ids(tokenizer_path())(["hi <|endoftext|> x"])[0]
+    assert np.frombuffer(got, "<u4").tolist() == [5303, 220, 50256, 2124, 2]
+
+
 def test_cuts():
     assert packing.cuts(1) == [(0, 1)]
     assert packing.cuts(1024) == [(0, 1024)]
@@ -108,8 +112,8 @@ def test_documents_round_trip(spark):
             assert o == end
             end += n
         assert end <= 1024
-    long = out[out.doc_id == 15].sort_values("piece")
-    ids = np.asarray(reference_ids(TEXTS[15]), "<u4")
+    long = out[out.doc_id == len(TEXTS) - 1].sort_values("piece")
+    ids = np.asarray(reference_ids(TEXTS[-1]), "<u4")
     assert long.length.sum() == len(ids)
     assert (long.length.iloc[1:] == 1024).all()
     for r in long.itertuples():
