@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import stashed
+
 SEED = "mix-1"
 ALPHA = 0.7
 RATE = 1.0
@@ -32,14 +34,15 @@ def uniform(key: Column) -> Column:
 def poisson_inverse(u: Column, rate: Column) -> Column:
     """The least count whose distribution function exceeds u.
 
-    Terms are summed up to far beyond any count that 52 bits can ask for.
+    Terms are kept as logarithms, as those of high rates begin below what a double can hold, and
+    summed up to far beyond any count that 52 bits can ask for.
     """
     most = F.ceil(rate + F.lit(12.0) * F.sqrt(rate) + F.lit(30.0)).cast("int")
-    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("cdf"), F.lit(0).alias("n"))
+    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("cdf"), F.lit(0).alias("n"))
 
     def step(s: Column, k: Column) -> Column:
-        term = s["term"] * rate / k
-        return F.when(s["cdf"] > u, s).otherwise(F.struct(term.alias("term"), (s["cdf"] + term).alias("cdf"), k.cast("int").alias("n")))
+        log = s["log"] + F.log(rate / k)
+        return F.when(s["cdf"] > u, s).otherwise(F.struct(log.alias("log"), (s["cdf"] + F.exp(log)).alias("cdf"), k.cast("int").alias("n")))
 
     return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["n"])
 
@@ -48,9 +51,9 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPH
     """source and the mean number of copies of each of its documents."""
     n = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
-        n = n.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(alpha)))
+        n = stashed(n.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(alpha))))
     else:
-        n = n.join(weights.select("source", F.col("weight").cast("double").alias("weight")), "source", "left").na.fill(0.0, ["weight"])
+        n = stashed(n.join(weights.select("source", F.col("weight").cast("double").alias("weight")), "source", "left").na.fill(0.0, ["weight"]))
     total = n.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
     share = F.col("weight") / F.lit(total["weight"]) if total["weight"] else F.lit(0.0)
     return n.select("source", (F.lit(rate) * F.lit(total["n"] or 0) * share / F.col("n")).alias("rate"))
@@ -58,7 +61,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPH
 
 def counted(docs: DataFrame, seed: str = SEED, **mix) -> DataFrame:
     """docs with the number of copies, mix_copies."""
-    by_source = rates(docs, **mix).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate")).cache()
+    by_source = rates(docs, **mix).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"))
     if by_source.count() <= BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
     u = uniform(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))

@@ -65,10 +65,10 @@ r AS (SELECT source, (1.0 * sum(n) OVER () * (weight / sum(weight) OVER ()) / n)
 d AS (SELECT doc_id, documents.source, rate,
         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u
       FROM documents JOIN r ON coalesce(documents.source, '') = r.source),
-p(rate, k, term, cdf) AS (
-  SELECT DISTINCT rate, 0, exp(-rate), exp(-rate) FROM r
+p(rate, k, log, cdf) AS (
+  SELECT DISTINCT rate, 0, -rate, exp(-rate) FROM r
   UNION ALL
-  SELECT rate, k + 1, term * rate / (k + 1), cdf + term * rate / (k + 1) FROM p WHERE k + 1 <= ceil(rate + 12 * sqrt(rate) + 30))
+  SELECT rate, k + 1, log + ln(rate / (k + 1)), cdf + exp(log + ln(rate / (k + 1))) FROM p WHERE k + 1 <= ceil(rate + 12 * sqrt(rate) + 30))
 SELECT d.doc_id, d.source, p.k AS mix_copy FROM d JOIN p ON p.rate = d.rate AND p.cdf <= d.u
 """,
 }

@@ -1,4 +1,4 @@
-import math
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,19 +7,32 @@ from quillspark.llm import mixing
 
 
 def inverse(u, rate):
-    term = cdf = math.exp(-rate)
-    n = 0
-    while cdf <= u:
-        n += 1
-        term *= rate / n
-        cdf += term
+    """By exact fractions of exp(-rate), as the sum of rate ** k / k!."""
+    u, rate = Decimal(u), Decimal(rate)
+    with localcontext() as c:
+        c.prec, c.Emin = 60, -(10**6)
+        term = cdf = (-rate).exp()
+        n = 0
+        while cdf <= u:
+            n += 1
+            term *= rate / n
+            cdf += term
     return n
 
 
 def test_inverse_distribution(spark):
     rows = [(u / 97, r) for u in range(97) for r in (0.0, 0.1, 1.0, 4.5, 30.0)]
+    rows += [(u / 7, r) for u in range(1, 7) for r in (700.0, 745.0, 746.0, 800.0, 2000.0, 5000.0)]
     out = spark.createDataFrame(rows, "u double, rate double").withColumn("n", mixing.poisson_inverse(F.col("u"), F.col("rate"))).collect()
     assert all(r.n == inverse(r.u, r.rate) for r in out)
+    assert {r.rate: r.n for r in out if r.u == 3 / 7}[2000.0] in range(1980, 2001)
+
+
+def test_a_rare_source_is_repeated_often(spark):
+    docs = spark.createDataFrame([(i, "hot") for i in range(3000)] + [(-1, "rare")], "doc_id bigint, source string")
+    weights = spark.createDataFrame([("hot", 1.0), ("rare", 1.0)], "source string, weight double")
+    n = {r.source: r["count"] for r in mixing.mixed(docs, weights=weights).groupBy("source").count().collect()}
+    assert n["rare"] == pytest.approx(1500, abs=6 * 1500**0.5) and n["hot"] == pytest.approx(1500, abs=6 * 1500**0.5)
 
 
 def test_target_weights(spark):
