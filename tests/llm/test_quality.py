@@ -40,7 +40,7 @@ def test_empty_texts():
 @pytest.fixture(scope="module")
 def labelled_rows(spark):
     both = table(spark, SF, "documents").join(table(spark, SF, "labels"), "doc_id").select("doc_id", "text", "quality").collect()
-    return [(r.doc_id, stats.of(r.text), r.quality) for r in both]
+    return [(r.doc_id, stats.of(r.text), r.quality, ranking.described(r.text)) for r in both]
 
 
 def test_decision_list_on_held_out_rows(labelled_rows):
@@ -69,12 +69,60 @@ def test_expression_says_what_the_list_says(spark, labelled_rows):
 def test_ranking_on_held_out_rows(labelled_rows):
     learn = [r for r in labelled_rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
     held = [r for r in labelled_rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
-    ranker = ranking.Ranker(np.asarray([r[1] for r in learn], float), np.asarray([r[2] for r in learn]))
-    s = ranker.score(np.asarray([r[1] for r in held], float))
+    ranker = ranking.Ranker(np.asarray([r[3] for r in learn]), np.asarray([r[2] for r in learn]))
+    s = ranker.score(np.asarray([r[3] for r in held]))
     wrong = ((s >= ranking.THRESHOLD) != np.asarray([r[2] == 1 for r in held])).mean()
     assert wrong < 0.03 and s.min() >= 0 and s.max() <= 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_weights_have_the_greatest_likelihood(seed):
+    """Against plain gradient ascent over all pairs, one by one."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(14, 3))
+    label = (x @ [1.0, -2.0, 0.5] + r.normal(size=14) > 0).astype(int)
+    label[:2] = 0, 1
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    w = np.zeros(3)
+    for _ in range(6000):
+        grad = -ranking.RIDGE * w
+        for i in good:
+            for j in bad:
+                d = x[i] - x[j]
+                grad = grad + d / (1 + np.exp(d @ w))
+        w = w + 0.02 * grad
+    assert ranking.bradley_terry(x, *ranking.pairs_of(good, bad)) == pytest.approx(w, abs=1e-5)
+
+
+def test_threshold_is_the_quantile_of_all_labels():
+    scores = np.asarray([5.0, 1.0, 2.0, 3.0, 4.0])
+    assert ranking.quantile(scores, np.ones(5), 0.4) == 2.5
+    assert ranking.quantile(scores, np.asarray([1.0, 6.0, 1.0, 1.0, 1.0]), 0.6) == 1.5
+    r = np.random.default_rng(1)
+    rows = np.abs(r.normal(size=(300, len(ranking.NAMES) + ranking.WORD_BUCKETS)))
+    label = np.arange(300) % 2
+    rows[:, ranking._USED[0]] += 1.5 * label
+    for totals in ((150, 150), (100, 900), (900, 100)):
+        ranker = ranking.Ranker(rows, label, totals)
+        weight = np.where(label == 1, totals[1], totals[0]) / 150
+        low = weight[ranker.score(rows) < ranking.THRESHOLD].sum() / weight.sum()
+        assert low == pytest.approx(totals[0] / sum(totals), abs=0.02)
+
+
+def test_ties_at_the_threshold_are_kept():
+    rows = np.zeros((6, len(ranking.NAMES) + ranking.WORD_BUCKETS))
+    got = ranking.Ranker(rows, np.asarray([0, 0, 0, 1, 1, 1])).score(rows)
+    assert (got >= ranking.THRESHOLD).all()
+
+
+def test_words_tell_where_statistics_do_not():
+    texts = ["good " * 3 + "aaaa bbbb cccc dddd" if k % 2 else "evil " * 3 + "aaaa bbbb cccc dddd" for k in range(80)]
+    rows = np.vstack([ranking.described(t) for t in texts])
+    ranker = ranking.Ranker(rows, np.arange(80) % 2)
+    a, b = ranker.score(np.vstack([ranking.described("good good bbbb"), ranking.described("evil evil bbbb")]))
+    assert a > b
+
+
 def test_edges(spark):
     rows = [(1, None, 5), (2, "", 5), (3, "a b c d e f g h i j", 5), (3, "a b c d e f g h i j", 5), (None, "w " * 100_000, 5)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_words int")
