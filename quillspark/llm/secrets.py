@@ -1,60 +1,65 @@
 """Secret scan by one deterministic automaton for all rules.
 
-Each rule's regex is parsed into a nondeterministic automaton; their union, which may begin
-anywhere, becomes a deterministic one by subset construction and is minimised. It is stored
-as one array of transitions, indexed by state and byte class, and reads each text's bytes
-once, telling which rules match anywhere. Only for those does an exact pass find the spans:
-leftmost and non-overlapping for each kind, in code points.
-
-Null and empty texts have no spans. Every row is scanned for itself, so repeated rows get
-repeated results. Other columns stay as they are.
+Each rule's regex is parsed into a nondeterministic automaton. All of them, read backwards,
+become one deterministic automaton by subset construction, which is minimised and stored as
+an array of transitions, indexed by state and byte class. It reads each text's bytes once, from
+the end, and tells of every byte which rules have a match that starts there. Ends come from
+each rule's own deterministic automaton, run forward from the leftmost start until it fails:
+spans are leftmost, longest and don't overlap within a kind. No regex library takes part.
+
+The pass is made in many lanes at once, each a stretch of the bytes; a lane that doesn't start
+in the state that the one before ends in is mended until both agree.
+
+Positions are in code points. Null and empty texts have no spans. Every row is scanned for
+itself, so repeated rows get repeated results. Columns with the names of results are replaced;
+others stay as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from array import array
 from functools import lru_cache
+from itertools import pairwise
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quillspark.llm.common import appended
 
+_WORD = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_PEM = r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"
 # The base kinds first, in the order in which spans at one place are listed.
-# (kind, pattern for the exact pass, group whose length counts, least length, pattern for the automaton)
-# Where a later rule asks for many characters of a kind, the automaton stops at the first,
-# as counters of several rules multiply its states.
+# (kind, pattern, what must be long: the whole match or its last run of characters, least length,
+#  pattern by which starts are found, where that isn't the first one)
+# A base match that is too short goes, and what it covers isn't looked at again for its kind.
+# Counters stay out of the combined automaton where they would multiply its states; the rule's own has them.
 RULES = (
-    (
-        "assign",
-        r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        1,
-        12,
-        r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=\-]{12}""",
-    ),
-    ("access", r"AKIA[A-Z0-9]+", 0, 18, r"AKIA[A-Z0-9]{14}"),
-    ("hex", r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16}"),
-    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, r"gh[pousr]_[A-Za-z0-9]"),
-    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, r"xox[abprs]-[A-Za-z0-9\-]"),
-    ("google", r"AIza[A-Za-z0-9_-]{35,}", 0, 39, r"AIza[A-Za-z0-9_\-]"),
-    ("stripe", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", 0, 24, r"[sr]k_(live|test)_[A-Za-z0-9]"),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30, r"eyJ[A-Za-z0-9_\-]+\.eyJ"),
-    ("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----)?", 0, 1, r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
-    ("url", r"://[A-Za-z0-9._%+-]+:([^\s/@:]{4,})@[A-Za-z0-9.-]+", 1, 4, r"://[A-Za-z0-9._%+\-]+:[^ \t\n\r/@:]"),
+    ("assign", _WORD + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=\-]+""", "run", 12, None),
+    ("access", r"AKIA[A-Z0-9]+", "whole", 18, None),
+    ("hex", r"[0-9a-f]+", "whole", 16, r"[0-9a-f]{16}"),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", "whole", 40, r"gh[pousr]_[A-Za-z0-9]"),
+    ("slack", r"xox[abprs]-[A-Za-z0-9\-]{10,}", "whole", 15, r"xox[abprs]-[A-Za-z0-9\-]"),
+    ("google", r"AIza[A-Za-z0-9_\-]{35,}", "whole", 39, r"AIza[A-Za-z0-9_\-]"),
+    ("stripe", r"[sr]k_(live|test)_[A-Za-z0-9]{16,}", "whole", 24, r"[sr]k_(live|test)_[A-Za-z0-9]"),
+    ("jwt", r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}", "whole", 30, r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]"),
+    ("pem", _PEM + r"([A-Za-z0-9+/=\x20\t\n\r]+-----END ([A-Z]+ )*PRIVATE KEY-----)?", "whole", 1, _PEM),
+    ("url", r"://[A-Za-z0-9._%+\-]+:[!-.0-9;-?A-~]{4,}@[A-Za-z0-9.\-]+", "whole", 4, r"://[A-Za-z0-9._%+\-]+:[!-.0-9;-?A-~]"),
 )
 KINDS = tuple(r[0] for r in RULES)
 BASE = 3
+#: Bytes of a pass that are in memory at a time, and lanes that they are read in.
+SEGMENT, LANES = 1 << 20, 1024
+#: A byte that UTF-8 doesn't have; it stands between texts.
+_BETWEEN = 255
 
 
 class _Nfa:
-    """Automaton with empty moves, from a small regex language: sets, groups, |, ?, *, +, {n}."""
+    """Automaton with empty moves, from a small regex language: sets, groups, |, ?, *, +, {n}, {n,}."""
 
     def __init__(self):
         self.empty: list[list[int]] = []
         self.moves: list[list[tuple[frozenset, int]]] = []
-        self.chained: dict[int, tuple[int, int]] = {}  # state -> repetition, how far in it
 
     def state(self) -> int:
         self.empty.append([])
@@ -68,6 +73,17 @@ class _Nfa:
             raise ValueError(f"not understood from {self.at}: {pattern}")
         return ends
 
+    def reversed(self) -> _Nfa:
+        out = _Nfa()
+        for _ in self.empty:
+            out.state()
+        for s in range(len(self.empty)):
+            for t in self.empty[s]:
+                out.empty[t].append(s)
+            for chars, t in self.moves[s]:
+                out.moves[t].append((chars, s))
+        return out
+
     def peek(self) -> str:
         return self.text[self.at : self.at + 1]
 
@@ -95,16 +111,15 @@ class _Nfa:
             a, b = self.atom()
             mark = self.peek()
             if mark == "{":
-                times = int(self.text[self.at + 1 : self.text.index("}", self.at)])
                 after = self.text.index("}", self.at) + 1
-                chain = len(self.chained)
-                self.chained[a] = (chain, 0)
-                for k in range(1, times):
+                times = self.text[self.at + 1 : after - 1]
+                for _ in range(1, int(times.rstrip(","))):
                     self.at = begin
                     c, d = self.atom()
-                    self.chained[c] = (chain, k)
                     self.empty[b].append(c)
-                    b = d
+                    b, e = d, c
+                if times.endswith(","):
+                    self.empty[b].append(e if int(times[:-1]) > 1 else a)
                 self.at = after
             elif mark and mark in "?*+":
                 self.next()
@@ -159,22 +174,15 @@ class _Nfa:
 
 
 class Automaton:
-    """classes: byte -> class; step: state << bits | class -> state << bits; found: state -> rules.
+    """classes: byte -> class; step: state << bits | class -> state << bits; found: state -> rules that it accepts.
 
-    States from final on (shifted) have rules that match there.
+    States from final on (shifted) accept; with anywhere, a match may begin at any byte.
     """
 
-    def __init__(self, patterns: list[str]):
-        nfa = _Nfa()
-        start = nfa.state()
-        ends = {}
-        for k, p in enumerate(patterns):
-            a, b = nfa.add(p)
-            nfa.empty[start].append(a)
-            ends[b] = k
+    def __init__(self, nfa: _Nfa, starts: list[int], ends: dict[int, int], anywhere: bool):
         sets = sorted({m[0] for moves in nfa.moves for m in moves}, key=sorted)
-        kinds: dict[tuple, int] = {}
-        classes = [kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256)]
+        kinds: dict[tuple, int] = {(): 0}
+        classes = [kinds.setdefault((*(b in s for s in sets),), len(kinds)) if b != _BETWEEN else 0 for b in range(256)]
         sample = [classes.index(c) for c in range(len(kinds))]
 
         def closed(states) -> frozenset:
@@ -186,24 +194,15 @@ class Automaton:
                         todo.append(t)
             return frozenset(s for s in seen if nfa.moves[s] or s in ends)
 
-        def ahead(states: frozenset) -> frozenset:
-            """Of several places in one repetition of a set, the furthest: it matches first."""
-            far: dict[int, int] = {}
-            for s in states:
-                if s in nfa.chained:
-                    chain, k = nfa.chained[s]
-                    far[chain] = max(far.get(chain, 0), k)
-            return frozenset(s for s in states if s not in nfa.chained or far[nfa.chained[s][0]] == nfa.chained[s][1])
-
-        closures = {s: closed([s]) for s in range(len(nfa.empty))}
-        first = closures[start]
+        closures = [closed([s]) for s in range(len(nfa.empty))]
+        first = frozenset().union(*(closures[s] for s in starts))
         number, rows, rules, todo = {first: 0}, [], [], [first]
-        for own in todo:  # subset construction; a match may begin at any byte
+        for own in todo:  # subset construction
             rules.append(sum(1 << ends[s] for s in own if s in ends))
-            row = []
+            row = [0]  # between texts all starts anew
             moves = [m for s in own for m in nfa.moves[s]]
-            for b in sample:
-                to = ahead(frozenset().union(first, *(closures[t] for chars, t in moves if b in chars)))
+            for b in sample[1:]:
+                to = frozenset().union(first if anywhere else (), *(closures[t] for chars, t in moves if b in chars))
                 if to not in number:
                     number[to] = len(number)
                     todo.append(to)
@@ -212,7 +211,7 @@ class Automaton:
         self.subsets = len(rows)
         block = {r: i for i, r in enumerate(sorted(set(rules)))}
         part = [block[r] for r in rules]
-        while True:  # states with equal rules and equal next blocks stay together
+        while True:  # minimisation: states with equal rules and equal next blocks stay together
             keys: dict[tuple, int] = {}
             finer = [keys.setdefault((part[s], *(part[t] for t in rows[s])), len(keys)) for s in range(len(rows))]
             if len(keys) == len(set(part)):
@@ -224,50 +223,117 @@ class Automaton:
         order = sorted(blocks, key=lambda p: (rules[blocks[p]] != 0, blocks[p] != 0))
         at = {p: i for i, p in enumerate(order)}
         self.bits = max(1, (len(kinds) - 1).bit_length())
-        self.classes = bytes(classes)
-        step = array("l", bytes(8 * (len(order) << self.bits)))
+        self.classes = np.asarray(classes, "uint8")
+        self.step = np.zeros(len(order) << self.bits, "int32")
         for p in order:
             for c, t in enumerate(rows[blocks[p]]):
-                step[at[p] << self.bits | c] = at[part[t]] << self.bits
-        self.step = step.tolist()
-        self.found = [rules[blocks[p]] for p in order]
+                self.step[at[p] << self.bits | c] = at[part[t]] << self.bits
+        self.found = np.asarray([rules[blocks[p]] for p in order])
         self.first = at[part[0]] << self.bits
-        self.final = min(i for i, r in enumerate(self.found) if r) << self.bits
-
-    def rules_in(self, data: bytes) -> int:
-        """Bits of the rules that match anywhere in data."""
-        step, final, s, seen = self.step, self.final, self.first, set()
-        for c in data.translate(self.classes):
-            s = step[s | c]
+        self.final = min((i for i, r in enumerate(self.found) if r), default=len(order)) << self.bits
+        dead = number.get(frozenset())
+        self.dead = -1 if dead is None else at[part[dead]] << self.bits
+        self.steps, self.bytes_to = self.step.tolist(), bytes(classes)
+
+    def longest(self, data: bytes, at: int) -> tuple[int, int]:
+        """Of the matches that start there, where the shortest and the longest end; -1 if there is none."""
+        step, final, dead, s = self.steps, self.final, self.dead, self.first
+        shortest = end = -1
+        for i in range(at, len(data)):
+            s = step[s | self.bytes_to[data[i]]]
             if s >= final:
-                seen.add(s)
-        got = 0
-        for s in seen:
-            got |= self.found[s >> self.bits]
-        return got
+                end = i + 1
+                if shortest < 0:
+                    shortest = end
+            elif s == dead:
+                break
+        return shortest, end
+
+    def accepting(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places in data, read from its end, at which the automaton accepts, from the first on, and what it accepts there."""
+        codes = self.classes[np.frombuffer(data, "uint8")[::-1]]
+        s, step, places, got = self.first, self.steps, [], []
+        for low in range(0, len(codes), SEGMENT):
+            own = codes[low : low + SEGMENT]
+            wide = -(-len(own) // LANES)
+            lanes = -(-len(own) // wide)
+            columns = np.zeros(lanes * wide, "int32")
+            columns[: len(own)] = own
+            columns = np.ascontiguousarray(columns.reshape(lanes, wide).T)
+            states = np.empty((wide, lanes), "int32")
+            now = np.full(lanes, self.first, "int32")
+            now[0] = s
+            at = np.empty(lanes, "int32")
+            for j in range(wide):
+                np.add(now, columns[j], out=at)
+                now = np.take(self.step, at, out=states[j], mode="clip")
+            for lane in range(1, lanes):
+                s = int(states[-1, lane - 1])
+                if s != self.first:
+                    for j in range(wide):
+                        s = step[s | int(columns[j, lane])]
+                        if s == states[j, lane]:
+                            break
+                        states[j, lane] = s
+            line = states.T.ravel()[: len(own)]
+            s = int(line[-1])
+            hits = np.flatnonzero(line >= self.final)
+            places.append(len(codes) - 1 - low - hits)
+            got.append(self.found[line[hits] >> self.bits])
+        return np.concatenate([[], *places])[::-1].astype("int64"), np.concatenate([[], *got])[::-1].astype("int64")
+
+
+class Scanner:
+    """All rules: one automaton that reads backwards for starts, and one for each rule for ends."""
+
+    def __init__(self, rules: tuple = RULES):
+        nfa, starts, ends = _Nfa(), [], {}
+        for k, (_, pattern, _, _, start) in enumerate(rules):
+            a, b = nfa.add(start or pattern)
+            starts.append(b)
+            ends[a] = k
+        self.starts = Automaton(nfa.reversed(), starts, ends, anywhere=True)
+        self.ends = []
+        for _, pattern, *_ in rules:
+            own = _Nfa()
+            a, b = own.add(pattern)
+            self.ends.append(Automaton(own, [a], {b: 0}, anywhere=False))
+        self.rules = rules
+
+    def __call__(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
+        """(start, kind, end) of each text's spans, in order."""
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        places, found = self.starts.accepting(bytes([_BETWEEN]).join(raw))
+        edges = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        cuts = np.searchsorted(places, edges)
+        return [self._spans(raw[i], places[a:b] - edges[i], found[a:b]) if b > a else [] for i, (a, b) in enumerate(pairwise(cuts.tolist()))]
+
+    def _spans(self, data: bytes, places: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int]]:
+        out = []
+        for k, (_, _, what, least, _) in enumerate(self.rules):
+            at = 0
+            for start in places[found >> k & 1 > 0].tolist():
+                if start < at:
+                    continue
+                shortest, end = self.ends[k].longest(data, start)
+                if end < 0:
+                    continue
+                at = end
+                if (end - start if what == "whole" else end - shortest + 1) >= least:
+                    out.append((start, k, end))
+        if out and not data.isascii():
+            points = np.cumsum(np.r_[0, (np.frombuffer(data, "uint8") & 0xC0) != 0x80])
+            out = [(int(points[a]), k, int(points[b])) for a, k, b in out]
+        return sorted(out)
 
 
 @lru_cache(maxsize=1)
-def automaton() -> Automaton:
-    return Automaton([r[4] for r in RULES])
-
-
-_EXACT = [re.compile(r[1]) for r in RULES]
+def scanner() -> Scanner:
+    return Scanner()
 
 
-def spans_of(text: str, rules: int) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of those rules, in order."""
-    out = []
-    for k, (_, _, group, least, _) in enumerate(RULES):
-        if rules >> k & 1:
-            out += [(m.start(), k, m.end()) for m in _EXACT[k].finditer(text) if m.end(group) - m.start(group) >= least]
-    return sorted(out)
-
-
-def found_in(text: str | None, machine: Automaton | None = None) -> list[tuple[int, int, int]]:
-    text = text or ""
-    rules = (machine or automaton()).rules_in(text.encode("utf-8", "surrogatepass"))
-    return spans_of(text, rules) if rules else []
+def found_in(text: str | None) -> list[tuple[int, int, int]]:
+    return scanner()([text])[0]
 
 
 def told(spans: list[tuple[int, int, int]]) -> str:
@@ -276,12 +342,11 @@ def told(spans: list[tuple[int, int, int]]) -> str:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """docs, without text, with n_assign, n_access, n_hex, base_sha256 and spans."""
-
-    machine = automaton()  # made once, sent with the tasks
+    scan = scanner()  # made once, sent with the tasks
 
     def make():
         def work(texts):
-            rows = [found_in(t, machine) for t in texts]
+            rows = scan(texts)
             got = {f"n_{KINDS[k]}": [sum(s[1] == k for s in row) for row in rows] for k in range(BASE)}
             got["base_sha256"] = [hashlib.sha256(told([s for s in row if s[1] < BASE]).encode()).hexdigest() for row in rows]
             got["spans"] = [told(row) for row in rows]
@@ -293,9 +358,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     return appended(docs, "text", make, fields, without=("text",))
 
 
-def redact(text: str | None, machine: Automaton | None = None) -> str | None:
+def redact(text: str | None, spans: list[tuple[int, int, int]] | None = None) -> str | None:
     """text with each run of overlapping spans replaced by the kind of its first, in brackets."""
-    spans = found_in(text, machine)
+    spans = found_in(text) if spans is None else spans
     if not spans:
         return text
     out, at = [], 0
@@ -308,12 +373,11 @@ def redact(text: str | None, machine: Automaton | None = None) -> str | None:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with secrets in text replaced, and n_chars, if there, counted anew."""
-
-    machine = automaton()
+    scan = scanner()
 
     def make():
         def work(texts):
-            new = [redact(t, machine) for t in texts]
+            new = [redact(t, spans) for t, spans in zip(texts, scan(texts))]
             return {"text": new, "n_chars": [None if t is None else len(t) for t in new]}
 
         return work

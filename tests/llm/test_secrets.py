@@ -5,19 +5,48 @@ import re
 import pytest
 
 from quillspark.llm import secrets
+from quillspark.llm.common import table
 
 
+PIECES = ["password", "passwd", "token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "abcdef0123456789", "AKIA", "ABCDEFGH01234567", "ghp_", "x" * 8, "x" * 40, "xoxb-", "AIza", "eyJ", ".", "://", "user", "@", "-----BEGIN ", "-----END ", "RSA ", "PRIVATE KEY-----", "é", "\n", "sk_live_", "0", "é"]
+
+
+def by_regex(text):
+    """All spans, by a regex search for each kind."""
+    out = []
+    for k, (kind, pattern, what, least, _) in enumerate(secrets.RULES):
+        if what == "run":
+            head, tail = pattern[: pattern.rindex("[")], pattern[pattern.rindex("[") :]
+            pattern = f"{head}(?P<run>{tail})"
+        for m in re.finditer(pattern, text):
+            if len(m["run"] if what == "run" else m[0]) >= least:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("segment, lanes", [(secrets.SEGMENT, secrets.LANES), (64, 8), (7, 3), (1, 1)])
 @pytest.mark.parametrize("seed", range(6))
-def test_automaton_agrees_with_regexes(seed):
-    """The automaton tells of each text the rules that a regex search finds."""
+def test_automata_agree_with_regexes(seed, segment, lanes, monkeypatch):
+    monkeypatch.setattr(secrets, "SEGMENT", segment)
+    monkeypatch.setattr(secrets, "LANES", lanes)
     r = random.Random(seed)
-    patterns = [re.compile(p[4].encode()) for p in secrets.RULES]
-    pieces = ["password", "passwd", "token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "abcdef0123456789", "AKIA", "ABCDEFGH01234567", "ghp_", "x" * 8, "xoxb-", "AIza", "eyJ", ".", "://", "user", "@", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "é", "\n", "sk_live_", "0"]
-    machine = secrets.automaton()
-    for _ in range(300):
-        data = "".join(r.choice(pieces) for _ in range(r.randrange(1, 14))).encode()
-        want = sum(1 << k for k, p in enumerate(patterns) if p.search(data))
-        assert machine.rules_in(data) == want, data
+    texts = [None, ""] + ["".join(r.choice(PIECES) for _ in range(r.randrange(1, 18))) for _ in range(400)] + [""]
+    assert secrets.scanner()(texts) == [by_regex(t or "") for t in texts]
+
+
+@pytest.mark.parametrize("kind, secret", [
+    ("github", "ghp_" + "a1B2" * 9), ("slack", "xoxb-" + "1234567890"), ("google", "AIza" + "S" * 35), ("stripe", "sk_live_" + "q" * 16),
+    ("jwt", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM"), ("pem", "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----"), ("url", "://bob:hunter22@db.example.org"),
+])
+def test_each_later_kind(kind, secret):
+    got = [(secrets.KINDS[k], a, b) for a, k, b in secrets.found_in(f"é {secret} ")]
+    assert (kind, 2, 2 + len(secret)) in got
+    assert kind not in {secrets.KINDS[k] for _, k, _ in secrets.found_in(secret[:8])} or kind == "pem"
+
+
+def test_documents_by_regex(spark):
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    assert secrets.scanner()(texts) == [by_regex(t or "") for t in texts]
 
 
 def test_spans():
@@ -44,7 +73,7 @@ def test_base_is_the_leftmost_search():
 
 def test_edges(spark):
     rows = [(1, None, 5), (2, "", 5), (3, "x" * 300_000 + " password=abcdefghijklmn", 5), (3, "password=abcdefghijklmn", 5)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_hex int")
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, n_hex int, spans string").selectExpr("*", "1 AS base_sha256")
     out = secrets.scanned(docs).orderBy("doc_id", "n_assign").collect()
     assert [r.n_assign for r in out] == [0, 0, 1, 1]
     assert out[0].base_sha256 == hashlib.sha256(b"").hexdigest() and out[0].spans == ""
