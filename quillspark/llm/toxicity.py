@@ -1,22 +1,30 @@
 """Toxicity by a subsequence string kernel, a support vector machine and Nyström landmarks.
 
-A text is read as sentences, a sentence as windows: its words, and runs of single characters
-joined ("i d i o t"). Windows are folded to lower case ASCII letters; signs inside a word
-vanish, and a mark stands for its start. The kernel of two windows sums, over all
-subsequences of three characters that both have within a span of SPAN, the product of
-decay ** span; each window is scaled by the norm of its places, so gaps and inserted
-characters only weaken a match. A text's score is a logistic function of its highest window,
-and of how many windows score above 0, in all and by its length.
-
-Training: of labelled sentences, those of clean texts give negative windows, the common ones
-and those that the machine trained so far mistakes; a toxic text's
-sentences give as witnesses the windows that best tell toxic texts, first by the texts that
-have them, then by the machine trained so far. Copies of witnesses with an inserted character
-join them. Landmarks are spread over the witnesses and the negatives; in the feature space
-that they span, a squared-hinge machine is trained by Newton steps.
-
-Null and empty texts have no window and get the score of that. Repeated rows score
-alike. Without labels of both classes every score is 0.0.
+A text is read as sentences, and a sentence as windows: each of its words, and each two that
+follow each other, as insults may have several words or a space put inside. Runs of four and
+more single characters ("i d i o t") are one word. Letters are folded to lower case without
+accents; those of other scripts are dealt to codes of their own by hash, digits share one.
+Signs inside a word vanish, and a mark stands for a word's start. Words of more than LONGEST
+codes give overlapping windows of that length, and of two words no more than that around
+their meeting place; every code of a text is in a window.
+
+The kernel of two windows sums, over all subsequences of three codes that both have within
+a span of SPAN, the product of decay ** span; each window is scaled by the norm of its places,
+so gaps and inserted characters only weaken a match. As the trained machine is linear in these
+subsequences, all windows of many texts are scored at once from running sums. A text's score is
+a logistic function of its highest window, and of how many score above 0, in all and by its length.
+
+Training uses whole labelled texts, at most SAMPLE of either class. A clean text's windows
+are negative. Of a toxic one the window that best tells toxic texts is its witness, first by
+the texts that have it, then by the machine trained so far; copies of witnesses with an inserted
+character join them. Landmarks are spread over witnesses and negatives; in the feature space
+that they span a squared-hinge machine is trained by Newton steps. It depends only on windows
+within its margin, so after each round all clean windows found there are added. The logistic
+function is fitted to the sample weighted by how many labels each class has in the whole table.
+
+Null and empty texts have no window and get the score of that. Repeated rows score alike; of
+labelled rows with one id the least text counts. Without labels of both classes every score
+is 0.0. No rows give no rows. Columns with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -26,10 +34,10 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.common import appended, held_out, training_sample
@@ -37,53 +45,101 @@ from quillspark.llm.common import appended, held_out, training_sample
 DECAY = 0.85
 SPAN = 6
 LONGEST = 24
-#: Windows with fewer letters have no score.
-SHORTEST = 2
+#: Windows with fewer codes, the mark included, have no score.
+SHORTEST = 3
+#: So many single characters in a row are one word.
+SPELLED = 4
 LANDMARKS = 200
 #: Labelled texts to learn from, at most, of either class; more aren't needed.
 SAMPLE = {0: 2500, 1: 1200}
-#: Windows of clean texts to learn from, at most.
-NEGATIVES = 12_000
-#: Windows of a toxic text that count as witnesses, and of all texts that are learned from, at most.
-WITNESSES, POSITIVES = 1, 3000
-ROUNDS = 4
-#: Words whose scores a Python worker remembers.
-CACHE = 800_000
+#: Negative windows of the first round.
+FIRST_NEGATIVES = 6000
+ROUNDS = 3
+#: Codes of texts, and windows, that are scored at a time.
+BLOCK = 1 << 20
 FOLDS, HELD_FOLD = 5, 0
 
-_CODES = 29  # 0: none, 1-26: letters, 27: any other letter or digit, 28: the window's start
+_CODES = 48  # 0: none, 1-26: letters, 27: digits, 28: a word's start, 29-47: letters of other scripts
+_START, _OTHER, _SENTENCE = 28, 29, 255
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
-_SPELLED = re.compile(r"(?<!\w)\w(?:[^\w\n]{1,2}\w(?!\w)){3,}")
-_CODE = np.zeros(128, "uint8")
-for _c in range(128):
-    _CODE[_c] = _c - 96 if 97 <= _c <= 122 else _c - 64 if 65 <= _c <= 90 else 27 if 48 <= _c <= 57 else 0
-
-
-@lru_cache(maxsize=4096)
-def _letter(c: str) -> str:
-    """An ASCII letter, a digit for what has none, or nothing."""
-    if c == "ß":
-        return "s"
-    base = unicodedata.normalize("NFKD", c)[0]
-    return base if base.isascii() and base.isalnum() else "0" if c.isalnum() else ""
-
-
-_START = bytes([28])
-_FOLD_TABLE = bytes(_CODE.tolist() + [0] * 128)
-_DROP = bytes(i for i in range(256) if i >= 128 or not _CODE[i])
-
-
-def folded(word: str) -> bytes:
-    """Codes of the word's start and letters."""
-    if not word.isascii():
-        word = "".join([c if c.isascii() else _letter(c) for c in word])
-    return _START + word.encode().translate(_FOLD_TABLE, _DROP)
+#: Full stops inside words aren't ends of sentences, unless a word with a capital follows.
+_END = re.compile(r"[.!?]+(?=\s|\Z|[^\W\d_a-z][^\W\d_A-Z])|\n")
+
+
+class _Letters(dict):
+    """Of each character one of Latin-1 for the table below, or none where it is a sign."""
+
+    def __missing__(self, c: int) -> str | None:
+        char = chr(c)
+        base = "s" if char in "ßẞ" else unicodedata.normalize("NFKD", char)[0].lower()
+        if base.isascii():
+            got = char if c < 128 else base if base.isalnum() else " " if base.isspace() else None
+        elif char.isspace():
+            got = " "
+        else:
+            got = chr(128 + zlib.crc32(base.encode("utf-8", "surrogatepass")) % (_CODES - _OTHER)) if char.isalnum() else None
+        self[c] = got
+        return got
 
 
-def _matrix(codes: list[bytes]) -> np.ndarray:
-    width = max(SPAN, max(map(len, codes)))
-    joined = b"".join(c.ljust(width + SPAN, b"\0") for c in codes)
-    return np.frombuffer(joined, "uint8").reshape(len(codes), width + SPAN)
+_LETTERS = _Letters()
+_TABLE = bytearray(256)
+for _c in range(256):
+    _s = chr(_c)
+    _TABLE[_c] = ord(_s.lower()) - 96 if _s.isascii() and _s.isalpha() else 27 if _s.isascii() and _s.isdigit() else _OTHER + _c - 128 if 128 <= _c < 128 + _CODES - _OTHER else _SENTENCE if _s == "\n" else 0
+_TABLE = bytes(_TABLE)
+_SIGNS = bytes(c for c in range(256) if not _TABLE[c] and not chr(c).isspace())
+
+
+def codes_of(text: str) -> bytes:
+    """Codes of letters, 0 for white space, _SENTENCE for ends of sentences."""
+    text = _END.sub("\n", text)
+    if not text.isascii():
+        text = text.translate(_LETTERS)
+    return text.encode("latin-1").translate(_TABLE, _SIGNS)
+
+
+def windows_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all texts in a row, and each window's start, end and text; windows are in order of their starts."""
+    parts = [codes_of(t) if t else b"" for t in texts]
+    between = bytes([_SENTENCE])
+    raw = np.frombuffer(between + between.join(parts) + between, "uint8").copy()
+    of_text = np.repeat(np.arange(len(parts)), [len(p) + 1 for p in parts])
+    letter = (raw > 0) & (raw < _SENTENCE)
+    head = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1  # first letters of words
+    if not len(head):
+        none = np.zeros(0, "int64")
+        return np.zeros(0, "uint8"), none, none, none
+    tail = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
+    sentence = np.cumsum(raw == _SENTENCE)[head]
+    # runs of single characters become one word: the marks inside go
+    joins = np.r_[False, (tail - head == 1)[1:] & (tail - head == 1)[:-1] & (sentence[1:] == sentence[:-1])]
+    run = np.cumsum(~joins)
+    joins &= np.bincount(run)[run] >= SPELLED
+    raw[head - 1] = _START
+    keep = letter.copy()
+    keep[head[~joins] - 1] = True
+    place = np.cumsum(keep) - keep  # where what is kept comes to stand
+    codes = raw[keep]
+    start = place[head[~joins] - 1]
+    end = np.r_[start[1:], len(codes)]
+    sentence, owner = sentence[~joins], of_text[head[~joins] - 1]
+    # long words in pieces
+    size = end - start
+    n = np.maximum(1, -(-(size - LONGEST // 2) // (LONGEST // 2)))
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    a = np.repeat(start, n) + k * (LONGEST // 2)
+    b = np.minimum(a + LONGEST, np.repeat(end, n))
+    # two words that follow each other
+    two = np.flatnonzero(sentence[1:] == sentence[:-1])
+    middle = start[two + 1]
+    starts = np.concatenate([a, np.maximum(start[two], middle - LONGEST // 2)])
+    ends = np.concatenate([b, np.minimum(end[two + 1], middle + LONGEST // 2)])
+    owners = np.concatenate([np.repeat(owner, n), owner[two]])
+    some = ends - starts >= SHORTEST
+    starts, ends, owners = starts[some], ends[some], owners[some]
+    order = np.argsort(starts, kind="stable")
+    return codes, starts[order], ends[order], owners[order]
 
 
 def _norms(lengths: np.ndarray) -> np.ndarray:
@@ -93,69 +149,74 @@ def _norms(lengths: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(total, 1e-9))
 
 
-def _pieces(codes: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Long windows as overlapping ones, with the window each is of."""
-    out, own = [], []
-    for i, c in enumerate(codes):
-        for at in range(0, max(1, len(c) - LONGEST // 2), LONGEST // 2):
-            out.append(c[at : at + LONGEST])
-            own.append(i)
-    return out, np.asarray(own)
+_NORMS = _norms(np.arange(LONGEST + 1))
 
 
-def linear(codes: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """Of each window the scaled sum of weights[i, j, k] over its places of i, j, k."""
+def linear(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of each window the scaled sum of weights[i, j, k] over its places of i, j, k; windows in order of their starts."""
     flat = weights.reshape(-1)
-    m = _matrix(codes)
-    width = m.shape[1] - SPAN
-    a, total = m[:, :width].astype("int32"), np.zeros(len(codes))
-    for x, y in _OFFSETS:
-        b, c = m[:, x : x + width], m[:, y : y + width]
-        got = flat[(a * _CODES + b) * _CODES + c]
-        total += DECAY ** (y + 1) * np.where(c > 0, got, 0).sum(1)
-    return total / _norms(np.asarray([len(c) for c in codes]))
+    out = np.zeros(len(starts))
+    for low in range(0, len(starts), BLOCK):
+        s, e = starts[low : low + BLOCK], ends[low : low + BLOCK]
+        base = int(s[0])
+        own = np.r_[codes[base : int(e.max())], np.zeros(SPAN, "uint8")].astype("int32")
+        n = len(own) - SPAN
+        first = own[:n] * _CODES
+        for y in range(2, SPAN):
+            here = np.zeros(n)
+            for x in range(1, y):
+                here += flat[(first + own[x : x + n]) * _CODES + own[y : y + n]]
+            total = np.r_[0.0, np.cumsum(here)]
+            out[low : low + BLOCK] += DECAY ** (y + 1) * (total[np.maximum(e - y, s) - base] - total[s - base])
+    return out / _NORMS[ends - starts]
 
 
 def features(codes: list[bytes], columns: np.ndarray, width: int) -> np.ndarray:
     """The kernel's own features, one row a window; columns: triple -> column, -1 for none."""
-    out = np.zeros((len(codes), width), "float32")
-    m = _matrix(codes).astype("int64")
-    wide = m.shape[1] - SPAN
-    rows = np.arange(len(codes))[:, None] + np.zeros((1, wide), "int64")
+    wide = max(map(len, codes))
+    m = np.frombuffer(b"".join(c.ljust(wide + SPAN, b"\0") for c in codes), "uint8").reshape(len(codes), wide + SPAN).astype("int64")
+    out = np.zeros(len(codes) * width)
+    rows = np.arange(len(codes))[:, None] * width + np.zeros((1, wide), "int64")
     for x, y in _OFFSETS:
         c = m[:, y : y + wide]
         at = columns[(m[:, :wide] * _CODES + m[:, x : x + wide]) * _CODES + c]
         ok = (c > 0) & (at >= 0)
-        np.add.at(out, (rows[ok], at[ok]), DECAY ** (y + 1))
-    return out / _norms(np.asarray([len(c) for c in codes]))[:, None].astype("float32")
+        np.add.at(out, rows[ok] + at[ok], DECAY ** (y + 1))
+    return out.reshape(len(codes), width) / _norms(np.asarray([len(c) for c in codes]))[:, None]
+
+
+def triples(codes: list[bytes]) -> np.ndarray:
+    """All triples within the span of any of these windows."""
+    wide = max(map(len, codes))
+    m = np.frombuffer(b"".join(c.ljust(wide + SPAN, b"\0") for c in codes), "uint8").reshape(len(codes), wide + SPAN).astype("int64")
+    found = [np.unique(((m[:, :wide] * _CODES + m[:, x : x + wide]) * _CODES + m[:, y : y + wide])[m[:, y : y + wide] > 0]) for x, y in _OFFSETS]
+    return np.unique(np.concatenate(found))
 
 
 class Nystrom:
     """Features spanned by landmarks."""
 
     def __init__(self, landmarks: list[bytes]):
-        all_phi = features(landmarks, np.arange(_CODES**3), _CODES**3)
-        self.own = np.flatnonzero(all_phi.any(0))
+        self.own = triples(landmarks)
         self.columns = np.full(_CODES**3, -1)
         self.columns[self.own] = np.arange(len(self.own))
-        self.phi = all_phi[:, self.own]
-        k = (self.phi @ self.phi.T).astype("float64")
-        w, v = np.linalg.eigh(k)
+        phi = features(landmarks, self.columns, len(self.own))
+        w, v = np.linalg.eigh(phi @ phi.T)
         keep = w > 1e-6 * max(w.max(), 1e-12)
-        self.whiten = v[:, keep] / np.sqrt(w[keep])
+        self.map = (phi.T @ (v[:, keep] / np.sqrt(w[keep]))).astype("float32")
 
     def __call__(self, codes: list[bytes]) -> np.ndarray:
-        parts = [features(codes[i : i + 400], self.columns, len(self.own)) @ self.phi.T for i in range(0, len(codes), 400)]
-        return np.vstack(parts).astype("float64") @ self.whiten
+        parts = [features(codes[i : i + 400], self.columns, len(self.own)).astype("float32") @ self.map for i in range(0, len(codes), 400)]
+        return np.vstack(parts).astype("float64")
 
     def primal(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(_CODES**3)
-        out[self.own] = self.phi.T @ (self.whiten @ w)
+        out[self.own] = self.map @ w
         return out.reshape(_CODES, _CODES, _CODES)
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4.0, steps: int = 30) -> np.ndarray:
-    """Newton's method; the last coefficient is the offset."""
+    """The least of |w|^2 / 2 + c / 2 * sum of weight * max(0, 1 - y (x w))^2, by Newton's method; the last coefficient is the offset, which is hardly held back."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
@@ -170,55 +231,50 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4
     return w
 
 
-def spelled(text: str) -> list[str]:
-    """Runs of single characters."""
-    return [re.sub(r"\W", "", m[0]) for m in _SPELLED.finditer(text)]
-
-
-def windows(text: str) -> list[str]:
-    """The windows of all sentences. None spans sentences, so the whole text is cut at once."""
-    return text.lower().replace(".", "").replace(",", "").split() + spelled(text)
-
-
 class Model:
-    """weights over character triples and an offset for windows, and of the logistic function of a text."""
+    """weights over code triples and an offset for windows, and the logistic function of a text."""
 
     def __init__(self, weights: np.ndarray | None, offset: float):
         self.weights, self.offset = weights, offset
-        self.logistic = np.zeros(len(describe([])) + 1)
-
-    @property
-    def name(self) -> str:
-        return "" if self.weights is None else f"{zlib.crc32(self.weights.tobytes())}:{self.offset!r}"
-
-    def decide(self, codes: list[bytes]) -> np.ndarray:
-        parts, own = _pieces(codes)
-        got = np.full(len(codes), -np.inf)
-        for i in range(0, len(parts), 8192):
-            np.maximum.at(got, own[i : i + 8192], linear(parts[i : i + 8192], self.weights))
-        return got + self.offset
+        self.logistic = np.zeros(7)
+
+    def described(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text the highest score, whole and up to 0.5; how many are above 0, 0.3 and 0.6, as logarithms; those above 0.3 in 100."""
+        out = np.zeros((len(texts), 6))
+        for a, b in _portions(texts):
+            codes, starts, ends, owner = windows_of(texts[a:b])
+            s = linear(codes, starts, ends, self.weights) + self.offset
+            above = s > 0
+            n = [np.bincount(owner[s > least], minlength=b - a) for least in (0, 0.3, 0.6)]
+            most = np.zeros(b - a)
+            np.maximum.at(most, owner[above], s[above])
+            every = np.bincount(owner, minlength=b - a) + 20
+            out[a:b] = np.stack([most, np.minimum(0.5, most), *map(np.log1p, n), np.minimum(3.0, 100 * n[1] / every)], axis=1)
+        return out
 
-    def probability(self, scores: list[float]) -> float:
-        """Of a text with those windows."""
-        if self.weights is None:
-            return 0.0
-        z = float(self.logistic[0] + np.dot(self.logistic[1:], describe(scores)))
-        return 1.0 / (1.0 + math.exp(min(50.0, max(-50.0, -z))))
-
-
-NO_SCORE = -3.0
+    def __call__(self, texts: list[str | None]) -> list[float]:
+        """The score of each text."""
+        if self.weights is None or not texts:
+            return [0.0] * len(texts)
+        z = self.logistic[0] + self.described(texts) @ self.logistic[1:]
+        return (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
 
 
-def describe(scores: list[float]) -> list[float]:
-    """The highest score, whole and up to 0.5; how many are above 0, 0.3 and 0.6, as logarithms; those above 0.3 in 100."""
-    above = [s for s in scores if s > 0]
-    some, sure, every = sum(s > 0.3 for s in above), sum(s > 0.6 for s in above), len(scores) + 20
-    most = max(above, default=0.0)
-    return [most, min(0.5, most), math.log1p(len(above)), math.log1p(some), math.log1p(sure), min(3.0, 100 * some / every)]
+def _portions(texts: list[str | None]):
+    """Ranges of texts of BLOCK characters together, or one."""
+    a = size = 0
+    for b, t in enumerate(texts):
+        n = len(t or "")
+        if size and size + n > BLOCK:
+            yield a, b
+            a, size = b, 0
+        size += n
+    yield a, len(texts)
 
 
-def fitted_logistic(rows: np.ndarray, label: np.ndarray, ridge: float = 0.02) -> np.ndarray:
+def fitted_logistic(rows: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None, ridge: float = 0.02) -> np.ndarray:
     """Offset and weights by Newton's method; features are scaled for the ridge."""
+    weight = np.ones(len(rows)) if weight is None else weight
     scale = rows.std(0) + 1e-6
     x = np.hstack([np.ones((len(rows), 1)), rows / scale])
     w = np.zeros(x.shape[1])
@@ -226,135 +282,113 @@ def fitted_logistic(rows: np.ndarray, label: np.ndarray, ridge: float = 0.02) ->
     keep[0, 0] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (label - p) - keep @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + keep, x.T @ (weight * (label - p)) - keep @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return np.concatenate([w[:1], w[1:] / scale])
 
 
-#: What a Python worker remembers, of its last model.
-_KNOWN: dict[str, dict[str, float]] = {}
-
-
-class Scorer:
-    """Scores of texts; words' scores are remembered."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        if model.weights is not None and model.name not in _KNOWN:
-            _KNOWN.clear()
-        self.known = _KNOWN.setdefault(model.name, {})
-
-    def windows(self, texts: list[str | None]) -> list[list[float]]:
-        """The scores of each text's windows; short ones have none."""
-        model, known = self.model, self.known
-        if len(known) > CACHE:
-            known.clear()
-        found = [windows(t) if t else [] for t in texts]
-        got = [list(map(known.get, f)) for f in found]
-        new = list({w for f, g in zip(found, got) if None in g for w, s in zip(f, g) if s is None})
-        if new:
-            codes = [folded(w) for w in new]
-            real = [i for i, c in enumerate(codes) if len(c) > SHORTEST]
-            known.update(dict.fromkeys(new, NO_SCORE))
-            if real:
-                for i, s in zip(real, model.decide([codes[i] for i in real]).tolist()):
-                    known[new[i]] = s
-            got = [list(map(known.get, f)) if None in g else g for f, g in zip(found, got)]
-        return got
-
-    def __call__(self, texts: list[str | None]) -> list[float]:
-        if self.model.weights is None:
-            return [0.0] * len(texts)
-        return [self.model.probability(g) for g in self.windows(texts)]
-
-
 def _inserted(code: bytes, k: int) -> bytes:
     at = 2 + k % (len(code) - 1)
     return code[:at] + bytes([1 + k * 7 % 26]) + code[at:]
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """The model of labelled texts; equal texts count once."""
+def _spread(codes, n: int) -> list[bytes]:
+    return sorted(codes, key=lambda c: (zlib.crc32(c), c))[:n]
+
+
+class _Sample:
+    """The labelled texts' windows: all, and the different ones with the numbers of clean and toxic texts that have them."""
+
+    def __init__(self, texts: list[str], label: np.ndarray):
+        codes, self.starts, self.ends, owner = windows_of(texts)
+        self.codes = codes
+        line, number = codes.tobytes(), {}
+        self.kind = np.fromiter((number.setdefault(line[a:b], len(number)) for a, b in zip(self.starts.tolist(), self.ends.tolist())), "int64", len(self.starts))
+        self.different = list(number)
+        both = np.unique(np.stack([owner, self.kind]), axis=1)
+        toxic = label[both[0]] == 1
+        self.toxic, self.clean = (np.bincount(both[1][t], minlength=len(number)) for t in (toxic, ~toxic))
+        self.bag, self.witness = both[0][toxic], both[1][toxic]  # texts and windows of toxic ones
+
+    def scores(self, model: Model) -> np.ndarray:
+        out = np.zeros(len(self.different))
+        out[self.kind] = linear(self.codes, self.starts, self.ends, model.weights) + model.offset
+        return out
+
+    def witnesses(self, scores: np.ndarray) -> Counter:
+        """Of each toxic text the window with the highest score, counted; those of -inf are none."""
+        order = np.lexsort((self.witness, -scores[self.witness], self.bag))
+        first = order[np.r_[True, self.bag[order][1:] != self.bag[order][:-1]]] if len(order) else order
+        return Counter(w for w in self.witness[first].tolist() if scores[w] > -np.inf)
+
+
+def fit(rows: list[tuple[str | None, int]], totals: tuple[int, int] | None = None) -> Model:
+    """The model of labelled texts; equal texts count once, with the highest label. totals: how many labels of either class they stand for."""
     seen: dict[str, int] = {}
     for text, label in rows:
-        seen.setdefault(text or "", int(label))
-    texts = sorted(seen.items())
-    words = {w for t, _ in texts for w in windows(t)}
-    code = {w: c for w in words if len(c := folded(w)) > SHORTEST}
-    bags: dict[int, list[set[bytes]]] = {0: [], 1: []}
-    for text, label in texts:
-        bags[label].append({code[w] for w in windows(text) if w in code})
-    if not any(bags[0]) or not any(bags[1]):
+        seen[text or ""] = max(int(label), seen.get(text or "", 0))
+    texts = sorted(seen)
+    label = np.asarray([seen[t] for t in texts], "int64")
+    n = np.bincount(label, minlength=2)
+    if not n.all():
+        return Model(None, 0.0)
+    sample = _Sample(texts, label)
+    if not sample.toxic.any():
         return Model(None, 0.0)
-    clean = Counter(c for own in bags[0] for c in own)
-    toxic = Counter(c for own in bags[1] for c in own)
-    by_count = sorted(clean, key=lambda c: (-clean[c], c))
-    common = by_count[: NEGATIVES // 3]
-    negatives = common + sorted(by_count[NEGATIVES // 3 :], key=lambda c: (hash_of(c), c))[: NEGATIVES - len(common)]
-    odds = len(bags[0]) / len(bags[1])
-    tells = {c: math.log((n + 0.5) / (clean[c] + 0.5) * odds) for c, n in toxic.items()}
-    scores = {c: n * tells[c] for c, n in toxic.items() if n > 1 and tells[c] > 1.5}
-    witnesses = _witnesses(bags[1], scores, 0.0)
-    model = None
-    for _ in range(ROUNDS):
-        positives = sorted(witnesses, key=lambda c: (-witnesses[c], c))[:POSITIVES]
-        if not positives:
+    tells = np.log((sample.toxic + 0.5) / (sample.clean + 0.5) * n[0] / n[1])
+    witnesses = sample.witnesses(np.where((sample.toxic > 1) & (tells > 1.5), sample.toxic * tells, -np.inf))
+    by_count = np.argsort(-sample.clean, kind="stable")
+    by_count = by_count[sample.clean[by_count] > 0]
+    negatives = set(by_count[: FIRST_NEGATIVES // 2].tolist())
+    place = {c: i for i, c in enumerate(sample.different)}
+    negatives |= {place[c] for c in _spread([sample.different[i] for i in by_count[FIRST_NEGATIVES // 2 :].tolist()], FIRST_NEGATIVES // 2)}
+    model = space = None
+    known: dict[bytes, np.ndarray] = {}
+    for turn in range(ROUNDS):
+        if not witnesses:
             return Model(None, 0.0)
-        landmarks = positives[: LANDMARKS // 2]
-        landmarks += sorted(positives[LANDMARKS // 2 :], key=lambda c: (hash_of(c), c))[: LANDMARKS // 4]
-        landmarks += sorted(negatives, key=lambda c: (hash_of(c), c))[: LANDMARKS - len(landmarks)]
-        space = Nystrom([c[:LONGEST] for c in landmarks])
+        positives = [sample.different[w] for w in sorted(witnesses, key=lambda w: (-witnesses[w], sample.different[w]))]
+        times = np.asarray(sorted(witnesses.values(), reverse=True), float)
+        against = [sample.different[i] for i in sorted(negatives - witnesses.keys())]
+        if turn < 2:  # landmarks stay from the second round on
+            landmarks = positives[: LANDMARKS // 2] + _spread(positives[LANDMARKS // 2 :], LANDMARKS // 4)
+            space, known = Nystrom(landmarks + _spread(against, LANDMARKS - len(landmarks))), {}
         gapped = [_inserted(c, k) for c in positives for k in range(1, 4)]
-        own = set(positives)
-        against = [c for c in negatives if c not in own]
-        codes = [c[:LONGEST] for c in positives + gapped + against]
-        y = np.asarray([1.0] * (len(positives) + len(gapped)) + [-1.0] * len(against))
-        weight = np.asarray([math.sqrt(witnesses[c]) for c in positives] + [1.0] * len(gapped) + [1.0] * len(against))
-        weight[y > 0] *= (weight[y < 0].sum() / weight[y > 0].sum()) ** 0.5
-        w = squared_hinge(space(codes), y, weight)
+        codes = positives + gapped + against
+        if new := [c for c in dict.fromkeys(codes) if c not in known]:
+            known.update(zip(new, space(new)))
+        y = np.r_[np.ones(len(positives) + len(gapped)), -np.ones(len(against))]
+        weight = np.r_[np.sqrt(times), np.repeat(np.sqrt(times), 3), np.ones(len(against))]
+        weight[y > 0] *= (len(against) / weight[y > 0].sum()) ** 0.5
+        w = squared_hinge(np.stack([known[c] for c in codes]), y, weight)
         model = Model(space.primal(w[:-1]).astype("float32"), float(w[-1]))
-        every = sorted({*toxic, *clean})
-        scores = dict(zip(every, model.decide(every).tolist()))
-        hard = sorted((c for c in clean if scores[c] > -0.6 and tells.get(c, 0.0) < 1.0), key=lambda c: (-scores[c], c))[: NEGATIVES // 2]
-        negatives = list(dict.fromkeys([*negatives, *hard]))
-        witnesses = _witnesses(bags[1], {c: s for c, s in scores.items() if tells.get(c, -1.0) > 0.5}, -0.5)
-    scorer = Scorer(model)
-    found = [g for i in range(0, len(texts), 200) for g in scorer.windows([t for t, _ in texts[i : i + 200]])]
-    label = [label for _, label in texts]
-    model.logistic = fitted_logistic(np.asarray([describe(g) for g in found]), np.asarray(label, float))
+        scores = sample.scores(model)
+        negatives |= set(np.flatnonzero((scores > -1) & (sample.clean > 0) & (tells < 1.0)).tolist())
+        # what only one toxic text has needs the machine's word
+        witnesses = sample.witnesses(np.where((tells > 0.5) & (scores > np.where(sample.toxic > 1, -0.5, 0.3)), scores, -np.inf))
+    described = np.vstack([model.described(texts[i : i + 500]) for i in range(0, len(texts), 500)])
+    totals = np.asarray(totals or n, float)
+    model.logistic = fitted_logistic(described, label.astype(float), (totals / n)[label] * n.sum() / totals.sum())
     return model
 
 
-def _witnesses(bags: list[set[bytes]], scores: dict[bytes, float], least: float) -> Counter:
-    """Of each bag the windows with the highest scores, counted."""
-    found: Counter = Counter()
-    for own in bags:
-        best = sorted((c for c in own if scores.get(c, least) > least), key=lambda c: (-scores[c], c))[:WITNESSES]
-        found.update(best)
-    return found
-
-
-def hash_of(code: bytes) -> int:
-    return zlib.crc32(code)
-
-
-def trained(docs: DataFrame, labels: DataFrame, everything: bool = False) -> Model:
-    """Fitted to a bounded sample of labelled texts, without the held-out fold."""
+def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fitted to a bounded sample of labelled texts, without the held-out fold; labels are counted over the whole table."""
     allowed = ~held_out("doc_id", FOLDS, HELD_FOLD)
+    own = labels.where(allowed & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    totals = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = training_sample(docs, labels, "toxic", allowed, SAMPLE)
-    return fit([(r["text"], r["label"]) for r in sample.collect()])
+    return fit([(r["text"], r["label"]) for r in sample.collect()], (totals.get(0, 0), totals.get(1, 0)))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs, without text, with score and predicted."""
 
     def make():
-        scorer = Scorer(model)
-
         def work(texts):
-            s = scorer(texts)
+            s = model(texts)
             return {"score": s, "predicted": [int(x >= 0.5) for x in s]}
 
         return work
@@ -365,9 +399,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that don't score as toxic."""
-
-    def make():
-        scorer = Scorer(model)
-        return lambda texts: {"score": scorer(texts)}
-
-    return appended(docs, "text", make, [], keep=lambda got: [s < 0.5 for s in got["score"]]).select(docs.columns)
+    return appended(docs, "text", lambda: lambda texts: {"score": model(texts)}, [], keep=lambda got: [s < 0.5 for s in got["score"]]).select(docs.columns)

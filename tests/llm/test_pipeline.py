@@ -21,7 +21,7 @@ def test_stages(spark, tmp_path):
             assert got.columns == docs.columns
         if name == "toxicity":
             model = toxicity.trained(docs, table(spark, SF, "labels"))
-            scores = toxicity.Scorer(model)([r.text for r in read.collect()])
+            scores = model([r.text for r in read.collect()])
             assert got.count() == sum(s < 0.5 for s in scores)
         elif name == "minhash_near_dedup":
             assert got.count() == neardup.classes(read).select("class_id").distinct().count()
