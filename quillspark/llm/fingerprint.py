@@ -7,11 +7,12 @@ do the gain of compressing both texts with one dictionary.
 
 With each document goes an edited text: its last quarter gives way to the next document's
 start. Documents are dealt into buckets by ranges of ids, so that the next one is in the same
-bucket but for each bucket's last, which gets a copy of the next bucket's first. Tasks read
-their buckets in order and hold two documents at a time.
+bucket but for each bucket's last, which gets a copy of the next bucket's first. Many rows of one
+id, or without one, are dealt by ranges of their texts' hashes. Tasks read their buckets in order
+and hold two documents at a time.
 
 Null and empty texts have the empty fingerprint; two empty ones have likeness 1, an empty one
-and another 0. Of rows with equal ids the order is that of their texts; null ids come first.
+and another 0. Of rows with equal ids the order is that of their texts' hashes; null ids come first.
 A single document is its own next. No rows give no rows. Columns other than doc_id and text
 aren't read.
 """
@@ -19,19 +20,23 @@ aren't read.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hashes in a fingerprint.
 PICKED = 64
-#: Documents in a bucket, about, and buckets at most.
+#: Documents in a bucket, about, and buckets at most; of more documents a bucket holds more, but
+#: tasks read them one after the other.
 BUCKET_ROWS = 500
 MOST_BUCKETS = 20_000
+#: Documents of a task, at least, where there are more than shuffle partitions hold.
+TASK_ROWS = 20_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -127,36 +132,53 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def bucketed(docs: DataFrame, rows: int, nulls: int) -> DataFrame:
+    """docs with hash, of the text, and bucket, which grows with id and hash."""
+    buckets = max(1, min(MOST_BUCKETS, rows // BUCKET_ROWS))
+    of_null = -(-buckets * nulls // rows)
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    share = (F.col("hash").cast("double") / F.lit(float(1 << 64)) + F.lit(0.5)).cast("double")  # 0 to 1
+
+    def part(n: Column) -> Column:
+        return F.least(F.floor(share * n), n - 1).cast("int")
+
+    probabilities = [k / (buckets - of_null) for k in range(1, buckets - of_null)]
+    edges = [int(e) for e in docs.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", probabilities, 0.2 / buckets)] if probabilities else []
+    bucket = F.lit(0)
+    if edges:
+        # different edges, each with the number of edges before it and of its kind: an id that is an edge often has so many buckets
+        times = sorted(Counter(edges).items())
+        before = list(accumulate((n for _, n in times), initial=0))
+        cells = [F.struct(F.lit(e).cast("bigint").alias("id"), F.lit(b).alias("before"), F.lit(n).alias("n")) for (e, n), b in zip(times, before)]
+        wide = max(1, int(len(cells) ** 0.5))  # searched in blocks, so that each row compares few
+        heads = F.array(*(F.lit(e).cast("bigint") for e, _ in times[::wide]))
+        table = F.array(*(F.array(*cells[k : k + wide]) for k in range(0, len(cells), wide)))
+        block = F.size(F.filter(heads, lambda e: e <= F.col("doc_id")))
+        inner = F.filter(F.element_at(table, F.greatest(block, F.lit(1))), lambda c: c["id"] <= F.col("doc_id"))
+        last = F.element_at(inner, F.greatest(F.size(inner), F.lit(1)))
+        found = last["before"] + F.when(last["id"] == F.col("doc_id"), part(last["n"]) + 1).otherwise(last["n"])
+        bucket = F.when(block == 0, F.lit(0)).otherwise(found)
+    return docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), part(F.lit(max(1, of_null)))).otherwise(F.lit(of_null) + bucket).cast("int"))
+
+
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    rows = docs.agg(F.count(F.lit(1))).first()[0]
+    spark = docs.sparkSession
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
     if not rows:
-        return docs.sparkSession.createDataFrame([], schema)
-    buckets = max(1, min(MOST_BUCKETS, rows // BUCKET_ROWS))
-    edges = docs.select("doc_id").approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets) if buckets > 1 else []
-    edges = sorted({int(e) for e in edges})
-
-    step = F.lit(0)
-    if edges:
-        # ids are dealt by a search in the sorted edges, done in blocks so that each row compares few
-        wide = max(1, int(len(edges) ** 0.5))
-        heads = F.array(*map(F.lit, edges[::wide]))
-        table = F.array(*(F.array(*map(F.lit, edges[k : k + wide])) for k in range(0, len(edges), wide)))
-        block = F.size(F.filter(heads, lambda e: e <= F.col("doc_id")))
-        inner = F.size(F.filter(F.element_at(table, F.greatest(block, F.lit(1))), lambda e: e <= F.col("doc_id")))
-        step = F.when(block == 0, F.lit(0)).otherwise((block - 1) * wide + inner)
-    dealt = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(step).cast("int"))
-    firsts = sorted((r["bucket"], r["first"]) for r in dealt.select("bucket", "doc_id").groupBy("bucket").agg(F.min("doc_id").alias("first")).collect())
-    previous = [(b, first, firsts[k - 1][0]) for k, (b, first) in enumerate(firsts)]  # the first one's is the last
-    tails = docs.sparkSession.createDataFrame(previous, "tail_bucket int, tail_id bigint, to int")
-    copies = (
-        dealt.join(F.broadcast(tails), (F.col("bucket") == F.col("tail_bucket")) & F.col("doc_id").eqNullSafe(F.col("tail_id")))
-        .select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("tail"))
-    )
-    every = dealt.withColumn("tail", F.lit(0)).select("doc_id", "text", "bucket", "tail").unionByName(copies)
-    ordered = every.repartition(max(1, min(len(firsts), 4096)), "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "text")
+        return spark.createDataFrame([], schema)
+    dealt = bucketed(docs, rows, rows - ids)
+    # null ids come first in a struct too
+    firsts = sorted((r["bucket"], r["first"]["doc_id"], r["first"]["hash"]) for r in dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "hash")).alias("first")).collect())
+    tails = spark.createDataFrame([(b, i, h, firsts[k - 1][0]) for k, (b, i, h) in enumerate(firsts)], "tail_bucket int, tail_id bigint, tail_hash bigint, to int")  # the first one's is the last
+    of_tail = (F.col("bucket") == F.col("tail_bucket")) & F.col("doc_id").eqNullSafe(F.col("tail_id")) & (F.col("hash") == F.col("tail_hash"))
+    # equal rows give several copies, of which the first counts
+    copies = dealt.join(F.broadcast(tails), of_tail).select("doc_id", "text", F.col("to").alias("bucket"), F.lit(1).alias("tail"), "hash")
+    every = dealt.select("doc_id", "text", "bucket", F.lit(0).alias("tail"), "hash").unionByName(copies)
+    tasks = min(len(firsts), max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS))
+    ordered = every.repartition(tasks, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "hash", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     arrow = pa.schema(list(zip(names, types)))

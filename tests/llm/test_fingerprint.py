@@ -72,6 +72,23 @@ def test_documents_against_brute_force(spark, n, monkeypatch):
         assert got.near_next == fp.likeness(fp.fingerprint(text), fp.fingerprint(after))
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_many_rows_of_one_id_are_split(spark, hot, monkeypatch):
+    monkeypatch.setattr(fp, "BUCKET_ROWS", 10)
+    r = random.Random(3)
+    rows = [(hot if i % 3 else i, "".join(r.choice("abcé ") for _ in range(30)) + str(i)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    dealt = fp.bucketed(docs, len(rows), sum(i is None for i, _ in rows))
+    sizes = {x.bucket: x["count"] for x in dealt.groupBy("bucket").count().collect()}
+    assert len(sizes) > 60 and max(sizes.values()) < 60
+    order = [(x.doc_id is not None, x.doc_id or 0, x.hash, x.bucket, x.text) for x in dealt.collect()]
+    order.sort()
+    assert [x[3] for x in order] == sorted(x[3] for x in order)
+    texts = [x[4] for x in order]
+    want = sorted(hashlib.sha256(fp.edited_text(t, texts[(k + 1) % len(texts)]).encode()).hexdigest() for k, t in enumerate(texts))
+    assert sorted(x.edited_sha256 for x in fp.fingerprinted(docs).collect()) == want
+
+
 def test_edges(spark):
     rows = [(1, "a"), (1, "a"), (1, "b" * 200_000), (None, "c"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
