@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -94,11 +95,12 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text."""
     found: list[Block] = []
-    # open elements: name, apart, section
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]
+    # open elements: name, apart, section, whether an article around it is apart
+    stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
+    opened: Counter = Counter()  # of the stack's names
     parts: list[str] = []
     link_parts: list[str] = []
-    in_link = sections = 0
+    in_link = sections = 0  # in_link: how deep the stack was when the open anchor began
 
     def text_of(raw: list[str]) -> str:
         return _SPACE.sub(" ", html.unescape("".join(raw))).strip()
@@ -116,6 +118,14 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 link_parts.append(raw)
 
+    def push(name: str, apart: bool, section: int, article: bool | None = None) -> None:
+        stack.append((name, apart, section, stack[-1][3] if article is None else article))
+        opened[name] += 1
+
+    def pop(size: int) -> None:
+        while len(stack) > size:
+            opened[stack.pop()[0]] -= 1
+
     at = 0
     for m in _TOKEN.finditer(page):
         take(page[at : m.start()])
@@ -124,7 +134,7 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         if name == "a":
-            in_link = not m["close"]
+            in_link = 0 if m["close"] else len(stack)
         elif name == "br":
             take(" ")
         elif name in _BLOCKS or name in ("button", "label"):
@@ -133,25 +143,29 @@ def blocks(page: str) -> list[Block]:
                 continue
             if not m["close"]:
                 if stack[-1][0] == "p":
-                    stack.pop()
+                    pop(len(stack) - 1)
+                    in_link = min(in_link, len(stack))
                 if name in ("article", "main"):
                     sections += 1
-                    apart = marked("", m["rest"]) or any(s[1] and s[0] in ("article", "main") for s in stack)
-                    stack.append((name, apart, sections))
+                    apart = marked("", m["rest"]) or stack[-1][3]
+                    push(name, apart, sections, apart)
                 elif name == "body":
-                    stack[:] = [("", False, 0), (name, False, 0)]
+                    pop(1)
+                    push(name, False, 0, False)
+                    in_link = 0
                 elif name == "header":
-                    stack.append((name, stack[-1][1] or not stack[-1][2] or marked("", m["rest"]), stack[-1][2]))
+                    push(name, stack[-1][1] or not stack[-1][2] or marked("", m["rest"]), stack[-1][2])
                 elif not m["rest"].endswith("/"):
-                    stack.append((name, stack[-1][1] or marked(name, m["rest"]), stack[-1][2]))
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("article", "main") and name in ("p", "li", "div", "td", "tr"):
-                        break
-            in_link = 0
+                    push(name, stack[-1][1] or marked(name, m["rest"]), stack[-1][2])
+            elif opened[name]:
+                inner = name in ("p", "li", "div", "td", "tr")
+                k = len(stack) - 1
+                while stack[k][0] != name and not (inner and stack[k][0] in ("article", "main")):
+                    k -= 1
+                if stack[k][0] == name:
+                    pop(k)
+            if in_link > len(stack):  # an anchor ends with what it is in
+                in_link = 0
     take(page[at:])
     flush()
     return found

@@ -1,5 +1,8 @@
 import html as entities
 import re
+import time
+
+import pytest
 
 from quillspark.llm import extraction
 from quillspark.llm.common import table
@@ -33,6 +36,25 @@ def test_link_density():
     assert extraction.main_text(f"<article><p>{LONG}</p><p><a href=x>{LONG}</a></p></article>") == LONG
 
 
+def test_anchors_round_blocks():
+    page = f"<article><p>{LONG}</p><a href=x><div>{LONG}</div><p>{LONG}</p></a><p>{LONG} End.</p></article>"
+    assert extraction.main_text(page) == f"{LONG}\n{LONG} End."
+    # an anchor that isn't closed ends with what it is in
+    page = f"<article><p>{LONG}</p><div><p>See <a href=x>this</p></div><p>{LONG} End.</p></article>"
+    assert extraction.main_text(page) == f"{LONG}\nSee this\n{LONG} End."
+    page = f"<article><p>{LONG}</p><section><a href=x>More</section><p>{LONG} End.</p></article>"
+    assert extraction.main_text(page).endswith("End.")
+
+
+@pytest.mark.parametrize("name", ["div", "article", "section", "blockquote", "a", "b"])
+def test_deep_pages(name):
+    n = 100_000
+    page = f"<{name}>" * n + f"<p>{LONG}</p>" + f"</{name}>" * n + "</td>" * n + f"<p>{LONG} End.</p>"
+    began = time.time()
+    got = extraction.main_text(page)
+    assert time.time() - began < 20 and got.endswith(f"{LONG} End.")
+
+
 def test_edges(spark):
     rows = [(1, None, "u"), (2, "", "u"), (3, "<article><p>" + "a &am", "u"), (4, "<p>" + "<b>" * 20_000 + LONG, "u"), (5, "just text", "u"), (5, '<a href="x', "u")]
     pages = spark.createDataFrame(rows, "page_id bigint, html string, text string")
