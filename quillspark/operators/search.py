@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
 from quillspark.functions.frontmatter import title
 from quillspark.operators.ranking import ranked
+from quillspark.sources.shared import stashed
 
 # Weights of the signals, the constant of rank fusion, and the results shown.
 FILENAME_EXACT, PHRASE_IN_TITLE, PHRASE_OCCURRENCE, MOST_OCCURRENCES = 200, 50, 20, 10
 TITLE_TOKEN, CONTENT_TOKEN = 5, 1
 RRF_K = 60
 RESULTS = 20
+#: Vector pages whose token ranks are counted; of more, all pages are ranked.
+FEW_PAGES = 200
 
 
 def query_parts(spark: SparkSession, query: str) -> tuple[list[str], str]:
@@ -69,14 +72,36 @@ def fused(token_ranks: DataFrame, vector_ranks: DataFrame, live: DataFrame, limi
     return both.withColumn("score", part("token_rank") + part("vector_rank")).orderBy(F.desc("score"), "path").limit(limit)
 
 
+def token_ranks(found: DataFrame, others: DataFrame, limit: int) -> DataFrame:
+    """page_id and token_rank of the first limit of found (page_id, score, ord), and of those in others (page_id), few.
+
+    The places of a few pages are the numbers of better ones, all counted in one pass; no rank
+    of the rest is needed.
+    """
+    spark = found.sparkSession
+    first = found.orderBy(F.desc("score"), "ord").limit(limit).select("page_id", F.row_number().over(Window.orderBy(F.desc("score"), "ord")).cast("bigint").alias("token_rank"))
+    few = found.join(F.broadcast(others.select("page_id")), "page_id", "left_semi").collect()
+    if not few:
+        return first
+    better = [F.count_if((F.col("score") > r["score"]) | ((F.col("score") == r["score"]) & (F.col("ord") < r["ord"]))).alias(f"c{k}") for k, r in enumerate(few)]
+    counts = found.agg(*better).first()
+    return first.unionByName(spark.createDataFrame([(r["page_id"], n + 1) for r, n in zip(few, counts)], "page_id string, token_rank bigint")).distinct()
+
+
 def search(pages: DataFrame, query: str, vector_pages: DataFrame | None = None, limit: int = RESULTS) -> DataFrame:
-    """Token and vector ranks in one plan. vector_pages: page_id and score, few."""
-    tokens = ranked(scored(pages, query).select("page_id", "score", "ord"), [F.desc("score"), F.col("ord")], "token_rank").select("page_id", "token_rank")
+    """Token and vector ranks in one plan. vector_pages: page_id and score; up to FEW_PAGES are ranked by counts.
+
+    Beyond the first limit of one kind of rank no page without the other kind can be among the
+    first limit of both, so these and the vector pages are enough.
+    """
+    found = scored(pages, query).select("page_id", "score", "ord")
     if vector_pages is None:
-        vectors = pages.select("page_id", F.lit(None).cast("bigint").alias("vector_rank")).limit(0)
-    else:
-        vectors = ranked(vector_pages, [F.desc("score"), F.col("page_id")], "vector_rank", partitions=1).select("page_id", "vector_rank")
-    return fused(tokens, vectors, pages, limit)
+        none = pages.select("page_id", F.lit(None).cast("bigint").alias("vector_rank")).limit(0)
+        return fused(token_ranks(found, none, limit), none, pages, limit)
+    vectors = ranked(vector_pages, [F.desc("score"), F.col("page_id")], "vector_rank", partitions=1).select("page_id", "vector_rank")
+    if vectors.count() > FEW_PAGES:
+        return fused(ranked(found, [F.desc("score"), F.col("ord")], "token_rank").select("page_id", "token_rank"), vectors, pages, limit)
+    return fused(token_ranks(stashed(found), vectors, limit), vectors, pages, limit)
 
 
 def image_hits(results: DataFrame) -> DataFrame:

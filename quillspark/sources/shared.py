@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stashed(df: DataFrame) -> DataFrame:
-    """df, computed once and written below the session's spark.checkpoint.dir.
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="quillspark-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
 
-    All executors must share that folder; only a local master may go without it.
+def session_dir(spark: SparkSession) -> str:
+    """This application's folder below the session's spark.checkpoint.dir, which all executors share.
+
+    Only a local master, whose executor is the driver, may go without that setting; its folder
+    is deleted when the process ends.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        base = _own_dir()
+    return f"{base.rstrip('/')}/quillspark-{spark.sparkContext.applicationId}"
+
+
+def stashed(df: DataFrame) -> DataFrame:
+    """df, computed once and written to a new path in the session's folder, so that its lineage ends there."""
+    spark, path = df.sparkSession, f"{session_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all tables that this application has stashed. No result that reads them may still be in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

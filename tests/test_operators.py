@@ -25,6 +25,37 @@ def test_rank_without_one_task(spark):
     assert all(r["rank"] == 1000 - r.v for r in got)
 
 
+def test_ranks_of_more_rows_than_the_sampler_takes(spark, tmp_path):
+    n = 3_000_000
+    df = spark.range(n).select(F.concat(F.lit("page-"), "id").alias("page_id"), (F.xxhash64("id") % 50).alias("score"), F.col("id").alias("ord"))
+    df.write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    ranking.ranked(df, [F.desc("score"), F.col("ord")], partitions=16).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert tuple(got.agg(F.countDistinct("rank"), F.min("rank"), F.max("rank")).first()) == (n, 1, n)
+    some = got.where("rank % 300007 = 5").collect()
+    for r in some:
+        better = (F.col("score") > r.score) | ((F.col("score") == r.score) & (F.col("ord") < r.ord))
+        assert df.where(better).count() == r["rank"] - 1
+
+
+def test_fusion_by_counts_is_fusion_of_all_ranks(spark, monkeypatch):
+    rows = [(f"p{i}", i, f"wiki/p{i}.md", page(f"T{i}", "attention " * (i * 7 % 13))) for i in range(120)]
+    pages = spark.createDataFrame(rows, PAGES)
+    near = spark.createDataFrame([(f"p{i * 11}", 1.0 / (i + 1)) for i in range(12)] + [("gone", 0.3)], "page_id string, score double")
+    few = search.search(pages, "attention", near).collect()
+    monkeypatch.setattr(search, "FEW_PAGES", 0)
+    assert [tuple(r) for r in few] == [tuple(r) for r in search.search(pages, "attention", near).collect()]
+    assert len(few) == 20
+
+
+def test_stashed_tables_can_be_cleared(spark):
+    from quillspark.sources import shared
+
+    kept = shared.stashed(spark.range(5))
+    assert kept.count() == 5 and shared.session_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
 SEARCHED = {
     "wiki/concepts/attention.md": page("Attention", "the mechanism"),
     "wiki/concepts/transformer.md": page("Transformer", "uses attention. attention is attention"),
