@@ -60,36 +60,62 @@ LATIN = (
 )
 
 
-def _latin(low: Column) -> Column:
-    has = lambda words: low.rlike(word_bounded(words))
+_WORDS = sorted({w for rule in LATIN for w in (*rule[2].split("|"), *rule[4].split("|")) if w})
+_PLAIN = [w for w in _WORDS if w.isascii()]
+_MARKED = [w for w in _WORDS if not w.isascii()]
+
+
+def _latin(words: Column, marks: Column) -> Column:
+    """By the words of the rules that a text has, and the characters beyond ASCII that it has."""
+    has = lambda listed: F.arrays_overlap(words, F.array(*map(F.lit, listed.split("|"))))
+    marked = lambda listed: F.arrays_overlap(marks, F.array(*map(F.lit, listed)))
     out = None
-    for name, marks, words, how, also, also_marks in LATIN:
-        tests = [low.rlike(f"[{marks}]")] * bool(marks) + [has(words)] * bool(words)
+    for name, listed, by_word, how, also, also_marks in LATIN:
+        tests = [marked(listed)] * bool(listed) + [has(by_word)] * bool(by_word)
         rule = tests[0] if len(tests) == 1 else tests[0] & tests[1] if how == "and" else tests[0] | tests[1]
-        besides = [has(also)] * bool(also) + [low.rlike(f"[{also_marks}]")] * bool(also_marks)
+        besides = [has(also)] * bool(also) + [marked(also_marks)] * bool(also_marks)
         if besides:
             rule = rule & reduce(lambda a, b: a | b, besides)
         out = F.when(rule, name) if out is None else out.when(rule, name)
     return out.otherwise("English")
 
 
-def detect(text: Column) -> Column:
-    """The language's English name; English if nothing tells.
-
-    Of scripts with equal counts the one that comes first in the text wins. Texts without any
-    of these scripts skip the counting.
-    """
+def _by_script(rest: Column) -> Column:
+    """By the counts of characters of each script; null if none has two."""
     left, counts = [], {}
     for name, ranges in SCRIPTS:
         shadowed = "".join(f"&&[^{r}]" for n, r in SCRIPTS if n in left and _overlap(r, ranges))
         counts[name] = f"[{ranges}{shadowed}]"
         left.append(name)
-    found = F.array(*(F.struct(F.regexp_count(text, F.lit(p)).alias("n"), (-F.regexp_instr(text, F.lit(p))).alias("place"), F.lit(name).alias("name")) for name, p in counts.items()))
+    found = F.array(*(F.struct(F.regexp_count(rest, F.lit(p)).alias("n"), (-F.regexp_instr(rest, F.lit(p))).alias("place"), F.lit(name).alias("name")) for name, p in counts.items()))
     most = F.array_max(found)
-    japanese = text.rlike(counts["Japanese"]) & text.rlike(counts["Chinese"])
-    any_script = text.rlike("[" + "".join(r for _, r in SCRIPTS) + "]")
-    by_script = F.when(japanese, F.lit("Japanese")).when(most["n"] >= 2, most["name"])
-    return F.coalesce(F.when(any_script, by_script), _latin(F.lower(text)))
+    japanese = rest.rlike(counts["Japanese"]) & rest.rlike(counts["Chinese"])
+    any_script = rest.rlike("[" + "".join(r for _, r in SCRIPTS) + "]")
+    return F.when(any_script, F.when(japanese, F.lit("Japanese")).when(most["n"] >= 2, most["name"]))
+
+
+def _with(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def detect(text: Column) -> Column:
+    """The language's English name; English if nothing tells.
+
+    Of scripts with equal counts the one that comes first in the text wins. A text is cut into
+    words once, and its characters beyond ASCII are taken out once; the rules look at these only.
+    """
+    low = F.lower(text)
+    plain = F.array_intersect(F.split(low, "[^A-Za-z0-9_]+"), F.array(*map(F.lit, _PLAIN)))
+    bounded = [F.when(F.contains(low, F.lit(w)) & low.rlike(word_bounded(w)), F.lit(w)) for w in _MARKED]
+    words = F.when(F.octet_length(text) == F.length(text), plain).otherwise(F.concat(plain, F.array_compact(F.array(*bounded))))
+    rest = F.regexp_replace(text, "[\\x00-\\x7F]+", "")
+
+    def told(s: Column) -> Column:
+        marks = F.split(F.lower(s["rest"]), "")
+        return F.coalesce(_by_script(s["rest"]), F.transform(F.array(marks), lambda m: _latin(s["words"], m))[0])
+
+    return F.when(text.isNotNull(), _with(F.struct(words.alias("words"), rest.alias("rest")), told)).otherwise("English")
 
 
 def _ranges(text: str) -> list[tuple[int, int]]:

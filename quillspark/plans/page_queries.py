@@ -56,16 +56,19 @@ def review_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.swept(_reviews(spark, sf_dir), pages)
 
 
-@query("""WITH a AS (SELECT s_suppkey AS id, regexp_replace(lower(s_name), '[\\s_\\-·•]', '', 'g') AS na FROM supplier),
-b AS (SELECT s_suppkey AS known_id, regexp_replace(lower(s_name), '[\\s_\\-·•]', '', 'g') AS nb FROM supplier WHERE s_suppkey % 2 = 0),
-x AS (SELECT id + 0 AS id, right(na, 8) AS na FROM a WHERE id % 2 = 1), y AS (SELECT known_id, right(nb, 8) AS nb FROM b),
+_NAMES = ("Ac {}", "acme-{}", "Acme_{} Ltd", "The Acme {} Holding Company")
+
+
+@query(f"""WITH n AS (SELECT s_suppkey AS id, regexp_replace(lower(replace([{', '.join(f"'{n}'" for n in _NAMES)}][s_suppkey // 2 % 4 + 1], '{{}}', (s_suppkey % 97)::VARCHAR)), '[\\s_\\-·•]', '', 'g') AS name FROM supplier),
+x AS (SELECT id, name AS na FROM n WHERE id % 2 = 1), y AS (SELECT id AS known_id, name AS nb FROM n WHERE id % 2 = 0),
 m AS (SELECT id, known_id FROM x, y WHERE na = nb OR (length(na) >= 2 AND length(nb) >= 2 AND (contains(na, nb) OR contains(nb, na)))
  OR (greatest(length(na), length(nb)) <= 8 AND levenshtein(na, nb) <= 1) OR (greatest(length(na), length(nb)) <= 12 AND levenshtein(na, nb) <= 2))
 SELECT id, min(known_id) AS known_id FROM m GROUP BY 1""")
 def entity_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first similar name among those of even suppliers, for each odd one."""
-    name = F.substr(text.normalize_name(F.col("s_name")), F.lit(-8))
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), name.alias("name"))
+    """The first similar name among those of even suppliers, for each odd one; names of four forms, by formula."""
+    key = F.col("s_suppkey")
+    name = F.replace(F.element_at(F.array(*map(F.lit, _NAMES)), (F.floor(key / 2) % 4 + 1).cast("int")), F.lit("{}"), (key % 97).cast("string"))
+    s = table(spark, sf_dir, "supplier").select(key.alias("id"), text.normalize_name(name).alias("name"))
     known = s.where("id % 2 = 0").select(F.col("id").alias("known_id"), F.col("name").alias("known_name"), F.col("id").alias("ord"))
     return ingest.name_matches(s.where("id % 2 = 1"), known)
 
@@ -223,13 +226,23 @@ SELECT doc_id, item_id, count(*)::BIGINT AS n_shared FROM d JOIN t USING (g) GRO
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share runs of eight words with benchmark items."""
 
-    def runs(df: DataFrame, key: str) -> DataFrame:
-        words = df.select(key, F.split(F.lower("text"), "\\s+").alias("w")).where(F.size("w") >= 8)
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " ")))
-        return words.select(key, F.explode(grams).alias("g"))
 
-    items = runs(table(spark, sf_dir, "benchmark"), "item_id")
-    return runs(table(spark, sf_dir, "documents"), "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    def words(name: str, key: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(key, F.split(F.lower("text"), "\\s+").alias("w")).where(F.size("w") >= 8)
+
+    def hashed(df: DataFrame, key: str) -> DataFrame:
+        runs = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i, F.lit(8))).alias("h")))
+        return df.select(key, F.explode(runs).alias("run")).select(key, "run.at", "run.h")
+
+    def told(df: DataFrame, places: DataFrame, key: str) -> DataFrame:
+        return df.join(places, key).select(key, F.array_join(F.slice("w", F.col("at"), F.lit(8)), " ").alias("g")).distinct()
+
+    docs, items = words("documents", "doc_id"), words("benchmark", "item_id")
+    # runs are met by hash, and only those of documents that meet one become strings
+    at_items = hashed(items, "item_id")
+    met = hashed(docs, "doc_id").join(at_items.select("h").distinct(), "h", "left_semi").select("doc_id", "at")
+    both = told(docs, met, "doc_id").join(told(items, at_items.select("item_id", "at"), "item_id"), "g")
+    return both.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 @query("SELECT ['pending','processing','done','failed'][event_id % 4 + 1] AS status, count(*)::BIGINT AS n, count_if(event_id % 3 = 0)::BIGINT AS n_retried FROM events GROUP BY 1")
