@@ -46,10 +46,16 @@ def hrefs(html: Column) -> Column:
 
 
 # Words of class and id, elements that score, and points.
-_UNLIKELY = re.compile(r"-ad-|\bads?\b|banner|breadcrumb|combx|comment|community|cover-wrap|disqus|extra|footer|gdpr|header|legends|menu|related|remark|replies|rss|shoutbox|sidebar|skyscraper|social|sponsor|supplemental|agegate|pagination|pager|popup|nav", re.I)
+_UNLIKELY = re.compile(
+    r"-ad-|ai2html|banner|breadcrumbs|combx|comment|community|cover-wrap|disqus|extra|footer|gdpr|header|legends|menu|related|remark|replies|rss|shoutbox|sidebar|skyscraper|social|sponsor|supplemental|ad-break|agegate|pagination|pager|popup|yom-remote",
+    re.I,
+)
 _MAYBE = re.compile(r"and|article|body|column|content|main|shadow", re.I)
-_GOOD = re.compile(r"article|body|content|entry|hentry|h-entry|main|page|post|text|blog|story", re.I)
-_BAD = re.compile(r"hidden|banner|combx|comment|contact|foot|masthead|media|meta|outbrain|promo|related|scroll|share|shoutbox|sidebar|skyscraper|sponsor|shopping|tags|widget", re.I)
+_GOOD = re.compile(r"article|body|content|entry|hentry|h-entry|main|page|pagination|post|text|blog|story", re.I)
+_BAD = re.compile(
+    r"-ad-|hidden|^hid$| hid$| hid |^hid |banner|combx|comment|com-|contact|footer|gdpr|masthead|media|meta|outbrain|promo|related|scroll|share|shoutbox|sidebar|skyscraper|sponsor|shopping|tags|widget",
+    re.I,
+)
 _ROLES = frozenset(("menu", "menubar", "complementary", "navigation", "alert", "alertdialog", "dialog"))
 _SCORED = frozenset(("section", "h2", "h3", "h4", "h5", "h6", "p", "td", "pre"))
 _POINTS = {"div": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5, "th": -5}
@@ -57,13 +63,17 @@ _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "
 _SKIP = frozenset(("script", "style", "noscript", "nav", "footer", "aside", "form", "head", "template", "iframe", "svg", "button"))
 _BLOCK = frozenset(("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"))
 CHAR_THRESHOLD, LEAST_CHARS, DEPTH = 500, 25, 5
+SMALL_IMAGE = 10
+#: Elements nested deeper become siblings, as in browsers; no text is lost by that.
+DEEPEST = 100
 
 
 class Node:
-    __slots__ = ("name", "attrs", "parent", "children", "score")
+    __slots__ = ("name", "attrs", "parent", "children", "score", "depth")
 
     def __init__(self, name: str, attrs: dict, parent: "Node | None"):
         self.name, self.attrs, self.parent, self.children, self.score = name, attrs, parent, [], None
+        self.depth = parent.depth + 1 if parent else 0
 
     def text(self) -> str:
         out, todo = [], [self]
@@ -104,7 +114,7 @@ class _Builder(HTMLParser):
             self.at = self.at.parent
         node = Node(name, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
-        if name not in _VOID:
+        if name not in _VOID and node.depth < DEEPEST:
             self.at = node
 
     def handle_endtag(self, name):
@@ -187,7 +197,8 @@ def _inline(n: Node) -> str:
         elif c.name == "a" and bare and c.attrs.get("href"):
             out.append(f"[{bare}]({c.attrs['href']})")
         elif c.name == "img" and c.attrs.get("src"):
-            small = any(v.isdigit() and int(v) <= 2 for v in (c.attrs.get("width", ""), c.attrs.get("height", "")))
+            sizes = [re.match(r"\s*[+-]?\d+", c.attrs.get(side, "")) for side in ("width", "height")]
+            small = any(m and int(m[0]) < SMALL_IMAGE for m in sizes)
             out.append("" if small else f"![{c.attrs.get('alt', '')}]({c.attrs['src']})")
         elif c.name == "br":
             out.append("  \n")
@@ -234,13 +245,19 @@ def _blocks(n: Node, out: list[str]) -> None:
         elif c.name == "hr":
             out.append("---")
         elif c.name == "table":
-            rows = [[re.sub(r"\s+", " ", _inline(x)).strip().replace("|", "\\|") for x in r.children if isinstance(x, Node) and x.name in ("td", "th")] for r in c.walk() if r.name == "tr"]
-            rows = [r for r in rows if r]
-            if rows:
-                width = max(map(len, rows))
-                rows = [r + [""] * (width - len(r)) for r in rows]
-                lines = ["| " + " | ".join(r) + " |" for r in rows]
-                out.append("\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]))
+            rows = []
+            for r in c.walk():
+                if r.name == "tr":
+                    cells = []
+                    for x in r.children:
+                        if isinstance(x, Node) and x.name in ("td", "th"):
+                            inner = []
+                            _blocks(x, inner)
+                            cells.append(f" {'\n\n'.join(inner).strip()} |")
+                    rows.append("|" + "".join(cells))
+            lines = "\n".join(rows).strip().split("\n")
+            # a line below the first row, whatever it is, as wide as that
+            out.append("\n".join([lines[0], "|" + " --- |" * (lines[0].count("|") - 1), *lines[1:]]))
         else:
             _blocks(c, out)
     flush()
@@ -261,7 +278,7 @@ def readable(html: str) -> tuple[str, str]:
         try:
             b.feed(html or "")
             b.close()
-        except (AssertionError, RecursionError):
+        except AssertionError:  # a malformed declaration: the patterns' text is the answer
             break
         _pruned(b.root, strict)
         top = _best(b.root, weigh)

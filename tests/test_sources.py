@@ -90,7 +90,7 @@ def test_readable_pages():
     para = "This is a paragraph, with commas, and enough words to count as main content of the page. " * 3
     page = f"<html><head><title>T &amp; x</title></head><body><nav><a href=a>menu</a></nav><div class='sidebar'><p>{para}</p></div><div class='article-body'><h2>Head</h2><p>{para}<b>bold</b> <a href='u'>link</a></p><p>{para}</p><ul><li>one</li><li>two</li></ul><table><tr><th>a</th><td>b|c</td></tr></table></div><script>var t='</p>'</script></body></html>"
     title, text = html.readable(page)
-    assert text.startswith("## Head\n\nThis is") and "**bold** [link](u)" in text and "- one\n- two" in text and "| a | b\\|c |" in text
+    assert text.startswith("## Head\n\nThis is") and "**bold** [link](u)" in text and "- one\n- two" in text and "| a | b|c |" in text
     assert "menu" not in text and "var t" not in text and text.count("This is a paragraph") == 6
     assert html.readable("") == ("", "")
 
@@ -171,3 +171,21 @@ def test_long_pages_without_scored_parts_are_whole(spark):
     assert html.readable(page)[1] == ""
     got = html.main_markdown(spark.createDataFrame([(1, page)], "page_id bigint, html string")).first().markdown
     assert len(got) > 50_000 and got.rstrip().endswith("line 7999")
+
+
+TEXT = "A sentence of the article, with a comma, and long enough to count as one. " * 8
+
+
+@pytest.mark.parametrize("name", ["div", "section", "blockquote"])
+def test_defect_deep_pages(name):
+    n = 20_000
+    _, markdown = html.readable(f"<title>T</title><body><p>{TEXT}</p>" + f"<{name}>" * n + f"<p>{TEXT} End.</p>" + f"</{name}>" * n)
+    assert "End." in markdown and "A sentence" in markdown
+
+
+def test_tables_and_images():
+    rows = "<tr><th>a</th><th>b|c</th></tr><tr><td>1</td></tr><tr><td>x <b>y</b></td><td>2</td><td>3</td></tr>"
+    page = f"<body><article><p>{TEXT}</p><table>{rows}</table><p>{TEXT}<img src=u.png width=9px><img src=v.png height=10></p></article></body>"
+    _, markdown = html.readable(page)
+    assert "| a | b|c |\n| --- | --- | --- |\n| 1 |\n| x **y** | 2 | 3 |" in markdown
+    assert "u.png" not in markdown and "![](v.png)" in markdown
