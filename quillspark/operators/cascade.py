@@ -46,3 +46,27 @@ def delete_source(pages: DataFrame, source: str) -> DataFrame:
     new = F.when(F.coalesce("action", F.lit("")) != "delete", F.when(F.col("dead").isNotNull(), without_dead(kept, F.col("dead"))).otherwise(kept))
     out = every.select("page_id", F.coalesce("action", F.when(new != F.col("content"), "relink")).alias("action"), new.alias("content"))
     return out.where("action IS NOT NULL")
+
+
+def delete_everywhere(pages: DataFrame, chunks: DataFrame, media: DataFrame, cache: DataFrame, source: str, date: str) -> dict[str, DataFrame]:
+    """What is left of pages, chunks (page_id), media (path) and cache (source) when a source goes, and the log's new entry.
+
+    Chunks go with the pages that are deleted, images with the source's own folder of media, and
+    the source's row of the cache. log has one row, entry, as it is to be appended.
+    """
+    changed = delete_source(pages, source)
+    gone = changed.where("action = 'delete'").select("page_id")
+    kept = pages.join(gone, "page_id", "left_anti").join(changed.where("action <> 'delete'").select("page_id", F.col("content").alias("new")), "page_id", "left")
+    left = kept.withColumn("content", F.coalesce("new", "content")).select(pages.columns)
+    folder = "wiki/media/" + (source.rsplit(".", 1)[0] if "." in source[1:] else source) + "/"
+    related = related_pages(pages, source).agg(F.count(F.lit(1)).alias("n"))
+    n, k = gone.agg(F.count(F.lit(1)).alias("gone")), F.col("n") - F.col("gone")
+    shared = F.when(k > 0, F.concat(F.lit(" "), k.cast("string"), F.lit(" shared pages kept (have other sources)."))).otherwise("")
+    entry = F.concat(F.lit(f"\n## [{date}] delete | {source}\n\nDeleted source file and "), F.col("gone").cast("string"), F.lit(" wiki pages."), shared, F.lit("\n"))
+    return {
+        "pages": left,
+        "chunks": chunks.join(gone, "page_id", "left_anti"),
+        "media": media.where(~F.col("path").startswith(folder)),
+        "cache": cache.where(F.col("source") != source),
+        "log": n.crossJoin(related).select(entry.alias("entry")),
+    }

@@ -65,6 +65,18 @@ def _deletions(name: Column, most: int) -> Column:
     return found
 
 
+def contained(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
+    """id, na, known_id, nb, ord where one of na (id, na) and nb (known_id, nb, ord) holds the other, longer ones only.
+
+    Names of least characters and more meet by their windows of the other's length.
+    """
+    windows = lambda name: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - F.col("n") + 1), lambda i: F.substr(name, i, F.col("n"))))
+    lengths = lambda df, name: F.broadcast(df.where(F.length(name) >= least).select(F.length(name).alias("n")).distinct())  # noqa: E731  as many as names are long
+    within = a.where(F.length("na") >= least).join(lengths(b, "nb"), F.length("na") > F.col("n")).select("id", "na", F.explode(windows("na")).alias("key"))
+    around = b.where(F.length("nb") >= least).join(lengths(a, "na"), F.length("nb") > F.col("n")).select("known_id", "nb", "ord", F.explode(windows("nb")).alias("key"))
+    return within.join(b, F.col("key") == F.col("nb")).select("id", "na", "known_id", "nb", "ord").unionByName(a.join(around, F.col("na") == F.col("key")).select("id", "na", "known_id", "nb", "ord"))
+
+
 def name_matches(new: DataFrame, known: DataFrame) -> DataFrame:
     """For each new name (id, name) the first known (known_id, known_name, ord) that is similar.
 
@@ -74,15 +86,7 @@ def name_matches(new: DataFrame, known: DataFrame) -> DataFrame:
     """
     a = new.select("id", "name", normalize_name(F.col("name")).alias("na")).distinct()
     b = known.select("known_id", "known_name", "ord", normalize_name(F.col("known_name")).alias("nb"))
-    pairs = [a.join(b, a["na"] == b["nb"]).select("id", "na", "known_id", "nb", "ord")]
-    lengths = b.where(F.length("nb") >= 2).select(F.length("nb").alias("n")).distinct()
-    own = a.where(F.length("na") >= 2).join(F.broadcast(lengths), F.length("na") > F.col("n"))
-    within = own.select("id", "na", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("na") - F.col("n") + 1), lambda i: F.substr("na", i, F.col("n"))))).alias("key"))
-    pairs.append(within.join(b, F.col("key") == F.col("nb")).select("id", "na", "known_id", "nb", "ord"))
-    lengths_a = a.where(F.length("na") >= 2).select(F.length("na").alias("n")).distinct()
-    around = b.where(F.length("nb") >= 2).join(F.broadcast(lengths_a), F.length("nb") > F.col("n"))
-    around = around.select("known_id", "nb", "ord", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("nb") - F.col("n") + 1), lambda i: F.substr("nb", i, F.col("n"))))).alias("key"))
-    pairs.append(a.join(around, F.col("na") == F.col("key")).select("id", "na", "known_id", "nb", "ord"))
+    pairs = [a.join(b, a["na"] == b["nb"]).select("id", "na", "known_id", "nb", "ord"), contained(a, b)]
     most = max(n for n, _ in NEAR)
     for longest, edits in NEAR:
         left = a.where(F.length("na") <= longest).select("id", "na", F.explode(_deletions(F.col("na"), edits)).alias("key"))
