@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.sources.shared import stashed
 
 TOP_LABELS = 5
-#: Components up to so many edges go to one task for the exact local moves.
-COMPONENT_EDGES = 200_000
+#: Rounds of moves of a level, and levels, at most.
+ROUNDS, LEVELS = 20, 10
 
 
 def label_propagation(ids: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """id and community after synchronous rounds: the heaviest label of the neighbours, of equal ones the least.
+    """id and community after so many synchronous rounds, settled or not: the heaviest label of the neighbours, of equal ones the least.
 
     A page keeps its own label as one more vote, so that pairs don't swap labels for ever.
     Edges are (source, target, weight). Lineage ends at each third round.
@@ -46,108 +45,75 @@ def components(ids: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
         changed = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
         labels = new
         if not changed:
-            break
-    return labels.select("id", F.col("label").alias("component"))
+            return labels.select("id", F.col("label").alias("component"))
+    raise RuntimeError(f"components not found in {rounds} rounds")
+
 
+def _quality(links: DataFrame, state: DataFrame, total: float, resolution: float) -> float:
+    """Modularity of state (id, degree, c); a node's degree beyond its links is its own loops."""
+    ends = links.join(state.select("id", "c"), "id").join(state.select(F.col("id").alias("n"), F.col("c").alias("d")), "n")
+    inside = ends.agg(F.sum(F.when(F.col("c") == F.col("d"), F.col("weight"))), F.sum("weight")).first()
+    loops = state.agg(F.sum("degree")).first()[0] - (inside[1] or 0.0)
+    squares = state.groupBy("c").agg(F.sum("degree").alias("t")).agg(F.sum(F.pow(F.col("t") / F.lit(total), F.lit(2.0)))).first()[0]
+    return ((inside[0] or 0.0) + loops) / total - resolution * squares
 
-def louvain_moves(nodes: list, edges: list[tuple], resolution: float = 1.0) -> dict:
-    """Communities of one graph: nodes in listing order, (a, b, weight) without loops.
 
-    Each level moves nodes, in order, to the neighbouring community of greatest gain, of equal
-    ones the least, until none moves; communities then become nodes of the next level.
+def _moved(links: DataFrame, state: DataFrame, total: float, resolution: float, rounds: int) -> DataFrame:
+    """state (id, degree, c) after rounds in which nodes join the neighbouring community of greatest gain, of equal ones the least.
+
+    All nodes look at the same state, so in each round a half of them, by hash, stays; two
+    single nodes never change places, as only the one with the greater id may join the other.
     """
-    place = {n: i for i, n in enumerate(nodes)}
-    near: list[dict[int, float]] = [{} for _ in nodes]
-    loops = [0.0] * len(nodes)
-    for a, b, w in edges:
-        x, y = place[a], place[b]
-        near[x][y] = near[x].get(y, 0.0) + w
-        near[y][x] = near[y].get(x, 0.0) + w
-    member = list(range(len(nodes)))
-    total = sum(sum(d.values()) for d in near)
-    while total:
-        n = len(near)
-        comm = list(range(n))
-        degree = [sum(d.values()) + 2 * s for d, s in zip(near, loops)]
-        sums = degree[:]
-        moved_any = False
-        for _ in range(100):
-            moved = False
-            for i in range(n):
-                into: dict[int, float] = {}
-                for j, w in near[i].items():
-                    into[comm[j]] = into.get(comm[j], 0.0) + w
-                old = comm[i]
-                sums[old] -= degree[i]
-                gain = lambda c: into.get(c, 0.0) - resolution * sums[c] * degree[i] / total  # noqa: B023, E731
-                best = min(sorted({*into, old}), key=lambda c: (-round(gain(c), 12), c))
-                if round(gain(best), 12) <= round(gain(old), 12):
-                    best = old
-                sums[best] += degree[i]
-                comm[i] = best
-                moved |= best != old
-            moved_any |= moved
-            if not moved:
-                break
-        if not moved_any:
+    size = state.groupBy("c").agg(F.sum("degree").alias("sum"), F.count(F.lit(1)).alias("members"))
+    for k in range(rounds):
+        votes = links.join(state.select(F.col("id").alias("n"), "c"), "n").groupBy("id", "c").agg(F.sum("weight").alias("w"))
+        near = votes.join(size, "c").join(state.select("id", "degree", F.col("c").alias("own")), "id")
+        alone = size.where("members = 1").select(F.col("c").alias("own"), F.lit(True).alias("alone"))
+        without = F.col("sum") - F.when(F.col("c") == F.col("own"), F.col("degree")).otherwise(0.0)
+        gain = F.round(F.col("w") - resolution * F.col("degree") * without / F.lit(total), 9)
+        swap = (F.col("members") == 1) & F.coalesce("alone", F.lit(False)) & (F.col("c") > F.col("own"))
+        best = near.join(alone, "own", "left").where(~swap).withColumn("gain", gain).groupBy("id").agg(
+            F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay")
+        )
+        joined = state.join(best, "id", "left").join(size, "c")
+        stay = F.coalesce("stay", F.round(-resolution * F.col("degree") * (F.col("sum") - F.col("degree")) / F.lit(total), 9))
+        wants = F.col("b").isNotNull() & (-F.col("b.g") > stay) & (F.col("b.c") != F.col("c"))
+        goes = wants & (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0)
+        new = stashed(joined.select("id", "degree", F.when(goes, F.col("b.c")).otherwise(F.col("c")).alias("c"), F.coalesce(wants, F.lit(False)).alias("wants")))
+        state = new.drop("wants")
+        size = state.groupBy("c").agg(F.sum("degree").alias("sum"), F.count(F.lit(1)).alias("members"))
+        if new.where("wants").isEmpty():
             break
-        names = {c: k for k, c in enumerate(sorted(set(comm)))}
-        member = [names[comm[m]] for m in member]
-        nxt: list[dict[int, float]] = [{} for _ in names]
-        nxt_loops = [0.0] * len(names)
-        for i in range(n):
-            a = names[comm[i]]
-            nxt_loops[a] += loops[i]
-            for j, w in near[i].items():
-                b = names[comm[j]]
-                if a == b:
-                    nxt_loops[a] += w / 2
-                else:
-                    nxt[a][b] = nxt[a].get(b, 0.0) + w
-        near, loops = nxt, nxt_loops
-    return {n: member[i] for n, i in place.items()}
-
-
-def modularity(labels: dict, edges: list[tuple], resolution: float = 1.0) -> float:
-    m = sum(w for *_, w in edges)
-    inside: dict = {}
-    degree: dict = {}
-    for a, b, w in edges:
-        if labels[a] == labels[b]:
-            inside[labels[a]] = inside.get(labels[a], 0.0) + w
-        for x in (a, b):
-            degree[labels[x]] = degree.get(labels[x], 0.0) + w
-    return sum(inside.get(c, 0.0) / m - resolution * (d / (2 * m)) ** 2 for c, d in degree.items()) if m else 0.0
-
-
-def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and community, named by its first page; a task for each component of up to COMPONENT_EDGES edges.
-
-    Larger components are labelled by propagation, so that none has to fit in a task.
+    return state
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = ROUNDS, levels: int = LEVELS) -> DataFrame:
+    """id and community, named by its first page, of nodes (id, ord) and edges (source, target, weight).
+
+    The same at every size: each level moves nodes by joins on communities' sums until none wants
+    to move, or rounds times, and makes communities the nodes of the next level; levels end when
+    modularity no longer rises.
     """
-    parts = stashed(components(nodes, edges))
-    placed = stashed(edges.join(parts.select(F.col("id").alias("source"), "component"), "source"))
-    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
-    small = sizes.where(F.col("n_edges") <= COMPONENT_EDGES).select("component")
-    ords = nodes.select("id", "ord")
-    work = placed.join(small, "component", "left_semi").join(ords.select(F.col("id").alias("source"), F.col("ord").alias("so")), "source").join(ords.select(F.col("id").alias("target"), F.col("ord").alias("to")), "target")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = sorted({*zip(rows["so"], rows["source"]), *zip(rows["to"], rows["target"])})
-        ordered = rows.sort_values(["so", "to", "source", "target"])
-        got = louvain_moves([n for _, n in own], list(zip(ordered["source"], ordered["target"], ordered["weight"])))
-        first: dict = {}
-        for _, n in own:
-            first.setdefault(got[n], n)
-        return pd.DataFrame({"id": list(got), "community": [first[c] for c in got.values()]})
-
-    exact = work.groupBy("component").applyInPandas(run, "id string, community string")
-    big = placed.join(small, "component", "left_anti")
-    large_ids = nodes.select("id").join(big.select(F.col("source").alias("id")).union(big.select(F.col("target").alias("id"))).distinct(), "id", "left_semi")
-    found = exact
-    if not big.isEmpty():
-        found = exact.unionByName(label_propagation(large_ids, big.select("source", "target", "weight")))
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    ends = edges.where("source <> target")
+    both = ends.select(F.col("source").alias("id"), F.col("target").alias("n"), "weight").unionByName(ends.select(F.col("target").alias("id"), F.col("source").alias("n"), "weight"))
+    links = stashed(both.groupBy("id", "n").agg(F.sum(F.col("weight").cast("double")).alias("weight")))
+    member = nodes.select("id", F.col("id").alias("node"))
+    total = links.agg(F.sum("weight")).first()[0]
+    state = stashed(links.groupBy("id").agg(F.sum("weight").alias("degree")).select("id", "degree", F.col("id").alias("c"))) if total else None
+    quality = _quality(links, state, total, resolution) if total else 0.0
+    for _ in range(levels if total else 0):
+        state = _moved(links, state, total, resolution, rounds)
+        now = _quality(links, state, total, resolution)
+        if now <= quality + 1e-6:
+            break
+        quality = now
+        member = stashed(member.join(state.select(F.col("id").alias("node"), "c"), "node", "left").select("id", F.coalesce("c", "node").alias("node")))
+        named = links.join(state.select("id", "c"), "id").join(state.select(F.col("id").alias("n"), F.col("c").alias("d")), "n")
+        links = stashed(named.where("c <> d").groupBy(F.col("c").alias("id"), F.col("d").alias("n")).agg(F.sum("weight").alias("weight")))
+        state = stashed(state.groupBy("c").agg(F.sum("degree").alias("degree")).select(F.col("c").alias("id"), "degree", "c"))
+    placed = member.join(nodes.select("id", "ord"), "id")
+    first = placed.groupBy("node").agg(F.min_by("id", F.struct("ord", "id")).alias("community"))
+    return placed.join(first, "node").select("id", "community")
 
 
 def statistics(labelled: DataFrame, edges: DataFrame) -> DataFrame:

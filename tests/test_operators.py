@@ -162,15 +162,80 @@ def test_two_cliques_are_two_communities(spark):
     got = {r.id: r.community for r in community.louvain(nodes, edges).collect()}
     assert {got[c] for c in "abcd"} == {"a"} and {got[c] for c in "wxyz"} == {"w"}
     spread = {r.id: r.community for r in community.label_propagation(nodes, edges).collect()}
-    assert community.modularity(got, CLIQUES) >= community.modularity(spread, CLIQUES)
-
+    assert modularity(got, CLIQUES) >= modularity(spread, CLIQUES)
+
+
+def modularity(labels, edges):
+    m = sum(w for *_, w in edges)
+    inside, degree = {}, {}
+    for a, b, w in edges:
+        inside[labels[a]] = inside.get(labels[a], 0.0) + w * (labels[a] == labels[b])
+        for x in (a, b):
+            degree[labels[x]] = degree.get(labels[x], 0.0) + w
+    return sum(inside.get(c, 0.0) / m - (d / (2 * m)) ** 2 for c, d in degree.items())
+
+
+def greedy(nodes, edges):
+    """Louvain by the book, one node after the other."""
+    member, near, loops = {n: n for n in nodes}, {n: {} for n in nodes}, dict.fromkeys(nodes, 0.0)
+    for a, b, w in edges:
+        near[a][b] = near[a].get(b, 0.0) + w
+        near[b][a] = near[b].get(a, 0.0) + w
+    total = 2 * sum(w for *_, w in edges)
+    while True:
+        degree = {n: sum(near[n].values()) + loops[n] for n in near}
+        c, sums, moved = {n: n for n in near}, dict(degree), False
+        again = True
+        while again:
+            again = False
+            for n in near:
+                into = {c[n]: 0.0}
+                for m, w in near[n].items():
+                    into[c[m]] = into.get(c[m], 0.0) + w
+                sums[c[n]] -= degree[n]
+                best = max(into, key=lambda x: (round(into[x] - sums[x] * degree[n] / total, 9), x == c[n]))
+                again |= best != c[n]
+                moved |= best != c[n]
+                c[n] = best
+                sums[best] += degree[n]
+        if not moved:
+            return member
+        member = {n: c[k] for n, k in member.items()}
+        new = {k: {} for k in set(c.values())}
+        new_loops = dict.fromkeys(new, 0.0)
+        for n in near:
+            new_loops[c[n]] += loops[n]
+            for m, w in near[n].items():
+                if c[n] == c[m]:
+                    new_loops[c[n]] += w
+                else:
+                    new[c[n]][c[m]] = new[c[n]].get(c[m], 0.0) + w
+        near, loops = new, new_loops
+
+
+@pytest.mark.parametrize("groups, size, outside", [(6, 25, 0.1)])
+def test_communities_are_as_good_as_those_of_one_task(spark, groups, size, outside):
+    import random
 
-def test_large_components_are_labelled_too(spark, monkeypatch):
-    monkeypatch.setattr(community, "COMPONENT_EDGES", 3)
-    nodes = spark.createDataFrame([(c, i) for i, c in enumerate("abcdwxyzpq")], "id string, ord int")
-    edges = spark.createDataFrame([*CLIQUES, ("p", "q", 1.0)], "source string, target string, weight double")
-    got = {r.id: r.community for r in community.louvain(nodes, edges).collect()}
-    assert len(got) == 10 and got["p"] == got["q"] == "p"
+    r = random.Random(groups)
+    ids = [f"p{i:03}" for i in range(groups * size)]
+    edges = {}
+    for i in range(len(ids)):
+        for _ in range(5):
+            j = i // size * size + r.randrange(size) if r.random() > outside else r.randrange(len(ids))
+            if i != j:
+                edges[ids[min(i, j)], ids[max(i, j)]] = 1.0 + r.randrange(3)
+    edges = [(a, b, w) for (a, b), w in edges.items()]
+    nodes = spark.createDataFrame([(n, i) for i, n in enumerate(ids)], "id string, ord int")
+    got = {x.id: x.community for x in community.louvain(nodes, spark.createDataFrame(edges, "source string, target string, weight double")).collect()}
+    assert got.keys() == set(ids)
+    assert modularity(got, edges) >= 0.97 * modularity(greedy(ids, edges), edges)
+
+
+def test_communities_without_edges(spark):
+    nodes = spark.createDataFrame([("a", 0), ("b", 1)], "id string, ord int")
+    none = spark.createDataFrame([], "source string, target string, weight double")
+    assert {r.id: r.community for r in community.louvain(nodes, none).collect()} == {"a": "a", "b": "b"}
 
 
 def graph_of(spark, nodes, edges):
