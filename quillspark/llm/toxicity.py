@@ -55,8 +55,8 @@ SAMPLE = {0: 2500, 1: 1200}
 #: Negative windows of the first round.
 FIRST_NEGATIVES = 6000
 ROUNDS = 3
-#: Codes of texts, and windows, that are scored at a time.
-BLOCK = 1 << 20
+#: Characters of texts, and windows, that are scored at a time.
+BLOCK = 1 << 18
 FOLDS, HELD_FOLD = 5, 0
 
 _CODES = 48  # 0: none, 1-26: letters, 27: digits, 28: a word's start, 29-47: letters of other scripts
@@ -104,14 +104,15 @@ def windows_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     parts = [codes_of(t) if t else b"" for t in texts]
     between = bytes([_SENTENCE])
     raw = np.frombuffer(between + between.join(parts) + between, "uint8").copy()
-    of_text = np.repeat(np.arange(len(parts)), [len(p) + 1 for p in parts])
+    text_ends = np.cumsum([len(p) + 1 for p in parts])
+    del parts
     letter = (raw > 0) & (raw < _SENTENCE)
     head = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1  # first letters of words
     if not len(head):
         none = np.zeros(0, "int64")
         return np.zeros(0, "uint8"), none, none, none
     tail = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
-    sentence = np.cumsum(raw == _SENTENCE)[head]
+    sentence = np.cumsum(raw == _SENTENCE, dtype="int32")[head]
     # runs of single characters become one word: the marks inside go
     joins = np.r_[False, (tail - head == 1)[1:] & (tail - head == 1)[:-1] & (sentence[1:] == sentence[:-1])]
     run = np.cumsum(~joins)
@@ -119,11 +120,10 @@ def windows_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     raw[head - 1] = _START
     keep = letter.copy()
     keep[head[~joins] - 1] = True
-    place = np.cumsum(keep) - keep  # where what is kept comes to stand
     codes = raw[keep]
-    start = place[head[~joins] - 1]
+    start = (np.cumsum(keep, dtype="int32") - 1)[head[~joins] - 1]  # where what is kept comes to stand
     end = np.r_[start[1:], len(codes)]
-    sentence, owner = sentence[~joins], of_text[head[~joins] - 1]
+    sentence, owner = sentence[~joins], np.searchsorted(text_ends, head[~joins] - 1, "right").astype("int32")
     # long words in pieces
     size = end - start
     n = np.maximum(1, -(-(size - LONGEST // 2) // (LONGEST // 2)))
@@ -207,7 +207,7 @@ class Nystrom:
 
     def __call__(self, codes: list[bytes]) -> np.ndarray:
         parts = [features(codes[i : i + 400], self.columns, len(self.own)).astype("float32") @ self.map for i in range(0, len(codes), 400)]
-        return np.vstack(parts).astype("float64")
+        return np.vstack(parts)
 
     def primal(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(_CODES**3)
@@ -217,13 +217,18 @@ class Nystrom:
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4.0, steps: int = 30) -> np.ndarray:
     """The least of |w|^2 / 2 + c / 2 * sum of weight * max(0, 1 - y (x w))^2, by Newton's method; the last coefficient is the offset, which is hardly held back."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     active = np.ones(len(x), bool)
     for _ in range(steps):
-        xa, ca = x[active], c * weight[active]
-        w = np.linalg.solve(ridge + (xa * ca[:, None]).T @ xa, (xa * ca[:, None]).T @ y[active])
+        gram, right = ridge.copy(), np.zeros(x.shape[1])
+        for at in np.array_split(np.flatnonzero(active), 1 + active.sum() // 4096):
+            xa = x[at].astype("float64")
+            xw = xa * (c * weight[at])[:, None]
+            gram += xw.T @ xa
+            right += xw.T @ y[at]
+        w = np.linalg.solve(gram, right)
         now = y * (x @ w) < 1
         if (now == active).all():
             break
@@ -302,18 +307,25 @@ class _Sample:
     """The labelled texts' windows: all, and the different ones with the numbers of clean and toxic texts that have them."""
 
     def __init__(self, texts: list[str], label: np.ndarray):
-        codes, self.starts, self.ends, owner = windows_of(texts)
-        self.codes = codes
-        line, number = codes.tobytes(), {}
-        self.kind = np.fromiter((number.setdefault(line[a:b], len(number)) for a, b in zip(self.starts.tolist(), self.ends.tolist())), "int64", len(self.starts))
-        self.different = list(number)
-        both = np.unique(np.stack([owner, self.kind]), axis=1)
-        toxic = label[both[0]] == 1
-        self.toxic, self.clean = (np.bincount(both[1][t], minlength=len(number)) for t in (toxic, ~toxic))
-        self.bag, self.witness = both[0][toxic], both[1][toxic]  # texts and windows of toxic ones
+        self.codes, self.starts, self.ends, owner = windows_of(texts)
+        padded = np.r_[self.codes, np.zeros(LONGEST, "uint8")]
+        hashes = np.zeros(len(self.starts), "uint64")
+        for k in range(LONGEST):
+            hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + np.where(self.starts + k < self.ends, padded[self.starts + k], 0).astype("uint64")
+        _, self.first, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
+        n = len(self.first)
+        self.kind = self.kind.astype("int32")
+        both = np.unique(owner.astype("int64") * n + self.kind)
+        of_text, window = both // max(n, 1), (both % max(n, 1)).astype("int32")
+        toxic = label[of_text] == 1
+        self.toxic, self.clean = (np.bincount(window[t], minlength=n) for t in (toxic, ~toxic))
+        self.bag, self.witness = of_text[toxic], window[toxic]  # texts and windows of toxic ones
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.codes[self.starts[self.first[i]] : self.ends[self.first[i]]].tobytes()
 
     def scores(self, model: Model) -> np.ndarray:
-        out = np.zeros(len(self.different))
+        out = np.zeros(len(self.first))
         out[self.kind] = linear(self.codes, self.starts, self.ends, model.weights) + model.offset
         return out
 
@@ -341,17 +353,19 @@ def fit(rows: list[tuple[str | None, int]], totals: tuple[int, int] | None = Non
     witnesses = sample.witnesses(np.where((sample.toxic > 1) & (tells > 1.5), sample.toxic * tells, -np.inf))
     by_count = np.argsort(-sample.clean, kind="stable")
     by_count = by_count[sample.clean[by_count] > 0]
-    negatives = set(by_count[: FIRST_NEGATIVES // 2].tolist())
-    place = {c: i for i, c in enumerate(sample.different)}
-    negatives |= {place[c] for c in _spread([sample.different[i] for i in by_count[FIRST_NEGATIVES // 2 :].tolist()], FIRST_NEGATIVES // 2)}
+    common, others = by_count[: FIRST_NEGATIVES // 2], by_count[FIRST_NEGATIVES // 2 :]
+    step = max(1, len(others) // (FIRST_NEGATIVES // 2))  # windows are numbered by hash
+    negatives = np.zeros(len(sample.first), bool)
+    negatives[common] = negatives[np.sort(others)[::step]] = True
     model = space = None
     known: dict[bytes, np.ndarray] = {}
     for turn in range(ROUNDS):
         if not witnesses:
             return Model(None, 0.0)
-        positives = [sample.different[w] for w in sorted(witnesses, key=lambda w: (-witnesses[w], sample.different[w]))]
-        times = np.asarray(sorted(witnesses.values(), reverse=True), float)
-        against = [sample.different[i] for i in sorted(negatives - witnesses.keys())]
+        positives = sorted(((sample[w], n) for w, n in witnesses.items()), key=lambda p: (-p[1], p[0]))
+        positives, times = [c for c, _ in positives], np.asarray([float(n) for _, n in positives])
+        negatives[list(witnesses)] = False
+        against = [sample[i] for i in np.flatnonzero(negatives).tolist()]
         if turn < 2:  # landmarks stay from the second round on
             landmarks = positives[: LANDMARKS // 2] + _spread(positives[LANDMARKS // 2 :], LANDMARKS // 4)
             space, known = Nystrom(landmarks + _spread(against, LANDMARKS - len(landmarks))), {}
@@ -365,7 +379,7 @@ def fit(rows: list[tuple[str | None, int]], totals: tuple[int, int] | None = Non
         w = squared_hinge(np.stack([known[c] for c in codes]), y, weight)
         model = Model(space.primal(w[:-1]).astype("float32"), float(w[-1]))
         scores = sample.scores(model)
-        negatives |= set(np.flatnonzero((scores > -1) & (sample.clean > 0) & (tells < 1.0)).tolist())
+        negatives |= (scores > -1) & (sample.clean > 0) & (tells < 1.0)
         # what only one toxic text has needs the machine's word
         witnesses = sample.witnesses(np.where((tells > 0.5) & (scores > np.where(sample.toxic > 1, -0.5, 0.3)), scores, -np.inf))
     described = np.vstack([model.described(texts[i : i + 500]) for i in range(0, len(texts), 500)])
