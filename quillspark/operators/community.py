@@ -9,7 +9,7 @@ from quillspark.sources.shared import stashed
 
 TOP_LABELS = 5
 #: Rounds of moves of a level, and levels, at most.
-ROUNDS, LEVELS = 20, 10
+ROUNDS, LEVELS = 8, 6
 
 
 def label_propagation(ids: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -64,27 +64,31 @@ def _moved(links: DataFrame, state: DataFrame, total: float, resolution: float,
     All nodes look at the same state, so in each round a half of them, by hash, stays; two
     single nodes never change places, as only the one with the greater id may join the other.
     """
-    size = state.groupBy("c").agg(F.sum("degree").alias("sum"), F.count(F.lit(1)).alias("members"))
+
+    def sized(df: DataFrame) -> DataFrame:
+        """With each community's sum of degrees, and whether it has one member."""
+        size = df.groupBy("c").agg(F.sum("degree").alias("sum"), (F.count(F.lit(1)) == 1).alias("alone"))
+        return stashed(df.join(size, "c"))
+
+    state = sized(state)
     for k in range(rounds):
-        votes = links.join(state.select(F.col("id").alias("n"), "c"), "n").groupBy("id", "c").agg(F.sum("weight").alias("w"))
-        near = votes.join(size, "c").join(state.select("id", "degree", F.col("c").alias("own")), "id")
-        alone = size.where("members = 1").select(F.col("c").alias("own"), F.lit(True).alias("alone"))
-        without = F.col("sum") - F.when(F.col("c") == F.col("own"), F.col("degree")).otherwise(0.0)
-        gain = F.round(F.col("w") - resolution * F.col("degree") * without / F.lit(total), 9)
-        swap = (F.col("members") == 1) & F.coalesce("alone", F.lit(False)) & (F.col("c") > F.col("own"))
-        best = near.join(alone, "own", "left").where(~swap).withColumn("gain", gain).groupBy("id").agg(
-            F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay")
+        beside = state.select(F.col("id").alias("n"), "c", "sum", "alone")
+        votes = links.join(beside, "n").groupBy("id", "c").agg(F.sum("weight").alias("w"), F.first("sum").alias("s"), F.first("alone").alias("single"))
+        near = votes.join(state.select("id", "degree", F.col("c").alias("own"), "sum", "alone"), "id")
+        is_own = F.col("c") == F.col("own")
+        gain = F.round(F.col("w") - resolution * F.col("degree") * (F.col("s") - F.when(is_own, F.col("degree")).otherwise(0.0)) / F.lit(total), 9)
+        swap = F.col("single") & F.col("alone") & (F.col("c") > F.col("own"))
+        none = F.round(-resolution * F.col("degree") * (F.col("sum") - F.col("degree")) / F.lit(total), 9)
+        best = near.where(~swap).withColumn("gain", gain).withColumn("none", none).groupBy("id").agg(
+            F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("b"), F.coalesce(F.max(F.when(is_own, F.col("gain"))), F.max("none")).alias("stay"), F.max("own").alias("own")
         )
-        joined = state.join(best, "id", "left").join(size, "c")
-        stay = F.coalesce("stay", F.round(-resolution * F.col("degree") * (F.col("sum") - F.col("degree")) / F.lit(total), 9))
-        wants = F.col("b").isNotNull() & (-F.col("b.g") > stay) & (F.col("b.c") != F.col("c"))
-        goes = wants & (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0)
-        new = stashed(joined.select("id", "degree", F.when(goes, F.col("b.c")).otherwise(F.col("c")).alias("c"), F.coalesce(wants, F.lit(False)).alias("wants")))
-        state = new.drop("wants")
-        size = state.groupBy("c").agg(F.sum("degree").alias("sum"), F.count(F.lit(1)).alias("members"))
-        if new.where("wants").isEmpty():
+        wants = best.where((-F.col("b.g") > F.col("stay")) & (F.col("b.c") != F.col("own"))).select("id", F.col("b.c").alias("to"))
+        wants = stashed(wants)
+        if wants.isEmpty():
             break
-    return state
+        goes = wants.where(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0)
+        state = sized(state.select("id", "degree", "c").join(goes, "id", "left").select("id", "degree", F.coalesce("to", "c").alias("c")))
+    return state.select("id", "degree", "c")
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = ROUNDS, levels: int = LEVELS) -> DataFrame:
@@ -104,7 +108,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds:
     for _ in range(levels if total else 0):
         state = _moved(links, state, total, resolution, rounds)
         now = _quality(links, state, total, resolution)
-        if now <= quality + 1e-6:
+        if now <= quality + 1e-4:
             break
         quality = now
         member = stashed(member.join(state.select(F.col("id").alias("node"), "c"), "node", "left").select("id", F.coalesce("c", "node").alias("node")))
