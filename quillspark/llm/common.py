@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quillspark.sources.shared import stashed  # noqa: F401  operators take it from here
 from quillspark.sources.shipping import shipped
 
 #: Rows of one Arrow batch. Texts can be long, so batches are short.
@@ -29,26 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share.
-
-    The folder is the session's spark.checkpoint.dir. Only a local master may go without it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stashed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to shared storage, so that its lineage ends there."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def appended(
     df: DataFrame,
     column: str,
