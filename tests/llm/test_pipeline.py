@@ -36,3 +36,55 @@ def test_stages(spark, tmp_path):
             assert got.where("piece = 0").count() == read.count()
         read = got
     assert names == ["toxicity", "minhash_near_dedup", "secret_scan", "source_mixing", "best_fit_packing"]
+
+
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, predicted string, row int, n string, sketches int, spans string, hash int, piece string, length string"
+
+
+def staged(spark, tmp_path, rows, labels=()):
+    """What each stage gives for these rows."""
+    folder = str(tmp_path)
+    more = (0.5, "p", 1, "n", 2, "s", 3, "x", "y")
+    docs = spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), *more) for i, t, s in rows], COLUMNS)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    read, out = table(spark, folder, "documents"), {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, read, folder)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert got.columns == docs.columns, name
+        got.write.parquet(f"{folder}/{k}")
+        read = out[name] = spark.read.parquet(f"{folder}/{k}")
+    return {k: v.collect() for k, v in out.items()}
+
+
+def test_nulls_long_texts_ties_and_repeated_rows(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, None, "a"), (2, "", None), (3, "one two three four", "a"), (3, "one two three four", "a"), (4, "one two three four", "b"), (5, "first text of five", "a"), (5, "quite another of five", "a"),
+            (None, "no id at all", None), (None, "no id at all", None), (6, long, "a"), (7, long + " end", "b"), (8, "password = abcdefgh12345678 here", "a")]
+    out = staged(spark, tmp_path, rows)
+    assert len(out["toxicity"]) == len(rows)
+    kept = sorted((r.doc_id or 0, (r.text or "")[:20]) for r in out["minhash_near_dedup"])
+    assert kept == [(0, "no id at all"), (1, ""), (3, "one two three four"), (5, "first text of five"), (5, "quite another of fiv"), (6, long[:20]), (8, "password = abcdefgh1")]
+    secret = {r.doc_id: r for r in out["secret_scan"]}
+    assert secret[8].text == "[assign] here" and secret[8].n_chars == 13 and secret[6].text == long and secret[1].text is None
+    mixed = out["source_mixing"]
+    assert {(r.doc_id, r.text) for r in mixed} <= {(r.doc_id, r.text) for r in out["secret_scan"]}
+    pieces = out["best_fit_packing"]
+    assert sum(r.piece == 0 for r in pieces) == len(mixed)
+    ends = {}
+    for r in pieces:
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.offset + r.length))
+    for own in ends.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:])) and own[-1][1] <= 1024
+
+
+def test_toxic_documents_go_and_others_stay(spark, tmp_path):
+    rows = [(i, f"plain words number {i} of the book" if i % 4 else f"you are a foul villain number {i}", "s") for i in range(120)]
+    out = staged(spark, tmp_path, rows, [(i, 1, int(i % 4 == 0)) for i in range(100)])
+    assert {r.doc_id for r in out["toxicity"]} == {i for i in range(120) if i % 4}
+
+
+def test_empty_tables(spark, tmp_path):
+    assert all(rows == [] for rows in staged(spark, tmp_path, []).values())
