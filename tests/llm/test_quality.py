@@ -55,6 +55,44 @@ def test_decision_list_on_held_out_rows(labelled_rows):
     assert found and wrong < 0.03
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_conditions_are_those_of_the_most_gain(seed):
+    """Each condition of a grown rule against all thresholds of all statistics."""
+    r = np.random.default_rng(seed)
+    rows = r.integers(0, 6, (60, len(rules.NAMES))).astype(float)
+    bad = (rows[:, 3] + rows[:, 7] + r.integers(0, 3, 60)) > 8
+    rule = rules._grow(rows, bad)
+    inside = np.ones(len(rows), bool)
+
+    def gain(c, x, y):
+        h = c.holds(x)
+        p, n = (y & h).sum(), (~y & h).sum()
+        return p * (np.log2(p / (p + n)) - np.log2(y.sum() / len(y))) if p >= rules.LEAST_COVERED else -1.0
+
+    for c in rule:
+        x, y = rows[inside], bad[inside]
+        every = [rules.Condition(n, above, float(t)) for n in rules.NAMES for above in (True, False) for t in range(6)]
+        assert gain(c, x, y) == pytest.approx(max(gain(e, x, y) for e in every))
+        inside &= c.holds(rows)
+    assert rule and (len(rule) == rules.LONGEST_RULE or not (~bad & inside).any() or all(gain(e, rows[inside], bad[inside]) <= 1e-9 for e in every))
+    kept = rules._prune(rule, rows, bad)
+    worth = [((bad & rules.covered(rule[:k], rows)).sum() - (~bad & rules.covered(rule[:k], rows)).sum()) / rules.covered(rule[:k], rows).sum() for k in range(1, len(rule) + 1)]
+    assert kept == rule[: len(kept)] and worth[len(kept) - 1] == max(worth)
+
+
+def test_list_covers_in_order_until_rules_are_too_poor():
+    r = np.random.default_rng(1)
+    rows = r.random((900, len(rules.NAMES)))
+    bad = (rows[:, 2] > 0.8) | (rows[:, 5] < 0.1)
+    found = rules.learn(rows, bad)
+    left = np.ones(len(rows), bool)
+    for rule in found:
+        c = rules.covered(rule, rows) & left
+        assert bad[c].mean() >= rules.LEAST_PRECISION
+        left &= ~c
+    assert (bad & left).mean() < 0.02
+
+
 def test_expression_says_what_the_list_says(spark, labelled_rows):
     x = np.asarray([r[1] for r in labelled_rows[:800]], float)
     found = rules.learn(x, np.asarray([r[2] == 0 for r in labelled_rows[:800]]))

@@ -85,6 +85,36 @@ def test_bayes_by_hand():
     assert b.odds([]) == 0.0 and not math.isnan(b.odds(["h:zzz"]))
 
 
+def test_bayes_is_that_of_plain_counts(spark):
+    """Weights of every token of real urls, counted url by url."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url")
+    more = [(-k, f"http://{'casino' if k % 3 else 'garden'}-zorblax{k % 7}.example.org/{'free/quuxbet' if k % 3 else 'plants'}") for k in range(1, 60)]
+    pages = pages.unionByName(spark.createDataFrame(more, "page_id bigint, url string"))
+    urls = urlfilter.split_urls(pages)
+    unigrams = urlfilter.unigrams_of(urls)
+    bayes, _ = urlfilter.bayes_of(urlfilter.tokens_of(urls, unigrams))
+    found = [urlfilter.tokens(r.host, r.path, unigrams) for r in urls.collect()]
+    kinds = [any(t[2:] in urlfilter.BLOCKED for t in f) for f in found]
+    n = len(found)
+    counts = {}
+    for f, kind in zip(found, kinds):
+        for t in f:
+            counts.setdefault(t, [0.0, 0.0])[kind] += 1
+    usual = {t: sum(c) / n for t, c in counts.items() if t[2:] not in urlfilter.BLOCKED}
+    for words, kind in ((urlfilter.BLOCKED, 1), (urlfilter.ALLOWED, 0)):
+        for t, share in usual.items():  # each seed word stands for SEED_COUNT usual urls
+            counts[t][kind] += urlfilter.SEED_COUNT * len(words) * share
+        for w in words:
+            for t in (f"h:{w}", f"p:{w}"):
+                counts.setdefault(t, [0.0, 0.0])[kind] += urlfilter.SEED_COUNT
+    sums = [sum(c[k] for c in counts.values()) + urlfilter.SMOOTH * (len(counts) + 1) for k in (0, 1)]
+    want = {t: math.log((c[1] + urlfilter.SMOOTH) / sums[1] * sums[0] / (c[0] + urlfilter.SMOOTH)) for t, c in counts.items()}
+    assert bayes.weight == pytest.approx(want)
+    assert bayes.prior == pytest.approx(math.log((sum(kinds) + 1) / (n - sum(kinds) + 1)))
+    # words that only stand beside blocked ones are learned
+    assert bayes.weight["p:free"] > 0 and max(bayes.weight[t] for t in bayes.weight if "quux" in t) > 0
+
+
 JOINED = ["http://freecasino.example.org/en/1", "http://cheappills.example.org/de/2.html", "https://www.onlinecasino.example.org/fr/3", "http://pokerbonus.example.org/en/4"]
 
 
