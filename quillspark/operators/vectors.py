@@ -52,11 +52,13 @@ def nearest_batch(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def page_rollup(hits: DataFrame) -> DataFrame:
     """page_id, score and the best chunks of pages, from chunk hits (page_id, chunk_index, chunk_text, score)."""
-    shown = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "chunk_index", "chunk_text"))), 1, SHOWN_CHUNKS)
-    top = hits.groupBy("page_id").agg(F.max("score").alias("top"), F.sum("score").alias("total"), shown.alias("chunks"))
+    best = Window.partitionBy("page_id").orderBy(F.desc("score"), "chunk_index")
+    few = hits.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= SHOWN_CHUNKS)
+    chunks = few.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("nth", "chunk_index", "chunk_text", "score"))).alias("c"))  # SHOWN_CHUNKS of a page
+    top = hits.groupBy("page_id").agg(F.max("score").alias("top"), F.sum("score").alias("total"))
     tail = F.least(TAIL_WEIGHT * (F.col("total") - F.col("top")), F.greatest(F.lit(0.0), 1.0 - F.col("top")))
-    chunks = F.transform("chunks", lambda c: F.struct(c["chunk_index"].alias("chunk_index"), c["chunk_text"].alias("chunk_text"), (-c["s"]).alias("score")))
-    return top.select("page_id", (F.col("top") + tail).alias("score"), chunks.alias("chunks"))
+    shown = F.transform("c", lambda c: F.struct(c["chunk_index"].alias("chunk_index"), c["chunk_text"].alias("chunk_text"), c["score"].alias("score")))
+    return top.join(chunks, "page_id").select("page_id", (F.col("top") + tail).alias("score"), shown.alias("chunks"))
 
 
 def upsert(stored: DataFrame, batch: DataFrame) -> DataFrame:
