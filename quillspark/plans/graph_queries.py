@@ -148,7 +148,17 @@ def community_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("community", "node_count", "intra_edges", F.round("cohesion", 6).alias("cohesion"), F.array_join("top_nodes", ",").alias("top_nodes"))
 
 
-@query()
+_LPA_SQL = """,
+bo AS MATERIALIZED (SELECT source AS id, target AS n, weight FROM ve UNION ALL SELECT target, source, weight FROM ve),
+ow AS MATERIALIZED (SELECT id, max(weight) AS weight FROM bo GROUP BY 1),
+lab(k, id, label) AS (SELECT 0, id, id FROM nd UNION ALL
+ SELECT l.k + 1, l.id, coalesce(b.label, l.label) FROM lab l LEFT JOIN (
+  SELECT id, arg_min(label, {'w': -w, 'label': label}) AS label FROM (
+   SELECT id, label, round(sum(weight), 9) AS w FROM (SELECT bo.id, x.label, bo.weight FROM bo JOIN lab x ON x.id = bo.n UNION ALL SELECT x.id, x.label, ow.weight FROM lab x JOIN ow ON ow.id = x.id) GROUP BY 1, 2) GROUP BY 1) b ON b.id = l.id WHERE l.k < 10)
+SELECT id, label AS community FROM lab WHERE k = 10"""
+
+
+@query(f"{_FM}, {_VISUAL_SQL}{_LPA_SQL}".replace("WITH ", "WITH RECURSIVE ", 1))
 def communities_lpa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities by deterministic label propagation."""
     nodes, edges = graph.visual_graph(_pages(spark, sf_dir))

@@ -10,6 +10,7 @@ from quillspark.functions import chunk, language, text
 from quillspark.functions import frontmatter as fm
 from quillspark.operators import cascade, chat, context, ingest, reviews, search
 from quillspark.plans.catalog import query
+from quillspark.plans.search_queries import PHRASE, SCORED_SQL, TOKENS
 from quillspark.sources import html
 from quillspark.streaming import windows
 
@@ -180,7 +181,15 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n", context.budget(F.col("n")).alias("b")).select("n", "b.*")
 
 
-@query()
+_CUT_SQL = "chr(10) || chr(10) || '[...truncated...]'"
+
+
+@query(f"""{SCORED_SQL.replace("WITH ", "WITH RECURSIVE ", 1)},
+b AS (SELECT *, CASE WHEN contains(head, '{PHRASE}') OR {' OR '.join(f"contains(head, '{t}')" for t in TOKENS)} THEN 0 ELSE 1 END AS priority FROM s WHERE score > 0 ORDER BY score DESC, ord LIMIT 20),
+o AS MATERIALIZED (SELECT page_id, priority, length(CASE WHEN length(content) > 5000 THEN substr(content, 1, 5000) || {_CUT_SQL} ELSE content END)::INT AS n, row_number() OVER (ORDER BY priority, score DESC, ord) AS r FROM b),
+f(r, used, kept, fits) AS (SELECT 0::BIGINT, 0, 0, false UNION ALL
+ SELECT o.r, CASE WHEN f.used < 40000 AND f.used + o.n <= 40000 THEN f.used + o.n ELSE f.used END, f.kept + (f.used < 40000 AND f.used + o.n <= 40000)::INT, f.used < 40000 AND f.used + o.n <= 40000 FROM f JOIN o ON o.r = f.r + 1)
+SELECT 0::BIGINT AS query_id, page_id, priority::INT AS priority, kept::INT AS position, n AS n_chars FROM f JOIN o USING (r) WHERE fits""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best pages of a query as far as they fit."""
     pages = _pages(spark, sf_dir)

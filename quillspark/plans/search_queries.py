@@ -11,25 +11,25 @@ from quillspark.operators import search, vectors
 from quillspark.plans.catalog import query
 
 QUERY = "The thing, inner erth?"
-_TOKENS = ("thing", "inner", "erth?")
-_PHRASE = "the thing, inner erth?"
+TOKENS = ("thing", "inner", "erth?")
+PHRASE = "the thing, inner erth?"
 
-_SCORED_SQL = f"""WITH {wiki_sql()},
+SCORED_SQL = f"""WITH {wiki_sql()},
 p AS (SELECT page_id, path, ord, title, content, lower(content) AS low, lower(title || ' ' || page_id || '.md') AS head FROM wiki),
-s AS (SELECT *, 50 * contains(head, '{_PHRASE}')::BIGINT
- + 20 * least(10, (length(low) - length(replace(low, '{_PHRASE}', ''))) // length('{_PHRASE}'))
- + 5 * ({' + '.join(f"contains(head, '{t}')::BIGINT" for t in _TOKENS)})
- + {' + '.join(f"contains(low, '{t}')::BIGINT" for t in _TOKENS)} AS score FROM p)"""
+s AS (SELECT *, 50 * contains(head, '{PHRASE}')::BIGINT
+ + 20 * least(10, (length(low) - length(replace(low, '{PHRASE}', ''))) // length('{PHRASE}'))
+ + 5 * ({' + '.join(f"contains(head, '{t}')::BIGINT" for t in TOKENS)})
+ + {' + '.join(f"contains(low, '{t}')::BIGINT" for t in TOKENS)} AS score FROM p)"""
 
 
-@query(f"""{_SCORED_SQL} SELECT page_id, path, title, score, ord FROM s WHERE score > 0 ORDER BY score DESC, ord LIMIT 20""")
+@query(f"""{SCORED_SQL} SELECT page_id, path, title, score, ord FROM s WHERE score > 0 ORDER BY score DESC, ord LIMIT 20""")
 def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best pages for a literal query."""
     return search.search_tokens(wiki_pages(table(spark, sf_dir, "documents")), QUERY).select("page_id", "path", "title", "score", "ord")
 
 
-@query(f"""{_SCORED_SQL}, b AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, ord LIMIT 20),
-a AS (SELECT *, CASE WHEN contains(low, '{_PHRASE}') THEN '{_PHRASE}' {' '.join(f"WHEN contains(low, '{t}') THEN '{t}'" for t in _TOKENS)} ELSE '{QUERY}' END AS anchor FROM b),
+@query(f"""{SCORED_SQL}, b AS (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, ord LIMIT 20),
+a AS (SELECT *, CASE WHEN contains(low, '{PHRASE}') THEN '{PHRASE}' {' '.join(f"WHEN contains(low, '{t}') THEN '{t}'" for t in TOKENS)} ELSE '{QUERY}' END AS anchor FROM b),
 i AS (SELECT *, instr(low, anchor) - 1 AS p0 FROM a),
 r AS (SELECT *, greatest(p0 - 80, 0) AS st, least(length(content), p0 + length(anchor) + 80) AS en FROM i)
 SELECT page_id, CASE WHEN p0 < 0 THEN replace(substr(content, 1, 160), chr(10), ' ')
@@ -106,7 +106,7 @@ def vector_page_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolled.select("page_id", F.round("score", 6).alias("score"), F.array_join(F.transform("chunks", lambda c: c["chunk_index"].cast("string")), ",").alias("chunks"))
 
 
-@query(f"""{_SCORED_SQL},
+@query(f"""{SCORED_SQL},
 t AS (SELECT page_id, row_number() OVER (ORDER BY score DESC, ord) AS r FROM s WHERE score > 0),
 h AS (SELECT 'doc-' || (e.vec_id // 5) AS page_id, {_DISTANCE_SQL} AS d, e.vec_id FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY d, {_CHUNK_SQL} LIMIT 30),
 c AS (SELECT page_id, max(1 / (1 + d)) AS top, sum(1 / (1 + d)) AS total FROM h GROUP BY 1),
