@@ -39,7 +39,6 @@ def references(pages: DataFrame) -> DataFrame:
     pattern = "!\\[([^\\]]*)\\]\\(([^)\\s]+)\\)"
     both = F.arrays_zip(*(F.regexp_extract_all("content", F.lit(pattern), k).alias(n) for k, n in ((0, "full"), (1, "alt"), (2, "url"))))
     each = pages.select("page_id", "content", F.posexplode(both).alias("pos", "i"))
-    each = each.withColumn("at", F.regexp_instr("content", F.lit(pattern)))
     # the place of the pos-th image: the text before it, made of what the pattern splits
     before = F.array_join(F.slice(F.split("content", pattern), F.lit(1), F.col("pos") + 1), "")
     seen = F.aggregate(F.slice(F.regexp_extract_all("content", F.lit(pattern), 0), F.lit(1), F.col("pos")), F.lit(0), lambda s, x: s + F.length(x))
