@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,14 +35,27 @@ def session_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quillspark-{spark.sparkContext.applicationId}"
 
 
+_SCOPE: ContextVar[str] = ContextVar("scope", default="tables")
+
+
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables that are stashed inside lie together under that name, so that they can be cleared together."""
+    token = _SCOPE.set(name)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
 def stashed(df: DataFrame) -> DataFrame:
     """df, computed once and written to a new path in the session's folder, so that its lineage ends there."""
-    spark, path = df.sparkSession, f"{session_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, f"{session_dir(df.sparkSession)}/{_SCOPE.get()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleared(spark: SparkSession) -> None:
-    """Deletes all tables that this application has stashed. No result that reads them may still be in use."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+def cleared(spark: SparkSession, name: str = "") -> None:
+    """Deletes what this application has stashed, or of that scope. No result that reads these tables may still be in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{session_dir(spark)}/{name}".rstrip("/"))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -54,6 +54,13 @@ def test_stashed_tables_can_be_cleared(spark):
 
     kept = shared.stashed(spark.range(5))
     assert kept.count() == 5 and shared.session_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    with shared.scope("some"):
+        gone = shared.stashed(spark.range(7))
+    assert gone.count() == 7
+    shared.cleared(spark, "some")
+    assert kept.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(gone.inputFiles()[0]).count()
 
 
 SEARCHED = {
