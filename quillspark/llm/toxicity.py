@@ -30,12 +30,15 @@ is 0.0. No rows give no rows. Columns with the names of results are replaced.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -393,8 +396,16 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     allowed = ~held_out("doc_id", FOLDS, HELD_FOLD)
     own = labels.where(allowed & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = training_sample(docs, labels, "toxic", allowed, SAMPLE)
-    return fit([(r["text"], r["label"]) for r in sample.collect()], (totals.get(0, 0), totals.get(1, 0)))
+    sizes = totals.get(0, 0), totals.get(1, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, sizes))], pa.binary())], names=["model"])
+
+    # one task gets the sample, which is bounded, so that the driver needn't hold it
+    sample = training_sample(docs, labels, "toxic", allowed, SAMPLE).select("text", F.col("label").cast("int").alias("label"))
+    got = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(got[0]["model"])) if got else Model(None, 0.0)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
