@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import extraction, fingerprint, mixing, neardup, packing, ranking, rules, secrets, toxicity, urlfilter
+from quillspark.llm import ballmeans, extraction, fingerprint, lexical, mixing, neardup, packing, ranking, rules, secrets, toxicity, urlfilter, vectordup
 from quillspark.llm.common import held_out, table, tuned
 
 
@@ -53,11 +53,45 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.searched(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballmeans.clustered(table(tuned(spark), sf_dir, "embeddings"))
+
+
+def op13_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.linked(table(tuned(spark), sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_html_extraction, op3_quality_rules, op4_fingerprints, op5_toxicity,
     op6_url_filter, op7_quality_classifier, op8_source_mixing, op9_near_duplicates, op10_secret_scan,
+    op11_lexical_search, op12_ball_kmeans, op13_vector_duplicates,
 )}
 
+
+
+def _kmeans_sql(k: int = ballmeans.CLUSTERS, rounds: int = ballmeans.ROUNDS) -> str:
+    """The rounds one after the other; whole numbers in doubles, so that products and sums are exact."""
+    steps = [f"""
+v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS m FROM v QUALIFY c < {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min_by(c, d * 100 + c) AS c, min(d) AS d FROM
+  (SELECT v.vec_id, v, c, list_inner_product(v, v) - 2 * list_inner_product(v, m) + list_inner_product(m, m) AS d FROM v, c{r}) GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(list_transform(n, lambda x: x), m) AS m FROM c{r} LEFT JOIN
+  (SELECT c, list(x ORDER BY i) AS n FROM (SELECT c, i, floor(sum(v[i]) / count(*)) AS x FROM a{r}, range(1, 65) t(i) GROUP BY c, i) GROUP BY c) s ON s.c = c{r}.c)""")
+    return "WITH" + ",".join(steps) + f"""
+SELECT vec_id, a.c::INT AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(m, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op8_source_mixing": """
 WITH RECURSIVE n AS (SELECT coalesce(source, '') AS source, count(*) AS n, pow(count(*)::DOUBLE, 0.7) AS weight FROM documents GROUP BY 1),
@@ -70,5 +104,27 @@ p(rate, k, log, cdf) AS (
   UNION ALL
   SELECT rate, k + 1, log + ln(rate / (k + 1)), cdf + exp(log + ln(rate / (k + 1))) FROM p WHERE k + 1 <= ceil(rate + 12 * sqrt(rate) + 30))
 SELECT d.doc_id, d.source, p.k AS mix_copy FROM d JOIN p ON p.rate = d.rate AND p.cdf <= d.u
+""",
+    "op11_lexical_search": r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+d AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY 1),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d),
+p AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (doc_id), s GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50
+""",
+    "op12_ball_kmeans": _kmeans_sql(),
+    "op13_vector_duplicates": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.95),
+c AS (SELECT a AS vec_id, a AS o FROM (SELECT DISTINCT a FROM l) UNION SELECT c.vec_id, l.b FROM c JOIN l ON l.a = c.o),
+m AS (SELECT vec_id, min(o) AS least FROM c GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, vec_id = coalesce(least, vec_id) AS kept
+FROM embeddings LEFT JOIN m USING (vec_id) LEFT JOIN n USING (vec_id)
 """,
 }
