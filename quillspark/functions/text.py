@@ -6,6 +6,8 @@ it, ASCII word bounds, punctuation of queries. Offsets and lengths count code po
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ ORG_SUFFIX = "(有限公司|股份公司|集团|控股|公司|集团|保险|金
 REVIEW_PREFIX = "(?i)^(missing[\\s-]?page[:：]\\s*|duplicate[\\s-]?page[:：]\\s*|possible[\\s-]?duplicate[:：]\\s*|缺失页面[:：]\\s*|缺少页面[:：]\\s*|重复页面[:：]\\s*|疑似重复[:：]\\s*)"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row, also where use has it inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def word_bounded(alternatives: str) -> str:
     """A pattern for the words, bounded as \\b does where word characters are ASCII."""
     bound = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"

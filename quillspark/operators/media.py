@@ -35,20 +35,30 @@ def raw_sources(images: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def references(pages: DataFrame) -> DataFrame:
-    """page_id, pos, alt, url, and the text before and after each image."""
+    """page_id, pos, alt, url, and the text before and after each image.
+
+    A page is cut once into its images and what is between them; what an image sees of both sides is
+    carried along them, from the front and from the end.
+    """
     pattern = "!\\[([^\\]]*)\\]\\(([^)\\s]+)\\)"
-    both = F.arrays_zip(*(F.regexp_extract_all("content", F.lit(pattern), k).alias(n) for k, n in ((0, "full"), (1, "alt"), (2, "url"))))
-    each = pages.select("page_id", "content", F.posexplode(both).alias("pos", "i"))
-    # the place of the pos-th image: the text before it, made of what the pattern splits
-    before = F.array_join(F.slice(F.split("content", pattern), F.lit(1), F.col("pos") + 1), "")
-    seen = F.aggregate(F.slice(F.regexp_extract_all("content", F.lit(pattern), 0), F.lit(1), F.col("pos")), F.lit(0), lambda s, x: s + F.length(x))
-    start = F.length(before) + seen
-    first = F.greatest(start - CONTEXT, F.lit(0))
-    return each.select(
-        "page_id", "pos", F.col("i.alt").alias("alt"), F.col("i.url").alias("url"),
-        F.substr("content", first + 1, start - first).alias("before"),
-        F.substr("content", start + F.length("i.full") + 1, F.lit(CONTEXT)).alias("after"),
-    )
+    cut = F.struct(F.split("content", pattern).alias("between"), *(F.regexp_extract_all("content", F.lit(pattern), k).alias(n) for k, n in ((0, "full"), (1, "alt"), (2, "url"))))
+    found = pages.select("page_id", cut.alias("c")).where(F.size("c.full") > 0)
+    nothing = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("seen"))
+    at = lambda name, i: F.element_at(F.col(f"c.{name}"), i.cast("int"))
+
+    def before(s: Column, i: Column) -> Column:
+        text = F.right(F.concat(s["text"], at("between", i)), F.lit(CONTEXT))
+        return F.struct(F.concat(text, at("full", i)).alias("text"), F.array_append(s["seen"], text).alias("seen"))
+
+    def after(s: Column, i: Column) -> Column:
+        text = F.left(F.concat(at("between", i + 1), s["text"]), F.lit(CONTEXT))
+        return F.struct(F.concat(at("full", i), text).alias("text"), F.array_append(s["seen"], text).alias("seen"))
+
+    n = F.size("c.full")
+    front = F.aggregate(F.sequence(F.lit(1), n), nothing, before, lambda s: s["seen"])
+    back = F.aggregate(F.sequence(n, F.lit(1)), nothing, after, lambda s: F.reverse(s["seen"]))
+    both = F.arrays_zip(F.col("c.alt").alias("alt"), F.col("c.url").alias("url"), front.alias("before"), back.alias("after"))
+    return found.select("page_id", F.posexplode(both).alias("pos", "i")).select("page_id", "pos", "i.alt", "i.url", "i.before", "i.after")
 
 
 def alt_text(caption: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import frontmatter as fm
-from quillspark.functions.text import trimmed
+from quillspark.functions.text import let, trimmed
 from quillspark.operators.ingest import contained
 
 # Folders below the wiki and the types they stand for, and what may be imported.
@@ -40,41 +40,54 @@ def page_info(content: Column, path: Column) -> Column:
 
 
 def front_matter(content: Column) -> Column:
-    """A struct of scalars and lists, maps of what stands in the front matter, each key's last value."""
-    lines = F.split(fm.block(content), "\\r?\\n")
-    at = lambda i: F.element_at(lines, i.cast("int"))
-    places = F.sequence(F.lit(1), F.size(lines))
-    listed = F.filter(places, lambda i: at(i).rlike("^\\w+:\\s*\\[.*\\]\\s*$"))
-    scalar = F.filter(places, lambda i: at(i).rlike("^\\w+:\\s*\"?[^\"#\\r\\n]*\"?\\s*$") & ~at(i).rlike("^\\w+:\\s*\\[.*\\]\\s*$"))
-    opened = F.filter(places, lambda i: at(i).rlike("^\\w+:\\s*$"))
-    key = lambda i: F.regexp_extract(at(i), "^(\\w+):", 1)
+    """A struct of scalars and lists, maps of what stands in the front matter, each key's last value.
+
+    The block is cut once, where a line begins with a key, so that each entry has its own lines only.
+    """
+    entries = F.split(F.replace(fm.block(content), F.lit("\r\n"), F.lit("\n")), "\n(?=\\w+:)")
+    inline, scalar = "^\\w+:\\s*\\[(.*)\\]\\s*$", "^\\w+:\\s*\"?([^\"#\\r\\n]*)\"?\\s*$"
+    head = lambda e: F.substring_index(e, "\n", 1)
+    key = lambda e: F.regexp_extract(e, "^(\\w+):", 1)
     unquoted = lambda x: F.regexp_replace(trimmed(x), "^[\"']|[\"']$", "")
-    inline = lambda i: F.filter(F.transform(F.split(F.regexp_extract(at(i), "^\\w+:\\s*\\[(.*)\\]\\s*$", 1), ","), unquoted), lambda v: v != "")
-    # the lines of a list end where another key begins
-    stop = lambda i: F.coalesce(F.array_min(F.filter(places, lambda j: (j > i) & at(j).rlike("^\\w+:"))), F.size(lines) + 1)
-    below = lambda i: F.transform(F.filter(places, lambda j: (j > i) & (j < stop(i)) & at(j).rlike("^\\s*-\\s+")), lambda j: trimmed(F.regexp_extract(at(j), "^\\s*-\\s+\"?([^\"]*)\"?\\s*$", 1)))
-    lists = F.concat(F.transform(listed, lambda i: F.struct(key(i).alias("k"), inline(i).alias("v"))), F.transform(opened, lambda i: F.struct(key(i).alias("k"), below(i).alias("v"))))
-    scalars = F.transform(scalar, lambda i: F.struct(key(i).alias("k"), trimmed(F.regexp_extract(at(i), "^\\w+:\\s*\"?([^\"#\\r\\n]*)\"?\\s*$", 1)).alias("v")))
-    last = lambda a: F.map_from_entries(F.filter(a, lambda x, i: i == F.array_max(F.transform(F.filter(F.transform(a, lambda y, j: F.struct(y["k"].alias("k"), j.alias("j"))), lambda y: y["k"] == x["k"]), lambda y: y["j"]))))
-    return F.struct(last(scalars).alias("scalars"), last(F.filter(lists, lambda x: F.size(x["v"]) > 0)).alias("lists"))
+
+    def listed(e: Column) -> Column:
+        below = F.filter(F.split(e, "\n"), lambda x: x.rlike("^\\s*-\\s+"))
+        items = F.filter(F.transform(F.split(F.regexp_extract(head(e), inline, 1), ","), unquoted), lambda v: v != "")
+        own = F.when(head(e).rlike(inline), items).otherwise(F.transform(below, lambda x: trimmed(F.regexp_extract(x, "^\\s*-\\s+\"?([^\"]*)\"?\\s*$", 1))))
+        return F.struct(key(e).alias("k"), own.alias("v"))
+
+    def last(pairs: Column) -> Column:
+        """Pairs as a map; of equal keys the last one."""
+        placed = F.array_sort(F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
+        kept = let(placed, lambda all_: F.filter(all_, lambda x, i: ~x["k"].eqNullSafe(F.try_element_at(all_, (i + 2).cast("int"))["k"])))
+        return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"])))
+
+    def parsed(all_: Column) -> Column:
+        lists = F.transform(F.filter(all_, lambda e: head(e).rlike(inline) | head(e).rlike("^\\w+:\\s*$")), listed)
+        scalars = F.transform(F.filter(all_, lambda e: head(e).rlike(scalar) & ~head(e).rlike(inline)), lambda e: F.struct(key(e).alias("k"), trimmed(F.regexp_extract(head(e), scalar, 1)).alias("v")))
+        return F.struct(last(scalars).alias("scalars"), last(F.filter(lists, lambda x: F.size(x["v"]) > 0)).alias("lists"))
+
+    return let(entries, parsed)
 
 
 def sections(body: Column) -> Column:
-    """Structs of heading, level (1 to 3; 0 before the first) and content; parts without both are left out."""
-    lines = F.split(body, "\\r?\\n")
-    at = lambda i: F.element_at(lines, i.cast("int"))
+    """Structs of heading, level (1 to 3; 0 before the first) and content; parts without both are left out. Lines are cut once."""
     pattern = "^(#{1,3})\\s+(.+)$"
-    heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: at(i).rlike(pattern))
-    starts, ends = F.concat(F.array(F.lit(0)), heads), F.concat(heads, F.array(F.size(lines) + 1))
 
-    def part(s: Column) -> Column:
-        own = F.slice(lines, s["s"] + 1, s["e"] - s["s"] - 1)
-        head = F.when(s["s"] > 0, at(F.greatest(s["s"], F.lit(1)))).otherwise("")
-        text = F.when(F.size(own) > 0, F.concat(F.array_join(own, "\n"), F.lit("\n"))).otherwise("")
-        return F.struct(trimmed(F.regexp_extract(head, pattern, 2)).alias("heading"), F.length(F.regexp_extract(head, pattern, 1)).alias("level"), text.alias("content"))
+    def cut(lines: Column) -> Column:
+        at = lambda i: F.element_at(lines, i.cast("int"))
+        heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: at(i).rlike(pattern))
+
+        def part(s: Column) -> Column:
+            own = F.slice(lines, s["s"] + 1, s["e"] - s["s"] - 1)
+            head = F.when(s["s"] > 0, at(F.greatest(s["s"], F.lit(1)))).otherwise("")
+            text = F.when(s["e"] - s["s"] > 1, F.concat(F.array_join(own, "\n"), F.lit("\n"))).otherwise("")
+            return F.struct(trimmed(F.regexp_extract(head, pattern, 2)).alias("heading"), F.length(F.regexp_extract(head, pattern, 1)).alias("level"), text.alias("content"))
+
+        parts = F.transform(F.arrays_zip(F.concat(F.array(F.lit(0)), heads).alias("s"), F.concat(heads, F.array(F.size(lines) + 1)).alias("e")), part)
+        return F.filter(parts, lambda p: (trimmed(p["content"]) != "") | (p["heading"] != ""))
 
-    parts = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), part)
-    return F.filter(parts, lambda p: (trimmed(p["content"]) != "") | (p["heading"] != ""))
+    return let(F.split(body, "\\r?\\n"), cut)
 
 
 def pages_of_names(names: DataFrame, paths: DataFrame) -> DataFrame:

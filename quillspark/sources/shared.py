@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import lru_cache
@@ -55,6 +55,23 @@ def stashed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are stashed inside are deleted at the end, but for those stashed by the function that this gives."""
+    outer = _SCOPE.get()
+    own = f"{outer}-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame) -> DataFrame:
+        with scope(outer):
+            return stashed(df)
+
+    try:
+        with scope(own):
+            yield keep
+    finally:
+        cleared(spark, own)
+
+
 def cleared(spark: SparkSession, name: str = "") -> None:
     """Deletes what this application has stashed, or of that scope. No result that reads these tables may still be in use."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{session_dir(spark)}/{name}".rstrip("/"))
