@@ -4,7 +4,8 @@ Each rule's regex is parsed into a nondeterministic automaton. All of them, read
 become one deterministic automaton by subset construction, which is minimised and stored as
 an array of transitions, indexed by state and byte class. It reads each text's bytes once, from
 the end, and tells of every byte which rules have a match that starts there. Ends come from
-each rule's own deterministic automaton, run forward from the leftmost start until it fails:
+each rule's own deterministic automaton, run forward from the leftmost start until it fails, or is in a state at a place
+from which an earlier run has failed:
 spans are leftmost, longest and don't overlap within a kind. No regex library takes part.
 
 The pass is made in many lanes at once, each a stretch of the bytes; a lane that doesn't start
@@ -235,18 +236,30 @@ class Automaton:
         self.dead = -1 if dead is None else at[part[dead]] << self.bits
         self.steps, self.bytes_to = self.step.tolist(), bytes(classes)
 
-    def longest(self, data: bytes, at: int) -> tuple[int, int]:
-        """Of the matches that start there, where the shortest and the longest end; -1 if there is none."""
-        step, final, dead, s = self.steps, self.final, self.dead, self.first
+    def longest(self, data: bytes, at: int, idle: set[int]) -> tuple[int, int]:
+        """Of the matches that start there in data, given as byte classes, where the shortest and the longest end; -1 if there is none.
+
+        idle: of every fourth byte, the states after it from which earlier runs over data came to no further end; a run that gets
+        into one of them stops, so that no byte is read more than a few times, however many starts there are.
+        """
+        step, final, dead, s, states = self.steps, self.final, self.dead, self.first, len(self.steps)
         shortest = end = -1
+        seen: list[int] = []
         for i in range(at, len(data)):
-            s = step[s | self.bytes_to[data[i]]]
+            s = step[s | data[i]]
             if s >= final:
                 end = i + 1
                 if shortest < 0:
                     shortest = end
+                seen.clear()
             elif s == dead:
                 break
+            if not i & 3:
+                key = i * states + s
+                if key in idle:
+                    break
+                seen.append(key)
+        idle.update(seen)
         return shortest, end
 
     def accepting(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -312,10 +325,12 @@ class Scanner:
         out = []
         for k, (_, _, what, least, _) in enumerate(self.rules):
             at = 0
-            for start in places[found >> k & 1 > 0].tolist():
+            starts = places[found >> k & 1 > 0].tolist()
+            own, idle = data.translate(self.ends[k].bytes_to) if starts else b"", set()
+            for start in starts:
                 if start < at:
                     continue
-                shortest, end = self.ends[k].longest(data, start)
+                shortest, end = self.ends[k].longest(own, start, idle)
                 if end < 0:
                     continue
                 at = end

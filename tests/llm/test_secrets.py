@@ -83,3 +83,24 @@ def test_edges(spark):
     texts = {r.doc_id: r.text for r in red.collect()}
     assert texts[1] is None and texts[3].endswith("[assign]")
     assert not any(secrets.found_in(t) for t in texts.values())
+
+
+@pytest.mark.parametrize("unit, end", [
+    ("eyJ", ".eyJx.a"), ("eyJabcdefgh.", ""), ("eyJabcdefgh.eyJ", "x"), ("password=", ""), ("secret ", "="), ("token:'", ""), ("AKIA", ""), ("AKIA ", ""), ("0", ""), ("a ", ""), ("ghp_a", ""), ("ghp_", "a" * 40),
+    ("xoxb-", ""), ("AIza", ""), ("AIza-_", "."), ("sk_live_a", ""), ("-----BEGIN PRIVATE KEY-----", ""), ("-----BEGIN PRIVATE KEY-----\n", "abc -----END"), ("-----BEGIN RSA ", "PRIVATE KEY-----"),
+    ("://a:b", "@"), ("://", "a:bbbbb@c"), ("://a:bbbbb@", ""), ("://a", ":bbbb"), ("a:b", "://x:yyyy@z"),
+])
+def test_linear_time(unit, end):
+    import time
+
+    scan = secrets.scanner()
+
+    def took(size):
+        began = time.process_time()
+        scan([unit * (size // len(unit)) + end])
+        return time.process_time() - began
+
+    whole = took(1_000_000)
+    assert whole < 4 and whole < 7 * took(250_000) + 0.3
+    short = unit * 60 + end
+    assert secrets.found_in(short) == by_regex(short)
