@@ -8,8 +8,9 @@ shuffle; a source never decides where a copy goes.
 
 A source's weight is its number of documents to the power alpha, unless weights are given;
 rates are scaled so that the mix has rate copies a document, on average. Null sources count
-as a source named ''. Documents with a null id share one uniform number. Repeated rows are
-repeated alike. No rows give no copies.
+as a source named ''. A document with a null id has its text's hash for an id, so that documents without ids
+are repeated by their source's rate too. Repeated rows are repeated alike; where many lie in one
+partition, adaptive execution splits it. No rows give no copies.
 """
 
 from __future__ import annotations
@@ -26,6 +27,12 @@ RATE = 1.0
 BROADCAST_SOURCES = 10_000
 
 
+def identity(docs: DataFrame) -> Column:
+    """A document's id as text, or else its text's hash; without a text column rows without an id are alike."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")) if "text" in docs.columns else F.lit("")
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(text.cast("binary"))))
+
+
 def uniform(key: Column) -> Column:
     """52 bits of md5 as a number from 0 up to 1, in every engine the same."""
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
@@ -64,7 +71,7 @@ def counted(docs: DataFrame, seed: str = SEED, **mix) -> DataFrame:
     by_source = rates(docs, **mix).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"))
     if by_source.count() <= BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
-    u = uniform(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    u = uniform(F.concat(F.lit(f"{seed}:"), identity(docs)))
     joined = docs.join(by_source, F.coalesce("source", F.lit("")) == F.col("mix_source"), "left")
     return joined.withColumn("mix_copies", poisson_inverse(u, F.col("mix_rate"))).drop("mix_source", "mix_rate")
 
@@ -79,8 +86,8 @@ def mixed(docs: DataFrame, seed: str = SEED, partitions: int | None = None, **mi
         counted(docs, seed, **mix)
         .where(F.col("mix_copies") > 0)
         .withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-        .withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "mix_copy"))
+        .withColumn("mix_key", F.xxhash64(F.lit(seed), identity(docs), "mix_copy"))
         .drop("mix_copies")
     )
-    dealt = copies.repartition(partitions, "mix_key") if partitions else copies.repartition("mix_key")
+    dealt = copies.repartition(partitions, "mix_key") if partitions else copies.hint("rebalance", "mix_key")
     return dealt.sortWithinPartitions("mix_key", "doc_id", "mix_copy").drop("mix_key")

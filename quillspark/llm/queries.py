@@ -42,7 +42,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "mix_copy")
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "mix_copy")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ ORACLE_SQL: dict[str, str] = {
 WITH RECURSIVE n AS (SELECT coalesce(source, '') AS source, count(*) AS n, pow(count(*)::DOUBLE, 0.7) AS weight FROM documents GROUP BY 1),
 r AS (SELECT source, (1.0 * sum(n) OVER () * (weight / sum(weight) OVER ()) / n) AS rate FROM n),
 d AS (SELECT doc_id, documents.source, rate,
-        ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u
+        ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u
       FROM documents JOIN r ON coalesce(documents.source, '') = r.source),
 p(rate, k, log, cdf) AS (
   SELECT DISTINCT rate, 0, -rate, exp(-rate) FROM r

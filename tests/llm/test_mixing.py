@@ -64,3 +64,13 @@ def test_copies_are_spread(spark):
     assert max(sizes) < 2 * sum(sizes) / len(sizes)
     order = [r.doc_id for r in out.collect()]
     assert order != sorted(order)
+
+
+def test_rows_without_ids_are_repeated_by_their_rate_and_spread(spark):
+    docs = spark.range(10_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    for seed in ("a", "b", "c"):
+        assert mixing.mixed(docs, seed=seed, rate=2.0).count() == pytest.approx(20_000, rel=0.05)
+    sizes = [len(p) for p in mixing.mixed(docs, partitions=8).rdd.glom().collect()]
+    assert max(sizes) < 1.5 * sum(sizes) / len(sizes)
+    texts = mixing.mixed(docs, rate=3.0).groupBy("text").count().select(F.max("count")).first()[0]
+    assert 5 <= texts <= 20
