@@ -8,8 +8,8 @@ postings stand in the order of their exact impact, weight * ((10^9 * tf) div (10
 
 An item is scored over an index from its highest impacts down, a step of levels at a time; all
 postings of equal impact fall in the same step. After each step the terms' next impacts
-bound what a document can still gain. The item is done when the TOP documents that may be in its
-result are fewer than or as many as asked for, and no other can reach them; their scores are then completed from
+bound what a document can still gain, less those of terms that it has been met with. The item is done when no more documents may be in its
+result than are asked for, and no other can reach them; their scores are then completed from
 the documents' own terms. Each task hands on TOP rows an item, which are merged in two rounds.
 
 Items are dealt to blocks of about BLOCK bytes of text; each block's terms, which that
@@ -43,6 +43,8 @@ SHARD = 1 << 21
 BLOCK = 4 << 20
 #: Steps in which an item's postings are read, at most.
 STEPS = 12
+#: Documents whose own bounds are looked at, if the common bound leaves no more.
+CLOSE = 1 << 13
 #: Groups in which tasks' rows of an item meet first.
 GROUPS = 32
 
@@ -103,7 +105,7 @@ class Index:
         Ties at the end are all there. floor: a score that `most` documents elsewhere have.
         """
         lists = [(w, *self.places[t]) for t, w in weights.items() if w > 0 and t in self.places]
-        got = np.zeros(self.n, "int64")
+        got, met = np.zeros(self.n, "int64"), np.zeros(self.n, "uint64")
         left = sum(b - a for _, a, b in lists)
         heads, read = [a for _, a, _ in lists], 0
         tops = [w * int(self.impacts[a]) for w, a, _ in lists]
@@ -117,7 +119,10 @@ class Index:
                     # impacts descend: those over the level come first
                     own = self.impacts[heads[k] : b]
                     n = int(np.searchsorted(-own, -(level // w), "left"))
-                    got[self.docs[heads[k] : heads[k] + n]] += w * own[:n]
+                    docs = self.docs[heads[k] : heads[k] + n]
+                    got[docs] += w * own[:n]
+                    if k < 64:
+                        met[docs] |= np.uint64(1 << k)
                     heads[k] += n
                     read += n
                     tops[k] = w * int(self.impacts[heads[k]]) if heads[k] < b else 0
@@ -126,6 +131,11 @@ class Index:
                 continue
             least = max(int(np.partition(got, -most)[-most]) if self.n > most else 0, floor, 1)
             may = np.flatnonzero(got + bound >= least)
+            if bound and most < len(may) <= CLOSE:  # a document can't gain from a term that it has been met with
+                gain = np.full(len(may), bound)
+                for k, top in enumerate(tops[:64]):
+                    gain -= top * (met[may] >> np.uint64(k) & np.uint64(1)).astype("int64")
+                may = may[got[may] + gain >= least]
             if bound == 0 or len(may) <= most:
                 break
         else:

@@ -88,3 +88,14 @@ def test_toxic_documents_go_and_others_stay(spark, tmp_path):
 
 def test_empty_tables(spark, tmp_path):
     assert all(rows == [] for rows in staged(spark, tmp_path, []).values())
+
+
+def test_stages_chained_without_writing(spark):
+    docs = table(spark, SF, "documents")
+    read = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        read = stage(spark, read, SF)
+    other = corpus_pipeline.without_near_duplicates(spark, docs, SF)  # another pipeline of the same session begins
+    assert corpus_pipeline.STAGES[4][1](spark, read, SF).where("piece = 0").count() == read.count() > 0 and other.count() > 0
+    first, second = corpus_pipeline.run(spark, SF), corpus_pipeline.run(spark, SF)
+    assert first.count() == second.count() > 0
