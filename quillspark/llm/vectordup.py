@@ -80,56 +80,64 @@ def keys_of(unit: np.ndarray, k: int, tables: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view("int64")
 
 
-def unit_of(rows: list) -> list[np.ndarray | None]:
-    """Each vector with length one; None for what links with nothing."""
-    out = []
-    for r in rows:
-        v = np.asarray([], "float64") if r is None or None in r else np.asarray(r, "float64")
-        most = np.abs(v).max() if len(v) and np.isfinite(v).all() else 0.0
-        if most:
-            v = v / most
-            v = v / np.sqrt(v @ v)
-        out.append(v if most else None)
-    return out
-
-
-def signed(vectors: DataFrame, k: int, tables: int) -> DataFrame:
-    """vec_id, row (a number of its own), digest, unit (as bytes) and keys; the last three null for what links with nothing."""
-    fields = [("vec_id", pa.int64()), ("row", pa.int64()), ("digest", pa.binary()), ("unit", pa.binary()), ("keys", pa.list_(pa.int64()))]
+def units_of(raw: list[bytes], kind: str) -> np.ndarray:
+    """Vectors given as bytes, all of one number of components, with length one; the same for a vector in any company."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype("float64")
+    x /= np.abs(x).max(1)[:, None]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def signed(vectors: DataFrame, kind: str) -> DataFrame:
+    """vec_id, row (a number of its own), digest and raw, the components as bytes; the last two null for what links with nothing."""
+    schema = pa.schema([("vec_id", pa.int64()), ("row", pa.int64()), ("digest", pa.binary()), ("raw", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            units = unit_of(batch.column(1).to_pylist())
-            keys: list = [None] * len(units)
-            for dim in {len(u) for u in units if u is not None}:
-                own = [i for i, u in enumerate(units) if u is not None and len(u) == dim]
-                for i, x in zip(own, keys_of(np.stack([units[i] for i in own]), k, tables).tolist()):
+            raw, digests = [], []
+            for v in batch.column(1).to_pylist():
+                x = np.asarray([] if v is None or None in v else v, kind) + 0  # no negative zeros
+                some = len(x) and np.isfinite(x).all() and x.any()
+                raw.append(x.tobytes() if some else None)
+                digests.append(hashlib.blake2b(raw[-1], digest_size=16).digest() if some else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(range(row, row + len(raw)), pa.int64()), pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], schema=schema)
+            row += len(raw)
+
+    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(run, "vec_id bigint, row bigint, digest binary, raw binary")
+
+
+def keyed(nodes: DataFrame, kind: str, k: int, tables: int) -> DataFrame:
+    """node, and key, that of the node's bucket, for each table, from node and raw."""
+    schema = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            keys: list = [None] * len(raw)
+            for size in {len(r) for r in raw}:
+                own = [i for i, r in enumerate(raw) if len(r) == size]
+                for i, x in zip(own, keys_of(units_of([raw[i] for i in own], kind), k, tables).tolist()):
                     keys[i] = x
-            raw = [None if u is None else (u + 0.0).tobytes() for u in units]
-            columns = [batch.column(0), pa.array(range(row, row + len(units)), pa.int64()), [None if b is None else hashlib.blake2b(b, digest_size=16).digest() for b in raw], raw, keys]
-            row += len(units)
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, fields)], schema=pa.schema(fields))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, schema.field(1).type)], schema=schema)
 
-    own = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return own.mapInArrow(run, "vec_id bigint, row bigint, digest binary, unit binary, keys array<bigint>")
+    return nodes.select("node", "raw").mapInArrow(run, "node bigint, keys array<bigint>").select("node", F.explode("keys").alias("key"))
 
 
-def with_angle(pairs: DataFrame, a: str, b: str, keep: list[str]) -> DataFrame:
-    """keep columns of pairs, cosine and angle of the vectors a and b (as bytes)."""
+def with_angle(pairs: DataFrame, kind: str, keep: list[str]) -> DataFrame:
+    """keep columns of pairs, cosine and angle of the vectors u and w (as bytes)."""
     old = [pairs.schema[c] for c in keep]
     schema = T.StructType([*old, T.StructField("cosine", T.DoubleType()), T.StructField("angle", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
-            if len({len(v) for v in (*x, *y)}) == 1:
-                c = np.einsum("ij,ij->i", *(np.frombuffer(b"".join(v)).reshape(len(v), -1) for v in (x, y)))
-            else:
-                c = np.asarray([np.einsum("i,i->", np.frombuffer(p), np.frombuffer(q)) for p, q in zip(x, y)], "float64")
+            c = np.zeros(len(x))
+            for size in {len(v) for v in x}:
+                own = [i for i, v in enumerate(x) if len(v) == size]
+                c[own] = np.einsum("ij,ij->i", *(units_of([v[i] for i in own], kind) for v in (x, y)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(c), pa.array(np.arccos(np.clip(c, -1, 1)))], names=[*keep, "cosine", "angle"])
 
-    return pairs.select(*keep, a, b).mapInArrow(run, schema)
+    return pairs.select(*keep, "u", "w").mapInArrow(run, schema)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], n_keys: int, work: Callable[[pa.Table], list[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -155,16 +163,16 @@ def grouped(batches: Iterator[pa.RecordBatch], n_keys: int, work: Callable[[pa.T
         yield batch_of(rows(held, True)[0])
 
 
-def near_balls(entries: DataFrame, widest: float) -> DataFrame:
+def near_balls(entries: DataFrame, widest: float, kind: str) -> DataFrame:
     """a, b (a < b), cosine and angle of balls that share a key and may have linked members.
 
-    entries: key, ball, unit (its centre), radius and size, the number of the key's balls.
+    entries: key, ball, raw (its centre), radius and size, the number of the key's balls.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
 
     def work(t: pa.Table) -> list[tuple]:
         balls, radius = t.column("ball").to_numpy(), t.column("radius").to_numpy()
-        x = np.stack([np.frombuffer(u) for u in t.column("unit").to_pylist()])
+        x = units_of(t.column("raw").to_pylist(), kind)
         first = t.column("block").to_numpy() == t.column("low").to_numpy()
         same = t.column("low")[0] == t.column("high")[0]
         i, j = (np.arange(len(x)),) * 2 if same else (np.flatnonzero(first), np.flatnonzero(~first))
@@ -175,7 +183,7 @@ def near_balls(entries: DataFrame, widest: float) -> DataFrame:
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = entries.withColumn("block", F.pmod(F.xxhash64("ball"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    units = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "ball", "radius", "unit")
+    units = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "ball", "radius", "raw")
     found = units.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(lambda b: grouped(b, 3, work, schema), "a bigint, b bigint, cosine double")
     return found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")).withColumn("angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "cosine"))))
 
@@ -183,20 +191,22 @@ def near_balls(entries: DataFrame, widest: float) -> DataFrame:
 def linked(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """vec_id, n_links, component_id and kept, a row for each row of vectors (vec_id, embedding)."""
     theta = math.acos(similar)
+    kind = "float32" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "float64"
+    vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<float>" if kind == "float32" else "array<double>"))
     k, tables = planned(vectors.count(), similar)
-    rows = stashed(signed(vectors, k, tables))
+    rows = stashed(signed(vectors, kind))
     some = rows.where("digest IS NOT NULL")
     nodes = stashed(some.groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("first")))
-    own = stashed(some.select(F.col("row").alias("node"), "unit", "keys").join(nodes.select("node").hint("merge"), "node"))
-    units = own.select("node", "unit")
+    units = stashed(some.select(F.col("row").alias("node"), "raw").join(nodes.select("node").hint("merge"), "node"))
+    vector = lambda node, name: units.select(F.col("node").alias(node), F.col("raw").alias(name)).hint("merge")
 
     # buckets of more than one node, and each node's comparison with their first ones
-    keyed = own.select("node", F.explode("keys").alias("key"))
-    groups = stashed(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader"))
-    members = stashed(keyed.join(groups.hint("merge"), "key"))
+    in_buckets = keyed(units, kind, k, tables)
+    groups = stashed(in_buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader"))
+    members = stashed(in_buckets.join(groups.hint("merge"), "key"))
     pairs = members.where("node <> leader").select("node", "leader").distinct()
-    wide = pairs.join(units.withColumnRenamed("unit", "u").hint("merge"), "node").join(units.select(F.col("node").alias("leader"), F.col("unit").alias("w")).hint("merge"), "leader")
-    half = stashed(with_angle(wide, "u", "w", ["node", "leader"]).where(F.col("angle") <= theta / 2 - MARGIN))
+    wide = pairs.join(vector("node", "u"), "node").join(vector("leader", "w"), "leader")
+    half = stashed(with_angle(wide, kind, ["node", "leader"]).where(F.col("angle") <= theta / 2 - MARGIN))
     # each node is in the ball of the first one that it is so near to, or alone
     home = half.groupBy("node").agg(F.min(F.struct("leader", "angle")).alias("h")).select("node", F.col("h.leader").alias("ball"), F.col("h.angle").alias("radius"))
     homes = stashed(nodes.join(home, "node", "left").select("digest", "node", "weight", "first", F.coalesce("ball", "node").alias("ball"), F.coalesce("radius", F.lit(0.0)).alias("radius")))
@@ -205,8 +215,8 @@ def linked(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
     # balls that share a bucket
     entries = stashed(members.select("node", "key").join(homes.select("node", "ball").hint("merge"), "node").select("key", "ball").distinct())
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    centres = balls.select("ball", "radius").join(units.withColumnRenamed("node", "ball").hint("merge"), "ball")
-    near = near_balls(entries.join(sizes.hint("merge"), "key").join(centres.hint("merge"), "ball"), theta)
+    centres = balls.select("ball", "radius").join(vector("ball", "raw"), "ball")
+    near = near_balls(entries.join(sizes.hint("merge"), "key").join(centres.hint("merge"), "ball"), theta, kind)
     side = lambda c: balls.select(F.col("ball").alias(c), F.col("weight").alias(f"weight_{c}"), F.col("radius").alias(f"radius_{c}")).hint("merge")
     near = stashed(near.join(side("a"), "a").join(side("b"), "b"))
     wide_enough, single = F.col("angle") + F.col("radius_a") + F.col("radius_b") <= theta - MARGIN, F.col("radius_a") + F.col("radius_b") == 0
@@ -216,14 +226,13 @@ def linked(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     # members of balls that are linked in part: with the other centre, then with its members
     partly = both(near.where(~wide_enough & ~single))
-    mine = partly.join(homes.select("node", "ball").hint("merge"), "ball").join(units.withColumnRenamed("unit", "u").hint("merge"), "node")
-    mine = mine.join(units.select(F.col("node").alias("to"), F.col("unit").alias("w")).hint("merge"), "to")
-    told = stashed(with_angle(mine.where("ball IS NOT NULL"), "u", "w", ["node", "ball", "to", "weight_to", "radius_to"]))
+    mine = partly.join(homes.select("node", "ball").hint("merge"), "ball").join(vector("node", "u"), "node").join(vector("to", "w"), "to")
+    told = stashed(with_angle(mine, kind, ["node", "ball", "to", "weight_to", "radius_to"]))
     whole = told.where(F.col("angle") + F.col("radius_to") <= theta - MARGIN).select("node", "ball", "to", F.col("weight_to").alias("weight"))
     open_ = told.where((F.col("angle") + F.col("radius_to") > theta - MARGIN) & (F.col("angle") - F.col("radius_to") <= theta + MARGIN)).select("node", "ball", "to")
     each = open_.join(homes.select(F.col("ball").alias("to"), F.col("node").alias("other"), "weight").hint("merge"), "to")
-    each = each.join(units.withColumnRenamed("unit", "u").hint("merge"), "node").join(units.select(F.col("node").alias("other"), F.col("unit").alias("w")).hint("merge"), "other")
-    exact = with_angle(each, "u", "w", ["node", "ball", "to", "weight"]).where(F.col("cosine") >= similar).select("node", "ball", "to", "weight")
+    each = each.join(vector("node", "u"), "node").join(vector("other", "w"), "other")
+    exact = with_angle(each, kind, ["node", "ball", "to", "weight"]).where(F.col("cosine") >= similar).select("node", "ball", "to", "weight")
     parts = stashed(whole.unionByName(exact))
     by_node = parts.groupBy("node").agg(F.sum("weight").alias("by_node"))
 
