@@ -94,21 +94,18 @@ def test_bayes_is_that_of_plain_counts(spark):
     unigrams = urlfilter.unigrams_of(urls)
     bayes, _ = urlfilter.bayes_of(urlfilter.tokens_of(urls, unigrams))
     found = [urlfilter.tokens(r.host, r.path, unigrams) for r in urls.collect()]
-    kinds = [any(t[2:] in urlfilter.BLOCKED for t in f) for f in found]
+    kinds = [any(t[2:] in urlfilter.BLOCKED for t in f) for f in found]  # which all urls of a host here have in common
     n = len(found)
     counts = {}
     for f, kind in zip(found, kinds):
         for t in f:
             counts.setdefault(t, [0.0, 0.0])[kind] += 1
-    usual = {t: sum(c) / n for t, c in counts.items() if t[2:] not in urlfilter.BLOCKED}
-    for words, kind in ((urlfilter.BLOCKED, 1), (urlfilter.ALLOWED, 0)):
-        for t, share in usual.items():  # each seed word stands for SEED_COUNT usual urls
-            counts[t][kind] += urlfilter.SEED_COUNT * len(words) * share
-        for w in words:
-            for t in (f"h:{w}", f"p:{w}"):
-                counts.setdefault(t, [0.0, 0.0])[kind] += urlfilter.SEED_COUNT
     sums = [sum(c[k] for c in counts.values()) + urlfilter.SMOOTH * (len(counts) + 1) for k in (0, 1)]
     want = {t: math.log((c[1] + urlfilter.SMOOTH) / sums[1] * sums[0] / (c[0] + urlfilter.SMOOTH)) for t, c in counts.items()}
+    for words, odds in ((urlfilter.BLOCKED, urlfilter.SEED_ODDS), (urlfilter.ALLOWED, -urlfilter.SEED_ODDS)):
+        for w in words:
+            for t in (f"h:{w}", f"p:{w}"):
+                want[t] = want.get(t, 0.0) + odds
     assert bayes.weight == pytest.approx(want)
     assert bayes.prior == pytest.approx(math.log((sum(kinds) + 1) / (n - sum(kinds) + 1)))
     # words that only stand beside blocked ones are learned
@@ -144,3 +141,40 @@ def test_rare_tokens_count(spark, monkeypatch):
     got = {r.page_id: r.verdict for r in urlfilter.judged(pages).collect()}
     assert got == {i: "block" if whole.odds(urlfilter.tokens(*u.split("://")[1].split("/", 1), unigrams)) > 0 else "allow" for i, u in rows}
     assert set(got.values()) == {"allow", "block"}
+
+
+def test_words_of_joined_names():
+    u = urlfilter.unigrams_of()
+    runs = {"nudegirlsvideos": "nude girls videos", "hotsinglegirls": "hot single girls", "earnmoneyfast": "earn money fast", "blackdragonresearch": "black dragon research", "weatherforecast": "weather forecast", "therapist": "therapist"}
+    assert {r: " ".join(u.split(r)) for r in runs} == runs
+
+
+def test_held_out_hosts(spark):
+    """Hosts without any seed word, known by what stands in urls of others; and clean hosts with one."""
+    rows = []
+    seeds = ("casino", "poker", "viagra", "lottery", "porn", "roulette")
+    spam, clean = ("lucky", "reels", "spin", "royal", "vegas"), ("garden", "plants", "botany", "roses", "soil")
+    for k in range(120):
+        name = f"{spam[k % 5]}{seeds[k % 6]}{k % 11}"
+        rows += [(f"http://www.{name}.example.org/{spam[(k + 1) % 5]}/{spam[(k + 2) % 5]}-{k}.html", "block")]
+        rows += [(f"http://{clean[k % 5]}{clean[(k + 1) % 5]}.example.org/{clean[(k + 2) % 5]}/{clean[(k + 3) % 5]}-{k}.html", "allow")]
+        if k % 2:  # no seed word
+            rows += [(f"http://{spam[k % 5]}{spam[(k + 1) % 5]}{k}.example.org/{spam[(k + 3) % 5]}/{k}", "block")]
+        elif k % 6 == 0:  # a seed word
+            rows += [(f"http://{clean[k % 5]}{clean[(k + 1) % 5]}.example.org/{clean[(k + 2) % 5]}/free/{clean[(k + 4) % 5]}/{k}", "allow")]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id bigint, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.judged(pages).collect()}
+    right = [got[i] == want for i, (_, want) in enumerate(rows)]
+    u = urlfilter.unigrams_of()
+    seeded = [any(t[2:] in urlfilter.BLOCKED for t in urlfilter.tokens(*by_hand(url)[:2], u)) for url, _ in rows]
+    differ = [(got[i] == "block") != s for i, s in enumerate(seeded)]
+    assert sum(right) >= 0.95 * len(rows)
+    assert sum(d and ok for d, ok in zip(differ, right)) >= 0.2 * len(rows)
+
+
+def test_columns_with_any_name_stay(spark):
+    names = ["odds", "rare", "bag", "more", "key", "filter_key", "tokens", "seeded", "blocked", "n", "odds0"]
+    pages = spark.createDataFrame([(1, "http://casino.example.org/x"), (2, None)], "page_id bigint, url string").selectExpr("*", *(f"'{n}' AS {n}" for n in names))
+    out = urlfilter.judged(pages)
+    assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    assert all(r[n] == n for r in out.collect() for n in names)
