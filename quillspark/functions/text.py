@@ -124,6 +124,22 @@ def normalize_path(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
+def join_path(*parts: Column) -> Column:
+    """Segments with forward slashes, one between two."""
+    return F.regexp_replace(normalize_path(F.concat_ws("/", *parts)), "/+", "/")
+
+
+def relative_path(path: Column, base: Column) -> Column:
+    """path below base, or as it is if it isn't below it."""
+    full, root = normalize_path(path), F.concat(F.regexp_replace(normalize_path(base), "/$", ""), F.lit("/"))
+    return F.when(F.startswith(full, root), F.substr(full, F.length(root) + 1)).otherwise(full)
+
+
+def is_absolute_path(path: Column) -> Column:
+    """On any system; false for null."""
+    return F.coalesce(path.rlike("^(/|[A-Za-z]:[\\\\/]|\\\\\\\\)"), F.lit(False))
+
+
 def truncated(text: Column, most: int, mark: str) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
 

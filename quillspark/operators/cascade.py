@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import frontmatter as fm
 from quillspark.functions.text import normalize_key
 from quillspark.operators.links import targets, without_dead
+from quillspark.sources.shared import stashed
 
 STRUCTURAL = ("index.md", "log.md", "overview.md")
 
@@ -54,12 +55,12 @@ def delete_everywhere(pages: DataFrame, chunks: DataFrame, media: DataFrame, cac
     Chunks go with the pages that are deleted, images with the source's own folder of media, and
     the source's row of the cache. log has one row, entry, as it is to be appended.
     """
-    changed = delete_source(pages, source)
+    changed = stashed(delete_source(pages, source))  # five results read it
     gone = changed.where("action = 'delete'").select("page_id")
     kept = pages.join(gone, "page_id", "left_anti").join(changed.where("action <> 'delete'").select("page_id", F.col("content").alias("new")), "page_id", "left")
     left = kept.withColumn("content", F.coalesce("new", "content")).select(pages.columns)
     folder = "wiki/media/" + (source.rsplit(".", 1)[0] if "." in source[1:] else source) + "/"
-    related = related_pages(pages, source).agg(F.count(F.lit(1)).alias("n"))
+    related = stashed(related_pages(pages, source).agg(F.count(F.lit(1)).alias("n")))
     n, k = gone.agg(F.count(F.lit(1)).alias("gone")), F.col("n") - F.col("gone")
     shared = F.when(k > 0, F.concat(F.lit(" "), k.cast("string"), F.lit(" shared pages kept (have other sources)."))).otherwise("")
     entry = F.concat(F.lit(f"\n## [{date}] delete | {source}\n\nDeleted source file and "), F.col("gone").cast("string"), F.lit(" wiki pages."), shared, F.lit("\n"))

@@ -126,6 +126,19 @@ def related(graph_nodes: DataFrame, edges: DataFrame, k: int = 5, seeds: DataFra
     return placed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "other", "relevance", "rank")
 
 
+# Sizes of nodes and widths of edges as drawn.
+LEAST_SIZE, MOST_SIZE, LEAST_WIDTH, MORE_WIDTH = 8.0, 28.0, 0.5, 3.5
+
+
+def drawn(shown: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (link_count) with size, by the root of their share of the most links, and edges (weight) with width, by weight."""
+    most = shown.agg(F.greatest(F.max("link_count"), F.lit(1)).alias("most"))
+    heaviest = edges.agg(F.greatest(F.max("weight"), F.lit(1.0)).alias("most"))
+    size = LEAST_SIZE + F.sqrt(F.col("link_count") / F.col("most")) * (MOST_SIZE - LEAST_SIZE)
+    width = LEAST_WIDTH + F.col("weight") / F.col("most") * MORE_WIDTH
+    return shown.crossJoin(F.broadcast(most)).withColumn("size", size).drop("most"), edges.crossJoin(F.broadcast(heaviest)).withColumn("width", width).drop("most")
+
+
 def visual_graph(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, label, type, link_count) without query pages, and edges (source, target, weight) between them."""
     every = nodes(pages)

@@ -66,15 +66,19 @@ def _deletions(name: Column, most: int) -> Column:
 
 
 def contained(a: DataFrame, b: DataFrame, least: int = 2) -> DataFrame:
-    """id, na, known_id, nb, ord where one of na (id, na) and nb (known_id, nb, ord) holds the other, longer ones only.
+    """id, known_id and ord: of each na (id, na) the first nb (known_id, nb, ord) that holds it or that it holds, being longer or shorter.
 
-    Names of least characters and more meet by their windows of the other's length.
+    Names of least characters and more meet by their windows of the other's length. Each different
+    name meets others once, and of what shares a key only the first goes on, so short names don't multiply.
     """
     windows = lambda name: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - F.col("n") + 1), lambda i: F.substr(name, i, F.col("n"))))
-    lengths = lambda df, name: F.broadcast(df.where(F.length(name) >= least).select(F.length(name).alias("n")).distinct())  # noqa: E731  as many as names are long
-    within = a.where(F.length("na") >= least).join(lengths(b, "nb"), F.length("na") > F.col("n")).select("id", "na", F.explode(windows("na")).alias("key"))
-    around = b.where(F.length("nb") >= least).join(lengths(a, "na"), F.length("nb") > F.col("n")).select("known_id", "nb", "ord", F.explode(windows("nb")).alias("key"))
-    return within.join(b, F.col("key") == F.col("nb")).select("id", "na", "known_id", "nb", "ord").unionByName(a.join(around, F.col("na") == F.col("key")).select("id", "na", "known_id", "nb", "ord"))
+    lengths = lambda df, name: F.broadcast(df.select(F.length(name).alias("n")).distinct())  # noqa: E731  as many as names are long
+    names = a.where(F.length("na") >= least).select("na").distinct()
+    known = b.where(F.length("nb") >= least).groupBy("nb").agg(F.min(F.struct("ord", "known_id")).alias("f"))
+    within = names.join(lengths(known, "nb"), F.length("na") > F.col("n")).select("na", F.explode(windows("na")).alias("nb")).join(known, "nb").select("na", "f")
+    around = known.join(lengths(names, "na"), F.length("nb") > F.col("n")).select("f", F.explode(windows("nb")).alias("na")).groupBy("na").agg(F.min("f").alias("f")).join(names, "na").select("na", "f")
+    best = within.unionByName(around).groupBy("na").agg(F.min("f").alias("f"))
+    return a.join(best, "na").select("id", "f.known_id", "f.ord")
 
 
 def name_matches(new: DataFrame, known: DataFrame) -> DataFrame:
@@ -86,13 +90,13 @@ def name_matches(new: DataFrame, known: DataFrame) -> DataFrame:
     """
     a = new.select("id", "name", normalize_name(F.col("name")).alias("na")).distinct()
     b = known.select("known_id", "known_name", "ord", normalize_name(F.col("known_name")).alias("nb"))
-    pairs = [a.join(b, a["na"] == b["nb"]).select("id", "na", "known_id", "nb", "ord"), contained(a, b)]
+    pairs = [a.join(b, a["na"] == b["nb"]).select("id", "known_id", "ord"), contained(a, b)]
     most = max(n for n, _ in NEAR)
     for longest, edits in NEAR:
         left = a.where(F.length("na") <= longest).select("id", "na", F.explode(_deletions(F.col("na"), edits)).alias("key"))
         right = b.where(F.length("nb") <= longest).select("known_id", "nb", "ord", F.explode(_deletions(F.col("nb"), edits)).alias("key"))
         near = left.join(right, "key").where(F.levenshtein("na", "nb") <= edits)
-        pairs.append(near.select("id", "na", "known_id", "nb", "ord"))
+        pairs.append(near.select("id", "known_id", "ord"))
     assert most <= 12
     every = reduce(DataFrame.unionByName, pairs)
     return every.groupBy("id").agg(F.min(F.struct("ord", "known_id")).alias("b")).select("id", F.col("b.known_id").alias("known_id"))

@@ -62,8 +62,13 @@ def without_dead(content: Column, dead_keys: Column) -> Column:
     return F.array_join(F.transform(kept, rewritten), "\n")
 
 
+def with_math(answer: Column) -> Column:
+    """Bare environments between dollar signs, as those who show formulas ask for; those that have them stay."""
+    return F.regexp_replace(answer, "(?<!\\$\\$\\s{0,99})(\\\\begin\\{[^}]+\\}[\\s\\S]*?\\\\end\\{[^}]+\\})(?!\\s*\\$\\$)", "\\$\\$\n$1\n\\$\\$")
+
+
 def rendered(answer: Column) -> Column:
-    """Links as markdown: half-closed ones repaired, [[a|b]] and [[a]] as wikilink: targets."""
-    whole = F.regexp_replace(answer, "\\[\\[([^\\[\\]]+)\\](?!\\])", "[[$1]]")
+    """Links as markdown: half-closed ones repaired, [[a|b]] and [[a]] as wikilink: targets; environments as formulas."""
+    whole = F.regexp_replace(with_math(answer), "\\[\\[([^\\[\\]]+)\\](?!\\])", "[[$1]]")
     named = F.regexp_replace(whole, "\\[\\[([^\\]|]+)\\|([^\\]]+)\\]\\]", "[$2](wikilink:$1)")
     return F.regexp_replace(named, "\\[\\[([^\\]|]+)\\]\\]", "[$1](wikilink:$1)")

@@ -55,6 +55,40 @@ def semantic(answer: Column) -> Column:
     )
 
 
+# What review items of findings say, and the choices that they give.
+_NO_LINKS = "This page has no outbound [[wikilinks]]. Consider adding cross-references to related entities and concepts."
+TITLE_CHARS = 80
+
+
+def index_entries(findings: DataFrame, index: Column | None = None) -> DataFrame:
+    """entry of each orphan among findings (kind, page, detail, affected_pages), once, that isn't in the index yet."""
+    name = F.regexp_replace(F.replace("page", F.lit(".md"), F.lit("")), "^.*/", "")
+    entries = findings.where("kind = 'orphan'").select(F.concat(F.lit("- [["), name, F.lit("]]")).alias("entry")).distinct()
+    return entries if index is None else entries.where(~F.contains(index, F.col("entry")))
+
+
+def with_entries(index: DataFrame, entries: DataFrame) -> DataFrame:
+    """The index (content), or a new one, with entries below it, in their order."""
+    lines = entries.agg(F.array_join(F.sort_array(F.collect_list("entry")), "\n").alias("lines"), F.count(F.lit(1)).alias("n"))  # the index is one page
+    own = index.select("content").unionByName(index.sparkSession.createDataFrame([("# Wiki Index\n",)], "content string")).limit(1)
+    return own.crossJoin(F.broadcast(lines)).select(F.when(F.col("n") > 0, F.concat(F.regexp_replace("content", "\\s+$", ""), F.lit("\n"), F.col("lines"), F.lit("\n"))).otherwise(F.col("content")).alias("content"))
+
+
+def review_items(findings: DataFrame, root: str = "") -> DataFrame:
+    """Review items (type, title, description, pages, options) of the findings that aren't orphans."""
+    page, kind = F.col("page"), F.col("kind")
+    broken, alone = kind == "broken-link", kind == "no-outlinks"
+    option = lambda label, action: F.struct(F.lit(label).alias("label"), action.alias("action"))
+    edit, skip = option("Open & Edit", F.concat(F.lit("open:"), page)), option("Skip", F.lit("Skip"))
+    return findings.where(kind != "orphan").select(
+        F.when(alone, "suggestion").otherwise("confirm").alias("type"),
+        F.when(broken, F.concat(F.lit("Fix broken link in "), page)).when(alone, F.concat(F.lit("Add cross-references to "), page)).otherwise(F.substring("detail", 1, TITLE_CHARS)).alias("title"),
+        F.when(alone, _NO_LINKS).otherwise(F.col("detail")).alias("description"),
+        F.when(broken | alone, F.array(page)).otherwise(F.coalesce("affected_pages", F.array(page))).alias("pages"),
+        F.when(broken, F.array(edit, option("Delete Page", F.concat(F.lit(f"delete:{root}/wiki/"), page)), skip)).otherwise(F.array(edit, skip)).alias("options"),
+    )
+
+
 def fixes(findings: DataFrame) -> DataFrame:
     """findings (kind, page_id) with what repairs each: an index entry for orphans, a review for the rest."""
     return findings.withColumn("action", F.when(F.col("kind") == "orphan", "index-entry").otherwise("review-item"))

@@ -98,7 +98,7 @@ def search(pages: DataFrame, query: str, vector_pages: DataFrame | None = None,
     if vector_pages is None:
         none = pages.select("page_id", F.lit(None).cast("bigint").alias("vector_rank")).limit(0)
         return fused(token_ranks(found, none, limit), none, pages, limit)
-    vectors = ranked(vector_pages, [F.desc("score"), F.col("page_id")], "vector_rank", partitions=1).select("page_id", "vector_rank")
+    vectors = ranked(vector_pages, [F.desc("score"), F.col("page_id")], "vector_rank").select("page_id", "vector_rank")
     if vectors.count() > FEW_PAGES:
         return fused(ranked(found, [F.desc("score"), F.col("ord")], "token_rank").select("page_id", "token_rank"), vectors, pages, limit)
     return fused(token_ranks(stashed(found), vectors, limit), vectors, pages, limit)

@@ -152,6 +152,21 @@ def ingest_statistics(written: DataFrame, warnings: DataFrame, reviews: DataFram
     return every.withColumn("detail", F.when(F.col("n_files") > 0, line).otherwise("No files generated"))
 
 
+# How page types are called and in which order they are shown.
+GROUPS = (("overview", "Overview"), ("entity", "Entities"), ("concept", "Concepts"), ("source", "Sources"), ("synthesis", "Synthesis"), ("comparison", "Comparisons"), ("query", "Queries"))
+OTHERS = ("Other", 99)
+
+
+def page_groups(pages: DataFrame) -> DataFrame:
+    """type, label, place and number of pages (path, type), in the order in which groups are shown; index and log aren't. Unknown types come last, as they were listed first (ord)."""
+    shown = pages.where(~F.regexp_extract("path", "([^/]*)$", 1).isin("index.md", "log.md"))
+    label = F.create_map(*(F.lit(x) for g in GROUPS for x in g))
+    place = F.create_map(*(F.lit(x) for k, (t, _) in enumerate(GROUPS) for x in (t, k)))
+    known = lambda m, other: F.coalesce(F.try_element_at(m, F.col("type")), F.lit(other))
+    own = shown.groupBy("type").agg(F.count(F.lit(1)).alias("n_pages"), F.min("ord").alias("first"))
+    return own.select("type", known(label, OTHERS[0]).alias("label"), known(place, OTHERS[1]).alias("place"), "n_pages", "first").orderBy("place", "first").drop("first")
+
+
 def recent_conversations(messages: DataFrame, limit: int = 50) -> DataFrame:
     """conv_id and updated of the conversations with the newest messages (conv_id, at)."""
     return messages.groupBy("conv_id").agg(F.max("at").alias("updated")).orderBy(F.desc("updated"), "conv_id").limit(limit)

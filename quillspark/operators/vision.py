@@ -26,16 +26,16 @@ PAYLOAD = "type string, page_count int, dpi int, pages array<string>"
 NO_TEXT = "(OCR 未能提取到任何文字 — 请确认视觉模型已正确配置)"
 
 
-def captions(pages: DataFrame, images: DataFrame, cache: DataFrame, caption: Captioner, model: str, at: Column, at_once: int = 4) -> dict[str, DataFrame]:
+def captions(pages: DataFrame, images: DataFrame, cache: DataFrame, caption: Captioner, model: str, at: Column, at_once: int = 4, prefix: str = "") -> dict[str, DataFrame]:
     """Captions for the images of pages (page_id, content), from a cache (CACHE) and, for what isn't there, from a model.
 
     images: page_id, url, mime and content of the image that a page's address means. An image goes out only if its
-    bytes' hash isn't in the cache, once, with the text round its first place. A call that fails leaves the image without a caption.
+    address begins with prefix and its bytes' hash isn't in the cache, once, with the text round its first place. A call that fails leaves the image without a caption.
 
     pages: the pages with captions as alternative texts. cache: the old rows and those of new captions,
     each hash once, so that merging it again changes nothing. counts: by page the images with fresh and cached captions, and failed ones.
     """
-    refs = media.references(pages)
+    refs = media.references(pages).where(F.col("url").startswith(prefix))
     first = refs.groupBy("page_id", "url").agg(F.min(F.struct("pos", "before", "after")).alias("r")).select("page_id", "url", "r.pos", "r.before", "r.after")
     held = images.select("page_id", "url", "mime", F.sha2("content", 256).alias("sha256"))
     placed = stashed(first.join(held, ["page_id", "url"], "left"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.corpus import table, wiki_pages, wiki_sql
 from quillspark.functions import frontmatter as fm
-from quillspark.operators import community, graph, insights, links, lint
+from quillspark.operators import community, graph, insights, links, lint, viewing
 from quillspark.plans.catalog import query
 
 _FM = f"WITH {wiki_sql()}"
@@ -231,3 +231,43 @@ def pages_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and sources by type."""
     n = graph.nodes(_pages(spark, sf_dir))
     return n.groupBy("type").agg(F.count(F.lit(1)).alias("n_pages"), F.count_distinct(F.element_at("sources", 1)).alias("n_sources"))
+
+
+@query(f"""{_FM}, {_VISUAL_SQL} SELECT 'node' AS kind, id AS a, '' AS b, round(8 + sqrt(link_count / greatest((SELECT max(link_count) FROM nd), 1)) * 20, 6) AS drawn FROM nd
+UNION ALL SELECT 'edge', source, target, round(0.5 + weight / greatest((SELECT max(weight) FROM ve), 1) * 3.5, 6) FROM ve""")
+def graph_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of nodes and widths of edges of the graph without query pages."""
+    shown, edges = graph.drawn(*graph.visual_graph(_pages(spark, sf_dir)))
+    return shown.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), F.round("size", 6).alias("drawn")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.round("width", 6).alias("drawn")))
+
+
+@query(f"""{_FM} SELECT * FROM (SELECT type, ['Entities','Concepts','Sources','Queries','Synthesis'][list_position(['entity','concept','source','query','synthesis'], type)] AS label,
+ [1,2,3,6,4][list_position(['entity','concept','source','query','synthesis'], type)]::INT AS place, count(*)::BIGINT AS n_pages FROM wiki GROUP BY 1) UNION ALL SELECT 'thesis', 'Other', 99, count(*) FROM wiki WHERE ord % 9 = 0""")
+def page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of pages as shown; some pages have a type of their own, and index and log don't count."""
+    pages = _pages(spark, sf_dir)
+    typed = pages.select("path", "ord", fm.page_type(F.col("content")).alias("type"))
+    more = pages.where("ord % 9 = 0").select(F.explode(F.array(F.concat(F.lit("wiki/t/"), "page_id"), F.lit("wiki/index.md"), F.lit("wiki/log.md"))).alias("path"), "ord", F.lit("thesis").alias("type"))
+    return viewing.page_groups(typed.unionByName(more))
+
+
+@query(f"""{_SPARSE}, f AS (SELECT 'no-outlinks' AS kind, page_id FROM wiki WHERE ord % 3 <> 0 UNION ALL SELECT 'broken-link', src FROM l WHERE lower(raw) NOT IN (SELECT lower(page_id) FROM wiki) UNION ALL SELECT 'semantic', page_id FROM wiki WHERE ord % 5 = 0)
+SELECT CASE kind WHEN 'no-outlinks' THEN 'suggestion' ELSE 'confirm' END AS type, CASE kind WHEN 'no-outlinks' THEN 'Add cross-references to ' || page_id || '.md' WHEN 'broken-link' THEN 'Fix broken link in ' || page_id || '.md' ELSE repeat('about ' || page_id || ' ', 20)[1:80] END AS title,
+ CASE kind WHEN 'semantic' THEN 'a.md,b.md' ELSE page_id || '.md' END AS pages, CASE kind WHEN 'broken-link' THEN 'open:' || page_id || '.md|delete:/p/wiki/' || page_id || '.md|Skip' ELSE 'open:' || page_id || '.md|Skip' END AS actions, count(*)::BIGINT AS n FROM f GROUP BY ALL""")
+def lint_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review items that findings become."""
+    pages = _pages(spark, sf_dir, True)
+    found = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.concat("page_id", F.lit(".md")).alias("page"), F.lit("x").alias("detail"), F.lit(None).cast("array<string>").alias("affected_pages"))
+    told = pages.where("ord % 5 = 0").select(F.lit("semantic").alias("kind"), F.concat("page_id", F.lit(".md")).alias("page"), F.repeat(F.concat(F.lit("about "), "page_id", F.lit(" ")), 20).alias("detail"), F.array(F.lit("a.md"), F.lit("b.md")).alias("affected_pages"))
+    items = lint.review_items(found(lint.no_outlinks(pages), "no-outlinks").unionByName(found(lint.broken_links(pages), "broken-link")).unionByName(told), "/p")
+    each = items.select("type", "title", F.array_join("pages", ",").alias("pages"), F.array_join(F.transform("options", lambda o: o["action"]), "|").alias("actions"))
+    return each.groupBy("type", "title", "pages", "actions").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{_SPARSE}, g AS (SELECT DISTINCT lower(raw) AS k FROM l) SELECT '- [[' || page_id || ']]' AS entry FROM wiki WHERE lower(page_id) NOT IN (SELECT k FROM g) AND ord % 10 <> 3""")
+def lint_index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that orphans get in the index, which names some already."""
+    pages = _pages(spark, sf_dir, True)
+    orphans = lint.orphans(pages).select(F.lit("orphan").alias("kind"), F.concat(F.lit("wiki/x/"), "page_id", F.lit(".md")).alias("page"))
+    named = pages.where("ord % 10 = 3").select(F.concat(F.lit("- [["), "page_id", F.lit("]]")).alias("entry"))
+    return lint.index_entries(orphans).join(named, "entry", "left_anti")

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from quillspark.corpus import table, wiki_pages, wiki_sql
 from quillspark.functions import chunk, language, text
 from quillspark.functions import frontmatter as fm
-from quillspark.operators import cascade, chat, context, ingest, reviews, search
+from quillspark.operators import cascade, chat, context, ingest, overlap, reviews, search
 from quillspark.plans.catalog import query
 from quillspark.plans.search_queries import PHRASE, SCORED_SQL, TOKENS
-from quillspark.sources import html
+from quillspark.sources import files, html
 from quillspark.streaming import windows
 
 
@@ -234,24 +234,7 @@ t AS (SELECT DISTINCT item_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT
 SELECT doc_id, item_id, count(*)::BIGINT AS n_shared FROM d JOIN t USING (g) GROUP BY 1, 2""")
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share runs of eight words with benchmark items."""
-
-
-    def words(name: str, key: str) -> DataFrame:
-        return table(spark, sf_dir, name).select(key, F.split(F.lower("text"), "\\s+").alias("w")).where(F.size("w") >= 8)
-
-    def hashed(df: DataFrame, key: str) -> DataFrame:
-        runs = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice("w", i, F.lit(8))).alias("h")))
-        return df.select(key, F.explode(runs).alias("run")).select(key, "run.at", "run.h")
-
-    def told(df: DataFrame, places: DataFrame, key: str) -> DataFrame:
-        return df.join(places, key).select(key, F.array_join(F.slice("w", F.col("at"), F.lit(8)), " ").alias("g")).distinct()
-
-    docs, items = words("documents", "doc_id"), words("benchmark", "item_id")
-    # runs are met by hash, and only those of documents that meet one become strings
-    at_items = hashed(items, "item_id")
-    met = hashed(docs, "doc_id").join(at_items.select("h").distinct(), "h", "left_semi").select("doc_id", "at")
-    both = told(docs, met, "doc_id").join(told(items, at_items.select("item_id", "at"), "item_id"), "g")
-    return both.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    return overlap.shared_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("SELECT ['pending','processing','done','failed'][event_id % 4 + 1] AS status, count(*)::BIGINT AS n, count_if(event_id % 3 = 0)::BIGINT AS n_retried FROM events GROUP BY 1")
@@ -275,3 +258,15 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of users, apart by half an hour."""
     w = windows.sessions(table(spark, sf_dir, "events"), "30 minutes", "user_id")
     return w.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("""WITH f AS (SELECT doc_id, ['a/b.TS','C:\\x\\y.py','/p/wiki/é.yml','raw/.hidden','noext','//srv/s.Weird'][doc_id % 6 + 1] AS path FROM documents)
+SELECT doc_id, ['typescript','python','yaml','hidden','noext','weird'][doc_id % 6 + 1] AS language, ['p/a/b.TS','p/C:/x/y.py','p/p/wiki/é.yml','p/raw/.hidden','p/noext','p/srv/s.Weird'][doc_id % 6 + 1] AS joined,
+ ['a/b.TS','C:/x/y.py','wiki/é.yml','raw/.hidden','noext','//srv/s.Weird'][doc_id % 6 + 1] AS relative, (doc_id % 6 IN (1, 2, 5)) AS absolute, ['b','y','é','.hidden','noext','s'][doc_id % 6 + 1] AS stem FROM f""")
+def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages, joins and relatives of paths of several systems."""
+    paths = F.array(*map(F.lit, ("a/b.TS", "C:\\x\\y.py", "/p/wiki/é.yml", "raw/.hidden", "noext", "//srv/s.Weird")))
+    p = F.element_at(paths, (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", files.code_language(p).alias("language"), text.join_path(F.lit("p"), p).alias("joined"), text.relative_path(p, F.lit("/p/")).alias("relative"), text.is_absolute_path(p).alias("absolute"), text.stem(p).alias("stem")
+    )

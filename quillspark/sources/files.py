@@ -37,6 +37,19 @@ def category(path: Column) -> Column:
     return F.coalesce(known[F.lower(F.substring_index(path, ".", -1))], F.lit("unknown"))
 
 
+# Languages of extensions; others go by the extension itself.
+LANGUAGES = (
+    "js javascript jsx javascript ts typescript tsx typescript py python rs rust go go java java rb ruby php php swift swift "
+    "sql sql html html htm html css css json json yaml yaml yml yaml xml xml sh bash bash bash toml toml"
+)
+
+
+def code_language(path: Column) -> Column:
+    """The language in which a file's text is shown."""
+    end = F.lower(F.substring_index(path, ".", -1))
+    return F.coalesce(F.create_map(*map(F.lit, LANGUAGES.split()))[end], end)
+
+
 def is_text(category: Column) -> Column:
     return category.isin("markdown", "text", "code", "data")
 
