@@ -65,10 +65,32 @@ def op13_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordup.linked(table(tuned(spark), sf_dir, "embeddings"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 counts before its method judges."""
+    return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that op4 compares with the documents' own."""
+    return op4_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of each url, and the verdict of those that have a rule."""
+    judged = op6_url_filter(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("by_rule"))
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of op10's base kinds."""
+    return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_html_extraction, op3_quality_rules, op4_fingerprints, op5_toxicity,
     op6_url_filter, op7_quality_classifier, op8_source_mixing, op9_near_duplicates, op10_secret_scan,
     op11_lexical_search, op12_ball_kmeans, op13_vector_duplicates,
+    quality_base, edited_texts, url_rules, secret_base_counts,
 )}
 
 
@@ -126,5 +148,29 @@ c AS (SELECT a AS vec_id, a AS o FROM (SELECT DISTINCT a FROM l) UNION SELECT c.
 m AS (SELECT vec_id, min(o) AS least FROM c GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, vec_id = coalesce(least, vec_id) AS kept
 FROM embeddings LEFT JOIN m USING (vec_id) LEFT JOIN n USING (vec_id)
+""",
+    "quality_base": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d), k AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM r, range(5) t(k) GROUP BY 1)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(k.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, (len(w) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(w)) AS base_failed FROM w LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+""",
+    "edited_texts": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS next FROM documents)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 4) || substr(next, 1, length(t) // 4)) AS edited_sha256 FROM d
+""",
+    "url_rules": """
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(h, p, says) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+f AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(says, length(h || p)) AS by_rule FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
+SELECT page_id, host, path, rule, by_rule FROM u LEFT JOIN f USING (page_id)
+""",
+    "secret_base_counts": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 12))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18))::BIGINT AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16))::BIGINT AS n_hex FROM d
 """,
 }
