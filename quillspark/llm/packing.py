@@ -41,8 +41,8 @@ PASSES = 12
 IN_TWOS = 6
 #: Lengths tried in place of what a bin gives, the longest first, and bins tried of a length.
 LENGTHS, OF_LENGTH = 4, 4
-#: Words whose ids a Python worker remembers.
-CACHE = 700_000
+#: Words whose ids a Python worker remembers, and the longest of them.
+CACHE, KEPT = 700_000, 64
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE = re.compile(r"\s\s|\s\Z")
@@ -89,9 +89,10 @@ class Ids:
                 out.append(struct.pack(f"<{len(ids)}I", *ids) + end)
                 continue
             head, *rest = text.split(" ") if not _DOUBLE.search(text) else _GAP.split(text)
+            own = {}  # long parts, as of texts without spaces, aren't kept
             for part in [p for p in {*rest} if p not in known]:
-                known[part] = self.packed(" " + part)
-            out.append(self.packed(head) + b"".join([known[p] for p in rest]) + end)
+                (known if len(part) <= KEPT else own)[part] = self.packed(" " + part)
+            out.append(self.packed(head) + b"".join([known[p] if p in known else own[p] for p in rest]) + end)
         return out
 
 
