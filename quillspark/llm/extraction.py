@@ -69,7 +69,7 @@ _MARKS = frozenset(
 _COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 _WEAK = frozenset("header head side search form foot bar".split())
 _STRONG = frozenset("article post entry content main body story text title".split())
-_LAYOUT = frozenset("with without has have no and layout page wrapper wrap container grid row columns enabled disabled count closed open".split())
+_LAYOUT = frozenset("with without has have no open closed enabled disabled".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"

@@ -42,9 +42,13 @@ LAYOUTS = {
     "sidebar longer than the article": (page(f"<div><h1>A headline</h1><p>{EN}</p></div>", after=f'<div class="sidebar">{f"<p>{AD}</p>" * 20}</div>'), f"A headline\n{EN}"),
     "newsletter in the article": (page(f'<article><h1>A headline</h1><p>{EN}</p><div class="newsletter-signup"><p>{AD}</p></div><p>Short one.</p><p>{EN2}</p></article>'), WANT),
     "hidden parts": (page(f'<article>{TEXT}<div hidden><p>{AD}</p></div><div style="display: none"><p>{AD}</p></div></article>'), WANT),
+    "parts named as containers": (page(f'<div class="main-wrapper"><article>{TEXT}</article><div class="sidebar-wrapper"><p>{AD}</p></div><div class="ad-container"><p>{AD}</p></div><div class="comments-container"><p>{AD}</p></div></div>'), WANT),
+    "parts named as containers, without an article": (page(f'<div class="page-wrap">{TEXT}<div class="related-grid"><p>{AD}</p></div><div class="cookie-container"><p>{AD}</p></div></div>'), WANT),
     # wrappers with the names of parts
     "content with-sidebar": (page(f'<div class="content with-sidebar">{TEXT}</div>'), WANT),
     "layout of two columns": (page(f'<div class="layout sidebar-right"><div class="col">{TEXT}</div><div class="sidebar"><p>{AD}</p></div></div>'), WANT),
+    "article with a state": (page(f'<article class="post comments-open menu-closed">{TEXT}</article>'), WANT),
+    "layout by sidebar": (page(f'<div class="sidebar-layout"><div class="column">{TEXT}</div><div class="sidebar"><p>{AD}</p></div></div>'), WANT),
     "page has-banner": (page(f'<div id="page" class="has-banner"><div class="banner"><p>{AD}</p></div><main>{TEXT}</main></div>'), WANT),
     "widget round an article": (page(f'<div class="widget widget-article"><article>{TEXT}</article></div>'), WANT),
     "social wrapper": (page(f'<div class="social"><div class="inner">{TEXT}</div></div>'), WANT),
