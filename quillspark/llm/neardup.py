@@ -10,8 +10,10 @@ Candidates: each text is compared with the first one of every group that agrees
 the number of pairs grows with the number of texts, however large a group. What isn't in the
 first one's class by then is compared with all others of its groups of up to LEADERS + 1 texts, and
 with LEADERS, picked by hash, of the smallest of its larger groups. Texts that have larger groups
-are dealt again by more sketches together (DEPTHS), and at last by rounds of ever more leaders
-until all that agree on all sketches have met.
+are dealt again by more sketches together (DEPTHS). At last all pairs of a larger group that are in
+different classes by then are decided: blocks of them are compared by how many words they can have in
+common, and what is left is verified, the likeliest pairs of two classes first, until none is left. So any two
+texts that agree on a sketch are compared or in one class, however large their groups.
 
 Verification: the longest common subsequence of the words is found within the band of
 diagonals that a similarity of 0.8 allows; similarity is its length by the longer text's
@@ -48,6 +50,9 @@ SKETCHES = 32
 DEPTHS = (1, 8, 32)
 #: Further leaders of a group at a time.
 LEADERS = 8
+#: Rows of either side that are compared at a time, and classes of words by which they are.
+SIDE, BAG = 2048, 256
+MOST_OF_BAG = 65_535
 PICKED = 2
 SIMILAR = 0.8
 #: Characters whose words are hashed at a time.
@@ -374,6 +379,67 @@ def named(rows: DataFrame, labels: DataFrame, node: str, label: str) -> DataFram
     return rows.join(own, node, "left").withColumn(label, F.coalesce(label, node))
 
 
+def bags(texts: DataFrame) -> DataFrame:
+    """node, n and how many words of its text fall to each of BAG hashed classes, as 16-bit numbers."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bag", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.bincount((mixed(w) % np.uint64(BAG)).astype("int64"), minlength=BAG) for w in words_of(batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.minimum(c, MOST_OF_BAG).astype("<u2").tobytes() for c in counts], pa.binary())], schema=schema)
+
+    return texts.select("node", "n", "text").mapInArrow(run, "node bigint, n bigint, bag binary")
+
+
+def likely_pairs(group: pa.Table) -> pa.Table:
+    """node, leader and common, what words they have in common at most, of the rows apart with all of other classes, where that is enough.
+
+    A common subsequence can't have more words than the classes of words have in common.
+    """
+    node, n, x, apart, asks = (group.column(c).to_numpy() for c in ("node", "n", "x", "apart", "asks"))
+    bag = np.frombuffer(b"".join(group.column("bag").to_pylist()), "<u2").reshape(len(node), BAG)
+    there = np.flatnonzero(~asks)
+    there = there[np.argsort(n[there], kind="stable")]
+    size, own, label, also, bags_there = n[there], node[there], x[there], apart[there], np.ascontiguousarray(bag[there])
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in np.flatnonzero(asks).tolist():
+        low, high = np.searchsorted(size, SIMILAR * n[i] - 1e-6), np.searchsorted(size, n[i] / SIMILAR + 1e-6, "right")
+        near = np.arange(low, high)
+        near = near[(label[near] != x[i]) & (~also[near] | (own[near] > node[i]))]
+        if not len(near):
+            continue
+        common = np.minimum(bags_there[near], bag[i]).sum(1, dtype="int64")
+        longer = np.maximum(size[near], n[i])
+        fits = (common >= SIMILAR * longer - 1e-6) | (longer > MOST_OF_BAG)
+        near, common = near[fits], common[fits]
+        out.append((np.maximum(own[near], node[i]), np.minimum(own[near], node[i]), common))
+    columns = [np.concatenate([np.zeros(0, "int64"), *(o[k] for o in out)]) for k in range(3)]
+    return pa.table(columns, names=["node", "leader", "common"])
+
+
+def unmet(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """node, leader and common for all pairs of one group and of different classes that may be similar, or None if no group has two classes.
+
+    Of two such rows at least one isn't in the class of the group's first: those ask all. Both sides are dealt into
+    blocks, SIDE rows each, so that no task gets a whole large group.
+    """
+    placed = named(named(members, labels, "node", "x"), labels, "leader", "y").select("key", "node", "size", "x", (F.col("x") != F.col("y")).alias("apart"))
+    placed = stashed(placed)
+    groups = stashed(placed.where("apart").groupBy("key").agg(F.count(F.lit(1)).alias("n_apart")))
+    if groups.isEmpty():
+        return None
+    placed = stashed(placed.join(groups, "key"))
+    own = stashed(bags(texts.join(stashed(placed.select("node").distinct()), "node", "left_semi")))
+    sides = F.ceil(F.col("n_apart") / SIDE).cast("int"), F.ceil(F.col("size") / SIDE).cast("int")
+    dealt_to = [F.pmod(F.xxhash64("node", F.lit(k)), n).cast("int") for k, n in enumerate(sides)]
+    every = [F.explode(F.sequence(F.lit(0), n - 1)) for n in sides]
+    asking = placed.where("apart").select("key", "node", "x", "apart", F.lit(True).alias("asks"), dealt_to[0].alias("a"), every[1].alias("b"))
+    asked = placed.select("key", "node", "x", "apart", F.lit(False).alias("asks"), every[0].alias("a"), dealt_to[1].alias("b"))
+    wide = asking.unionByName(asked).join(own, "node")
+    found = wide.groupBy("key", "a", "b").applyInArrow(likely_pairs, "node bigint, leader bigint, common bigint")
+    return stashed(found.groupBy("node", "leader").agg(F.max("common").alias("common")))
+
+
 def links(signed: DataFrame, reps: DataFrame) -> DataFrame:
     """node and the least node of its class, for the nodes in reps, which stand for different texts; a node alone isn't there."""
     texts = signed.where("n > 0").select(F.col("row").alias("node"), "n", F.col("doc.text").cast("string").alias("text"))
@@ -395,33 +461,41 @@ def links(signed: DataFrame, reps: DataFrame) -> DataFrame:
         elif not similar.isEmpty():
             labels = components(labels.unionByName(similar))
 
-    level, most = 0, LEADERS
-    while True:
-        members = dealt(own, DEPTHS[level])
+    first = members = dealt(own, DEPTHS[0])
+    # only these texts travel, whatever they are compared with
+    texts = stashed(texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi"))
+    for level, depth in enumerate(DEPTHS):
+        if level:
+            members = dealt(own, depth)
         if labels is not None and members.isEmpty():
-            return labels
-        if level == 0:  # only these texts travel, whatever they are compared with
-            texts = stashed(texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi"))
+            break
         compared(members.select("node", "leader"))
         # those that aren't in the first leader's class, in groups that have others too
         apart = named(members.where((F.col("node") != F.col("leader")) & (F.col("size") > 2)), labels, "node", "x")
         apart = stashed(named(apart, labels, "leader", "y").where("x <> y").select("key", "node", "size"))
         if apart.isEmpty():
-            return labels
-        large = F.col("size") > most + 1
+            break
+        large = F.col("size") > LEADERS + 1
         smallest = stashed(apart.where(large).groupBy("node").agg(F.min(F.struct("size", "key")).alias("g")).select("node", "g.key", "g.size"))
         chosen = apart.where(~large).select("node", "key").unionByName(smallest.select("node", "key"))
         by_hash = W.partitionBy("key").orderBy(F.xxhash64("node", F.lit(level)), "node")
-        further = members.where("node <> leader").select("key", F.col("node").alias("leader"), F.row_number().over(by_hash).alias("nth")).where(F.col("nth") <= most)
+        further = members.where("node <> leader").select("key", F.col("node").alias("leader"), F.row_number().over(by_hash).alias("nth")).where(F.col("nth") <= LEADERS)
         compared(chosen.join(stashed(further.select("key", "leader")), "key").select("node", "leader"))
         # those that haven't met all of their group
         own = stashed(own.join(smallest.select("node"), "node", "left_semi"))
         if own.isEmpty():
-            return labels
-        if level + 1 < len(DEPTHS):
-            level += 1
-        else:
-            most *= 8
+            break
+    # whoever shares a larger group and is still in another class: all of them, the likeliest pairs of two classes first
+    left, most = unmet(first.where(F.col("size") > LEADERS + 1), labels, texts), LEADERS
+    while left is not None:
+        now = named(named(left, labels, "node", "x"), labels, "leader", "y").where("x <> y").join(tested, ["node", "leader"], "left_anti")
+        left = stashed(now.select("node", "leader", "common", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+        if left.isEmpty():
+            break
+        likely = W.partitionBy("x", "y").orderBy(F.desc("common"), "node", "leader")
+        compared(left.withColumn("nth", F.row_number().over(likely)).where(F.col("nth") <= most).select("node", "leader"))
+        left, most = left.drop("x", "y"), most * 8
+    return labels
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -195,3 +195,51 @@ def test_scripts_without_spaces():
     """Characters of Chinese, Japanese or Thai are words."""
     h = neardup.word_hashes("清晨，她来到。abc海 边 x ไม้")
     assert len(h) == 12  # the characters of Chinese and Thai, abc and x
+
+
+@pytest.mark.parametrize("side", [2048, 24])
+def test_all_that_agree_on_a_sketch_are_compared_in_large_groups_too(spark, side, monkeypatch):
+    """Pairs near 0.8 among texts of one template, whose groups are all large."""
+    monkeypatch.setattr(neardup, "SIDE", side, raising=False)
+    r = random.Random(11)
+    shared, rows = words(r, 130), []
+    for _ in range(100):
+        own = shared + words(r, 70)
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(edited(r, own, 0.17)))]
+    texts = [neardup.word_hashes(t) for _, t in rows]
+    picks = neardup.sketches(texts)
+    want = {i: i for i, _ in rows}
+    for i in range(len(rows)):
+        for j in range(i):
+            if (picks[i] == picks[j]).any() and want[i] != want[j] and neardup.similarity(texts[i], texts[j]) >= neardup.SIMILAR:
+                a, b = want[i], want[j]
+                want = {k: min(a, b) if v in (a, b) else v for k, v in want.items()}
+    assert len(set(want.values())) < 150
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {x.doc_id: x.class_id for x in neardup.classes(docs).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_leave_out_only_what_cannot_be_similar(seed):
+    import pyarrow as pa
+
+    r = np.random.default_rng(seed)
+    base, texts = r.integers(1, 400, 90), []
+    for k in range(60):
+        t = base.copy()
+        at = r.choice(90, int(r.integers(0, 40)), replace=False)
+        t[at] = r.integers(1, 400, len(at))
+        texts.append(neardup.mixed(t[: int(r.integers(60, 91))].astype("uint64")))
+    label, apart = r.integers(0, 8, 60), np.zeros(60, bool)
+    apart[:25] = True
+    label[25:] = 99  # the first one's class
+    bag = [np.bincount((neardup.mixed(t) % np.uint64(neardup.BAG)).astype("int64"), minlength=neardup.BAG).astype("<u2").tobytes() for t in texts]
+    both = [(i, len(texts[i]), int(label[i]), bool(apart[i]), asks, bag[i]) for asks in (True, False) for i in range(60) if apart[i] or not asks]
+    group = pa.table(dict(zip(("node", "n", "x", "apart", "asks", "bag"), (list(c) for c in zip(*both)))))
+    got = neardup.likely_pairs(group).to_pylist()
+    found = {(p["node"], p["leader"]) for p in got}
+    assert len(found) == len(got) and all(label[a] != label[b] for a, b in found)
+    for i in range(60):
+        for j in range(i):
+            if label[i] != label[j] and neardup.similarity(texts[i], texts[j]) >= neardup.SIMILAR:
+                assert (i, j) in found
