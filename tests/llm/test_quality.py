@@ -175,3 +175,27 @@ def test_edges(spark):
     assert {r.score for r in ranking.scored(docs, none).collect()} == {0.5}
     empty = docs.where("false")
     assert rules.judged(empty, labels).count() == 0 and ranking.scored(empty, labels).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_all_pairs_are_learned_from_without_being_made(seed):
+    """Sums by scores against the plain form over every pair."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(90, 4))
+    label = (x @ [1.0, -2.0, 0.5, 0.0] + r.normal(size=90) > 0.5).astype(int)
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    got = ranking.all_pairs(ranking.in_blocks(x, label), lambda rows: rows, 4, (len(bad), len(good)))
+    assert got == pytest.approx(ranking.bradley_terry(x, *ranking.pairs_of(good, bad)), abs=1e-4)
+
+
+def test_every_labelled_text_is_learned_from(spark):
+    """More labels of 0 than the 4,000 that were learned from before: a word of few of them is known."""
+    n = 6000
+    docs = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 6 = 1 THEN 'good plain text here' ELSE concat('evil ', 'w', id % 7, ' text') END AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 6 = 1 AS int) AS quality")
+    rows = ranking.appended(docs, "text", lambda: lambda texts: {"row": [ranking.packed(t) for t in texts]}, [ranking.T.StructField("row", ranking.T.BinaryType())], without=("text",))
+    seen = ranking.in_tasks(rows.join(labels, "doc_id").select("row", "quality"))(lambda own, label: np.asarray([len(own), label.sum()], float))
+    assert seen.tolist() == [n, n / 6]
+    ranker = ranking.trained(rows, labels, ranking.F.lit(True))
+    want = [r.text.startswith("good") for r in docs.collect()]
+    assert (ranker.score(np.vstack([ranking.described(r.text) for r in docs.collect()])) >= ranking.THRESHOLD).tolist() == want
