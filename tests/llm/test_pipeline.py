@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -99,3 +101,22 @@ def test_stages_chained_without_writing(spark):
     assert corpus_pipeline.STAGES[4][1](spark, read, SF).where("piece = 0").count() == read.count() > 0 and other.count() > 0
     first, second = corpus_pipeline.run(spark, SF), corpus_pipeline.run(spark, SF)
     assert first.count() == second.count() > 0
+
+
+def test_near_duplicates_go_in_large_groups_too(spark):
+    """Pairs near 0.8 among texts of one template, as many classes as there are by all pairs that agree on a sketch."""
+    r = random.Random(11)
+    shared, rows = ["w%d" % r.randrange(5000) for _ in range(130)], []
+    for _ in range(100):
+        own = shared + ["w%d" % r.randrange(5000) for _ in range(70)]
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(w if r.random() > 0.17 else "x%d" % r.randrange(10**6) for w in own))]
+    texts = [neardup.word_hashes(t) for _, t in rows]
+    picks = neardup.sketches(texts)
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and (picks[i] == picks[j]).any() and neardup.similarity(texts[i], texts[j]) >= neardup.SIMILAR:
+                a, b = sorted((label[i], label[j]))
+                label = [a if v == b else v for v in label]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(x.doc_id for x in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()) == sorted(set(label))
