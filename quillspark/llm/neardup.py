@@ -8,12 +8,11 @@ agree on that sketch. Equal texts form a class first, by hash, and only one row
 
 Candidates: each text is compared with the first one of every group that agrees on a sketch, so
 the number of pairs grows with the number of texts, however large a group. What isn't in the
-first one's class by then is compared with all others of its groups of up to LEADERS + 1 texts, and
-with LEADERS, picked by hash, of the smallest of its larger groups. Texts that have larger groups
-are dealt again by more sketches together (DEPTHS). At last all pairs of a larger group that are in
-different classes by then are decided: blocks of them are compared by how many words they can have in
-common, and what is left is verified, the likeliest pairs of two classes first, until none is left. So any two
-texts that agree on a sketch are compared or in one class, however large their groups.
+first one's class by then is compared with all others of its groups: as pairs in groups of up to LEADERS + 1
+texts, and in blocks of rows in larger ones. A block is one task's: it leaves out pairs whose words can't have
+enough in common, verifies the others, the likeliest first, skips those whose classes have been joined, and returns
+the links that join classes, fewer than it has rows. So any two texts that agree on a sketch are compared or in one
+class, however large their groups, and no table has a row for each pair of a large group.
 
 Verification: the longest common subsequence of the words is found within the band of
 diagonals that a similarity of 0.8 allows; similarity is its length by the longer text's
@@ -39,19 +38,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from quillspark.llm.common import stashed
 from quillspark.sources.shared import passing
 
 WORDS = 3
 SKETCHES = 32
-#: Sketches that texts must agree on, one level after the other.
-DEPTHS = (1, 8, 32)
-#: Further leaders of a group at a time.
+#: Others of a group that a text is paired with; larger groups are compared in blocks.
 LEADERS = 8
-#: Rows of either side that are compared at a time, and classes of words by which they are.
-SIDE, BAG = 2048, 256
+#: Rows and words of either side of a block, about; rows of one side that are compared at a time; classes of words by which they are.
+SIDE, SIDE_WORDS, ASKING, BAG = 1024, 1 << 21, 64, 256
 MOST_OF_BAG = 65_535
 PICKED = 2
 SIMILAR = 0.8
@@ -362,13 +358,9 @@ def verified(pairs: DataFrame, texts: DataFrame, most: bool) -> DataFrame:
     return stashed(wide.mapInArrow(run, "node bigint, leader bigint, similar boolean"))
 
 
-def dealt(own: DataFrame, depth: int) -> DataFrame:
-    """key, node, leader (the first one) and size of each group that agrees on depth sketches."""
-    if depth == 1:
-        keyed = own.select("node", F.explode("sketches").alias("key"))
-    else:
-        bands = [F.xxhash64(F.lit(at), F.slice("sketches", at + 1, depth)) for at in range(0, SKETCHES, depth)]
-        keyed = own.select("node", F.explode(F.array(*bands)).alias("key"))
+def dealt(own: DataFrame) -> DataFrame:
+    """key, node, n, leader (the first one) and size of each group that agrees on a sketch."""
+    keyed = own.select("node", "n", F.explode("sketches").alias("key"))
     groups = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("leader < last")
     return stashed(keyed.join(stashed(groups.select("key", "leader", "size")).hint("merge"), "key"))
 
@@ -379,16 +371,20 @@ def named(rows: DataFrame, labels: DataFrame, node: str, label: str) -> DataFram
     return rows.join(own, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def bags(texts: DataFrame) -> DataFrame:
-    """node, n and how many words of its text fall to each of BAG hashed classes, as 16-bit numbers."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bag", pa.binary())])
+def worded(texts: DataFrame) -> DataFrame:
+    """node and the hashes of its text's words, 8 bytes each."""
+    schema = pa.schema([("node", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [np.bincount((mixed(w) % np.uint64(BAG)).astype("int64"), minlength=BAG) for w in words_of(batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.minimum(c, MOST_OF_BAG).astype("<u2").tobytes() for c in counts], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w in words_of(batch.column(1).to_pylist())], pa.binary())], schema=schema)
 
-    return texts.select("node", "n", "text").mapInArrow(run, "node bigint, n bigint, bag binary")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, words binary")
+
+
+def bag_of(words: np.ndarray) -> bytes:
+    """How many of the words fall to each of BAG hashed classes, as 16-bit numbers."""
+    return np.minimum(np.bincount((mixed(words) % np.uint64(BAG)).astype("int64"), minlength=BAG), MOST_OF_BAG).astype("<u2").tobytes()
 
 
 def likely_pairs(group: pa.Table) -> pa.Table:
@@ -417,85 +413,85 @@ def likely_pairs(group: pa.Table) -> pa.Table:
     return pa.table(columns, names=["node", "leader", "common"])
 
 
-def unmet(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """node, leader and common for all pairs of one group and of different classes that may be similar, or None if no group has two classes.
+def decided(block: pa.Table) -> pa.Table:
+    """node and leader of links that join the classes (x) of a block's rows, as far as pairs of an asking and an asked row are similar.
 
-    Of two such rows at least one isn't in the class of the group's first: those ask all. Both sides are dealt into
-    blocks, SIDE rows each, so that no task gets a whole large group.
+    Pairs of rows that have several groups in common are left to the one with the least key. What has been
+    joined by a link isn't verified again, so there are fewer links than rows.
+    """
+    node, x, asks, asked = (block.column(c).to_numpy() for c in ("node", "x", "asks", "asked"))
+    key, keys = block.column("key")[0].as_py(), [set(k) for k in block.column("keys").to_pylist()]
+    words = [np.frombuffer(w, "uint64") for w in block.column("words").to_pylist()]
+    at = {own: i for i, own in enumerate(node.tolist())}
+    rows = pa.table([block.column("node"), pa.array([len(w) for w in words], pa.int64()), block.column("apart"), pa.array([bag_of(w) for w in words], pa.binary())], names=["node", "n", "apart", "bag"])
+    joined: dict[int, int] = {}  # classes that are part of others by now
+
+    def label(own: int) -> int:
+        while own in joined:
+            own = joined[own]
+        return own
+
+    out: list[tuple[int, int]] = []
+    asking, there = np.flatnonzero(asks), np.flatnonzero(asked)
+    for low in range(0, len(asking), ASKING):
+        both = np.r_[asking[low : low + ASKING], there]
+        now = np.asarray([label(c) for c in x[both].tolist()], "int64")
+        group = rows.take(pa.array(both)).append_column("x", pa.array(now)).append_column("asks", pa.array(np.arange(len(both)) < len(both) - len(there)))
+        likely = likely_pairs(group)
+        order = np.argsort(-likely.column("common").to_numpy(), kind="stable")
+        for a, b in zip(likely.column("node").to_numpy()[order].tolist(), likely.column("leader").to_numpy()[order].tolist()):
+            i, j = at[a], at[b]
+            one, other = label(int(x[i])), label(int(x[j]))
+            if one == other or min(keys[i] & keys[j]) != key or similarity(words[i], words[j]) < SIMILAR:
+                continue
+            joined[max(one, other)] = min(one, other)
+            out.append((a, b))
+    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["node", "leader"])
+
+
+def unmet(placed: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """node and leader of links that join what is similar and of different classes in a group, or None if no group has two classes.
+
+    placed has key, node, n, size, x (the class) and apart (not in the class of the group's first). Of two rows of different classes
+    at least one is apart: those ask all. Both sides are dealt into parts of about SIDE rows or SIDE_WORDS words, and a block
+    is one of either, so that no task gets a whole large group.
     """
-    placed = named(named(members, labels, "node", "x"), labels, "leader", "y").select("key", "node", "size", "x", (F.col("x") != F.col("y")).alias("apart"))
-    placed = stashed(placed)
-    groups = stashed(placed.where("apart").groupBy("key").agg(F.count(F.lit(1)).alias("n_apart")))
+    apart = F.col("apart")
+    sums = [F.count(F.lit(1)).alias("n_all"), F.sum("n").alias("words_all"), F.count(F.when(apart, 1)).alias("n_apart"), F.sum(F.when(apart, F.col("n"))).alias("words_apart")]
+    parts = [F.ceil(F.greatest(F.col(f"n_{k}") / SIDE, F.col(f"words_{k}") / SIDE_WORDS)).cast("int").alias(f"of_{k}") for k in ("apart", "all")]
+    groups = stashed(placed.groupBy("key").agg(*sums).where("n_apart > 0").select("key", *parts))
     if groups.isEmpty():
         return None
-    placed = stashed(placed.join(groups, "key"))
-    own = stashed(bags(texts.join(stashed(placed.select("node").distinct()), "node", "left_semi")))
-    sides = F.ceil(F.col("n_apart") / SIDE).cast("int"), F.ceil(F.col("size") / SIDE).cast("int")
-    dealt_to = [F.pmod(F.xxhash64("node", F.lit(k)), n).cast("int") for k, n in enumerate(sides)]
-    every = [F.explode(F.sequence(F.lit(0), n - 1)) for n in sides]
-    asking = placed.where("apart").select("key", "node", "x", "apart", F.lit(True).alias("asks"), dealt_to[0].alias("a"), every[1].alias("b"))
-    asked = placed.select("key", "node", "x", "apart", F.lit(False).alias("asks"), every[0].alias("a"), dealt_to[1].alias("b"))
-    wide = asking.unionByName(asked).join(own, "node")
-    found = wide.groupBy("key", "a", "b").applyInArrow(likely_pairs, "node bigint, leader bigint, common bigint")
-    return stashed(found.groupBy("node", "leader").agg(F.max("common").alias("common")))
+    # a row for each text, which meets its words once, with all of its groups, of which it has SKETCHES at most
+    homes = stashed(placed.join(groups, "key").groupBy("node", "x").agg(F.collect_list(F.struct("key", "apart", "of_apart", "of_all")).alias("homes")))
+    own = stashed(worded(texts.join(homes.select("node"), "node", "left_semi")))
+    a, b = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(c)).cast("int") for k, c in enumerate(("home.of_apart", "home.of_all")))
+    asked = F.transform(F.sequence(F.lit(0), F.col("home.of_apart") - 1), lambda k: F.struct(k.alias("a"), F.col("b").alias("b"), (F.col("home.apart") & (k == F.col("a"))).alias("asks"), F.lit(True).alias("asked")))
+    others = F.filter(F.sequence(F.lit(0), F.col("home.of_all") - 1), lambda k: F.col("home.apart") & (k != F.col("b")))
+    asking = F.transform(others, lambda k: F.struct(F.col("a").alias("a"), k.alias("b"), F.lit(True).alias("asks"), F.lit(False).alias("asked")))
+    dealt_to = homes.join(own, "node").select("node", "x", "words", F.col("homes.key").alias("keys"), F.explode("homes").alias("home")).withColumn("a", a).withColumn("b", b)
+    blocks = dealt_to.select("node", "x", "words", "keys", "home.key", "home.apart", F.explode(F.concat(asked, asking)).alias("block")).select("node", "x", "words", "keys", "key", "apart", "block.*")
+    return stashed(blocks.groupBy("key", "a", "b").applyInArrow(decided, "node bigint, leader bigint").distinct())
 
 
 def links(signed: DataFrame, reps: DataFrame) -> DataFrame:
     """node and the least node of its class, for the nodes in reps, which stand for different texts; a node alone isn't there."""
     texts = signed.where("n > 0").select(F.col("row").alias("node"), "n", F.col("doc.text").cast("string").alias("text"))
-    own = stashed(signed.where("n > 0").select(F.col("row").alias("node"), "sketches").join(reps.select("node").hint("merge"), "node", "left_semi"))
-    labels = tested = None
-
-    def compared(pairs: DataFrame) -> None:
-        """Tests what pairs (node, leader) add, and joins the classes of similar ones."""
-        nonlocal labels, tested
-        new = pairs.where("node <> leader").select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
-        if tested is not None:
-            new = new.join(tested, ["node", "leader"], "left_anti")
-            new = named(named(new, labels, "node", "x"), labels, "leader", "y").where("x <> y").select("node", "leader")
-        got = verified(new, texts, tested is None)
-        similar = got.where("similar").select("node", "leader")
-        tested = got.select("node", "leader") if tested is None else tested.unionByName(got.select("node", "leader"))
-        if labels is None:
-            labels = components(similar)
-        elif not similar.isEmpty():
-            labels = components(labels.unionByName(similar))
-
-    first = members = dealt(own, DEPTHS[0])
+    own = stashed(signed.where("n > 0").select(F.col("row").alias("node"), "n", "sketches").join(reps.select("node").hint("merge"), "node", "left_semi"))
+    members = dealt(own)
     # only these texts travel, whatever they are compared with
     texts = stashed(texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi"))
-    for level, depth in enumerate(DEPTHS):
-        if level:
-            members = dealt(own, depth)
-        if labels is not None and members.isEmpty():
-            break
-        compared(members.select("node", "leader"))
-        # those that aren't in the first leader's class, in groups that have others too
-        apart = named(members.where((F.col("node") != F.col("leader")) & (F.col("size") > 2)), labels, "node", "x")
-        apart = stashed(named(apart, labels, "leader", "y").where("x <> y").select("key", "node", "size"))
-        if apart.isEmpty():
-            break
-        large = F.col("size") > LEADERS + 1
-        smallest = stashed(apart.where(large).groupBy("node").agg(F.min(F.struct("size", "key")).alias("g")).select("node", "g.key", "g.size"))
-        chosen = apart.where(~large).select("node", "key").unionByName(smallest.select("node", "key"))
-        by_hash = W.partitionBy("key").orderBy(F.xxhash64("node", F.lit(level)), "node")
-        further = members.where("node <> leader").select("key", F.col("node").alias("leader"), F.row_number().over(by_hash).alias("nth")).where(F.col("nth") <= LEADERS)
-        compared(chosen.join(stashed(further.select("key", "leader")), "key").select("node", "leader"))
-        # those that haven't met all of their group
-        own = stashed(own.join(smallest.select("node"), "node", "left_semi"))
-        if own.isEmpty():
-            break
-    # whoever shares a larger group and is still in another class: all of them, the likeliest pairs of two classes first
-    left, most = unmet(first.where(F.col("size") > LEADERS + 1), labels, texts), LEADERS
-    while left is not None:
-        now = named(named(left, labels, "node", "x"), labels, "leader", "y").where("x <> y").join(tested, ["node", "leader"], "left_anti")
-        left = stashed(now.select("node", "leader", "common", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
-        if left.isEmpty():
-            break
-        likely = W.partitionBy("x", "y").orderBy(F.desc("common"), "node", "leader")
-        compared(left.withColumn("nth", F.row_number().over(likely)).where(F.col("nth") <= most).select("node", "leader"))
-        left, most = left.drop("x", "y"), most * 8
-    return labels
+    tested = verified(members.where("node <> leader").select("node", "leader").distinct(), texts, True)
+    labels = components(tested.where("similar").select("node", "leader"))
+    # those that aren't in the first one's class, in groups that have others too
+    placed = stashed(named(named(members.where("size > 2"), labels, "node", "x"), labels, "leader", "y").select("key", "node", "n", "size", "x", (F.col("x") != F.col("y")).alias("apart")))
+    small = F.col("size") <= LEADERS + 1
+    others = placed.where(small).select("key", F.col("node").alias("leader"), F.col("x").alias("y"))
+    pairs = placed.where(small & F.col("apart")).select("key", "node", "x").join(others, "key").where("x <> y").select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
+    found = verified(pairs.join(tested, ["node", "leader"], "left_anti"), texts, False).where("similar").select("node", "leader")
+    if (more := unmet(placed.where(~small), texts)) is not None:
+        found = found.unionByName(more)
+    return labels if found.isEmpty() else components(labels.unionByName(found))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -243,3 +243,53 @@ def test_blocks_leave_out_only_what_cannot_be_similar(seed):
         for j in range(i):
             if label[i] != label[j] and neardup.similarity(texts[i], texts[j]) >= neardup.SIMILAR:
                 assert (i, j) in found
+
+
+def test_no_table_has_a_row_for_each_pair_of_a_large_group(spark, monkeypatch):
+    """Orders of the same words behind one passage: all pairs share sketches and words, and only copies are similar."""
+    r = random.Random(12)
+    shared, own, rows = words(r, 40), ["w%d" % k for k in range(120)], []
+    for _ in range(300):
+        r.shuffle(own)
+        rows.append((len(rows), " ".join(shared + own)))
+    rows += [(300 + k, rows[7 * k][1] + " end") for k in range(20)]
+    sizes, stashed = [], neardup.stashed
+
+    def counted(df):
+        out = stashed(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stashed", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.class_id for x in neardup.classes(docs).collect()}
+    assert got == {i: i if i < 300 else 7 * (i - 300) for i in range(320)}
+    assert max(sizes) <= neardup.SKETCHES * len(rows)  # what each text agrees on
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_block_joins_what_all_of_its_pairs_join(seed):
+    import pyarrow as pa
+
+    r = np.random.default_rng(seed)
+    texts = []
+    for k in range(90):
+        t = texts[int(r.integers(0, k))].copy() if k and r.random() < 0.6 else r.integers(1, 60, 90).astype("uint64")
+        t[r.choice(90, int(r.integers(0, 25)), replace=False)] = r.integers(60, 400)
+        texts.append(t)
+    x, apart = np.arange(90), np.arange(90) < 70
+    x[70:] = 99  # the first one's class
+    keys = [sorted({5, *r.choice([3, 8], 1).tolist()}) for _ in range(90)]
+    block = pa.table({"node": list(range(90)), "x": x.tolist(), "apart": apart.tolist(), "asks": apart.tolist(), "asked": [True] * 90, "key": [5] * 90, "keys": keys, "words": [t.tobytes() for t in texts]})
+
+    def label(pairs):
+        own = x.tolist()
+        for a, b in pairs:
+            one, other = sorted((own[a], own[b]))
+            own = [one if c == other else c for c in own]
+        return own
+
+    got = [(p["node"], p["leader"]) for p in neardup.decided(block).to_pylist()]
+    assert all(neardup.similarity(texts[a], texts[b]) >= neardup.SIMILAR for a, b in got)
+    want = [(i, j) for i in range(90) for j in range(i) if not (3 in keys[i] and 3 in keys[j]) and neardup.similarity(texts[i], texts[j]) >= neardup.SIMILAR]
+    assert label(got) == label(want) and 0 < len(got) < 90 and len(set(label(want))) < len(set(x.tolist()))
