@@ -248,7 +248,7 @@ def test_blocks_leave_out_only_what_cannot_be_similar(seed):
 def test_no_table_has_a_row_for_each_pair_of_a_large_group(spark, monkeypatch):
     """Orders of the same words behind one passage: all pairs share sketches and words, and only copies are similar."""
     r = random.Random(12)
-    shared, own, rows = words(r, 40), ["w%d" % k for k in range(120)], []
+    shared, own, rows = words(r, 100), ["w%d" % k for k in range(60)], []
     for _ in range(300):
         r.shuffle(own)
         rows.append((len(rows), " ".join(shared + own)))

@@ -120,3 +120,24 @@ def test_near_duplicates_go_in_large_groups_too(spark):
                 label = [a if v == b else v for v in label]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert sorted(x.doc_id for x in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()) == sorted(set(label))
+
+
+def test_large_groups_make_no_table_of_their_pairs(spark, monkeypatch):
+    """Orders of the same words behind one passage: only copies go, and no table of the stage has a row for each pair."""
+    r = random.Random(13)
+    shared, own, rows = " ".join("s%d" % k for k in range(100)), ["w%d" % k for k in range(60)], []
+    for _ in range(300):
+        r.shuffle(own)
+        rows.append((len(rows), f"{shared} {' '.join(own)}"))
+    rows += [(300 + k, rows[7 * k][1] + " end") for k in range(20)]
+    sizes, stashed = [], neardup.stashed
+
+    def counted(df):
+        out = stashed(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stashed", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(x.doc_id for x in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()) == list(range(300))
+    assert max(sizes) <= neardup.SKETCHES * len(rows)
