@@ -4,7 +4,9 @@ Words are lower-cased and stripped of signs at their ends; each character of a s
 written without spaces is a word. A text's k-mers are runs of three
 words, each labelled with its occurrence number. Each of SKETCHES hash functions takes the
 PICKED least k-mers and keeps them in text order; two texts whose ordered picks are equal
-agree on that sketch. Equal texts form a class first, by hash, and only one row of each goes on.
+agree on that sketch. Texts of few words have few k-mers, so they also agree if they are equal
+once a word is left out of one or both, which of such texts all similar ones are.
+Equal texts form a class first, by hash, and only one row of each goes on.
 
 Candidates: each text is compared with the first one of every group that agrees on a sketch, so
 the number of pairs grows with the number of texts, however large a group. What isn't in the
@@ -51,6 +53,8 @@ SIDE, SIDE_WORDS, ASKING, BAG = 1024, 1 << 21, 64, 256
 MOST_OF_BAG = 65_535
 PICKED = 2
 SIMILAR = 0.8
+#: Words of the longest texts that are similar only with all but one of the longer one's words in common, and of the longest that must be equal.
+FEW, FEWEST = 9, 4
 #: Characters whose words are hashed at a time.
 PORTION = 1 << 18
 #: k-mers that are hashed at a time.
@@ -253,6 +257,23 @@ def sketches(texts: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def shortened(words: np.ndarray) -> np.ndarray:
+    """Of a text of few words a number for all of them, and one for those but each; similar texts have one in common, others none."""
+    n = len(words)
+    if not FEWEST <= n <= FEW:
+        return np.zeros(0, "uint64")
+    rows = [words[None, :]]
+    if n > FEWEST:
+        rows.append(words[np.asarray([[i for i in range(n) if i != k] for k in range(n)])])
+    out = []
+    for own in rows:
+        h = np.full(len(own), own.shape[1], "uint64")
+        for w in own.T:
+            h = mixed(h * _GOLD + w)
+        out.append(h)
+    return np.unique(np.concatenate(out))
+
+
 def common_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """The length of the longest common subsequence, or None if it takes over limit insertions and deletions.
 
@@ -309,7 +330,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc (the row), row (a number of its own), n (of words), sketches (empty for texts without words)."""
+    """doc (the row), row (a number of its own), n (of words), sketches (empty for texts without words; those of few words have more)."""
     schema = T.StructType([T.StructField("doc", docs.schema, False), T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketches", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +340,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             some = [i for i, w in enumerate(words) if len(w)]
             got: list[list[int]] = [[]] * len(words)
             for i, s in zip(some, sketches([words[i] for i in some])):
-                got[i] = s.view("int64").tolist()
+                got[i] = np.concatenate([s, shortened(words[i])]).view("int64").tolist()
             arrays = [batch.column(0), pa.array(range(row, row + len(words)), pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array(got, pa.list_(pa.int64()))]
             row += len(words)
             yield pa.RecordBatch.from_arrays(arrays, names=["doc", "row", "n", "sketches"])
@@ -462,7 +483,7 @@ def unmet(placed: DataFrame, texts: DataFrame) -> DataFrame | None:
     groups = stashed(placed.groupBy("key").agg(*sums).where("n_apart > 0").select("key", *parts))
     if groups.isEmpty():
         return None
-    # a row for each text, which meets its words once, with all of its groups, of which it has SKETCHES at most
+    # a row for each text, which meets its words once, with all of its groups, of which it has SKETCHES + FEW + 1 at most
     homes = stashed(placed.join(groups, "key").groupBy("node", "x").agg(F.collect_list(F.struct("key", "apart", "of_apart", "of_all")).alias("homes")))
     own = stashed(worded(texts.join(homes.select("node"), "node", "left_semi")))
     a, b = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(c)).cast("int") for k, c in enumerate(("home.of_apart", "home.of_all")))

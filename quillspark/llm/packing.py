@@ -4,7 +4,8 @@ Documents are tokenized where they are read, and only the pieces' lengths travel
 that fill a sequence stay alone. The others are dealt by a stored row number into shards of
 bounded size; each shard is packed best-fit decreasing, and then improved by local search:
 documents move, or are exchanged one for one or two for one, between underfull bins as long
-as the sum of squared fills grows, which empties bins. A shard's size is a parameter, so no
+as the sum of squared fills grows, which empties bins. Every document of every underfull bin, and every
+two of a bin, are looked at; the search ends when none of these steps is left. A shard's size is a parameter, so no
 task grows with the input; a shard wastes at most about a sequence more than one
 large packing would.
 
@@ -20,6 +21,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -34,13 +36,6 @@ SEQUENCE = 1024
 END = 2
 #: Pieces in a shard, on average.
 SHARD = 16384
-#: Passes of local search over a shard's underfull bins. This and the next three bound the time of a
-#: search and drop nothing; a piece that isn't moved stays where best fit has put it.
-PASSES = 12
-#: Items of a bin that are tried in twos.
-IN_TWOS = 6
-#: Lengths tried in place of what a bin gives, the longest first, and bins tried of a length.
-LENGTHS, OF_LENGTH = 4, 4
 #: Words whose ids a Python worker remembers, and the longest of them.
 CACHE, KEPT = 700_000, 64
 
@@ -134,7 +129,7 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 class Bins:
-    """Bins of one shard, with what local search needs to know about the underfull ones."""
+    """Bins of one shard, packed best-fit decreasing and by local search."""
 
     def __init__(self, lengths: list[int], size: int = SEQUENCE):
         self.size, self.lengths = size, lengths
@@ -163,98 +158,88 @@ class Bins:
                 free[room - n].append(b)
                 mask |= 1 << (room - n)
 
-    def improve(self, passes: int = PASSES) -> None:
-        """Local search; each step raises the sum of squared fills."""
-        for _ in range(passes):
-            if not self._pass():
-                break
-
-    def _pass(self) -> bool:
-        size, fill, items, lengths = self.size, self.fill, self.items, self.lengths
-        where: dict[int, set[tuple[int, int]]] = {}  # length -> (bin, item), of underfull bins
-        pairs: dict[int, set[tuple[int, int, int]]] = {}  # length of two -> (bin, item, item)
-        mask = pair_mask = 0
+    def improve(self) -> None:
+        """Local search until no step is left; each raises the sum of squared fills."""
+        for two_for_two in (False, True):  # the second kind has all steps of the first
+            while self._pass(two_for_two):
+                pass
+
+    def _parts(self, b: int) -> tuple[dict[int, tuple[int, ...]], dict[int, tuple[int, ...]]]:
+        """Of each length that one item of the bin has, and that two have together, such items."""
+        ones: dict[int, list[int]] = {}
+        for i in self.items[b]:
+            ones.setdefault(self.lengths[i], []).append(i)
+        own = sorted(ones)
+        twos = {m + n: (ones[m][0], ones[n][0]) for k, n in enumerate(own) for m in own[:k]}
+        twos |= {2 * n: (i[0], i[1]) for n, i in ones.items() if len(i) > 1}
+        return {n: (i[0],) for n, i in ones.items()}, twos
+
+    def _pass(self, two_for_two: bool) -> bool:
+        size, fill, items = self.size, self.fill, self.items
         under = [b for b in range(len(items)) if 0 < fill[b] < size]
+        found: dict[int, tuple[dict, dict]] = {}  # parts of the bins that may give
+        stamp = [0] * len(items)
+        # Of each length, the bins that have it in one item and in two, by fill; bins of an old stamp have changed.
+        heaps: tuple[list[list], list[list]] = ([[] for _ in range(size + 1)], [[] for _ in range(size + 1)])
+        # The least of these fills, less the length: how full a bin must be, less what it gives, to get it.
+        least = np.full((2, size + 1), np.inf)
 
         def put(b: int) -> None:
-            nonlocal mask, pair_mask
-            own = items[b]
-            for i in own:
-                where.setdefault(lengths[i], set()).add((b, i))
-                mask |= 1 << lengths[i]
-            for x in range(min(len(own), IN_TWOS)):
-                for y in range(x):
-                    n = lengths[own[x]] + lengths[own[y]]
-                    pairs.setdefault(n, set()).add((b, own[y], own[x]))
-                    pair_mask |= 1 << n
+            found[b] = self._parts(b)
+            for k, parts in enumerate(found[b]):
+                for n in parts:
+                    heappush(heaps[k][n], (fill[b], b, stamp[b]))
+                    least[k, n] = min(least[k, n], fill[b] - n)
 
         def take(b: int) -> None:
-            nonlocal mask, pair_mask
-            own = items[b]
-            for i in own:
-                s = where[lengths[i]]
-                s.discard((b, i))
-                if not s:
-                    mask &= ~(1 << lengths[i])
-            for x in range(min(len(own), IN_TWOS)):
-                for y in range(x):
-                    n = lengths[own[x]] + lengths[own[y]]
-                    s = pairs[n]
-                    s.discard((b, own[y], own[x]))
-                    if not s:
-                        pair_mask &= ~(1 << n)
-
-        def largest(of: dict, bits: int, low: int, high: int, b: int):
-            """What is longer than low, at most high, in a bin less full than b would be."""
-            bits &= (1 << (high + 1)) - 1
-            tries = 0
-            while bits and (n := bits.bit_length() - 1) > low and tries < LENGTHS:
-                for k, found in enumerate(of[n]):
-                    if found[0] != b and fill[b] + n - low > fill[found[0]]:
-                        return found, n
-                    if k + 1 >= OF_LENGTH:
-                        break
-                bits &= (1 << n) - 1
-                tries += 1
-            return None
+            stamp[b] += 1
+            for k, parts in enumerate(found.pop(b)):
+                for n in parts:
+                    heap = heaps[k][n]
+                    while heap and heap[0][2] != stamp[heap[0][1]]:
+                        heappop(heap)
+                    least[k, n] = heap[0][0] - n if heap else np.inf
 
         for b in under:
             put(b)
         better = False
         for b in sorted(under, key=lambda b: (-fill[b], b)):
+            if fill[b]:
+                take(b)
             while 0 < fill[b] < size:
-                room, best = size - fill[b], None
-                own = items[b]
-                gives = [((), 0), *(((i,), lengths[i]) for i in own)]
-                gives += [((own[y], own[x]), lengths[own[x]] + lengths[own[y]]) for x in range(min(len(own), IN_TWOS)) for y in range(x)]
-                for give, n in gives:
-                    got = largest(where, mask, n, min(n + room, size), b)
-                    if got and (best is None or got[1] - n > best[0]):
-                        best = (got[1] - n, give, got[0])
-                    if len(give) == 1 and (got := largest(pairs, pair_mask, n, min(n + room, size), b)) and (best is None or got[1] - n > best[0]):
-                        best = (got[1] - n, give, got[0])
-                if best is None:
+                room, best = size - fill[b], (0, None, 0, 0)
+                ones, twos = self._parts(b)
+                gives = [((), 0, (0, 1)), *((i, n, (0, 1)) for n, i in ones.items()), *((i, n, (0, 1) if two_for_two else (0,)) for n, i in twos.items())]
+                for give, n, kinds in gives:
+                    for k in kinds:
+                        # what is longer than n by more than the best so far, in a bin less full than b would be
+                        fits = np.flatnonzero(least[k, n + best[0] + 1 : n + room + 1] < fill[b] - n)
+                        if len(fits):
+                            gain = best[0] + 1 + int(fits[-1])
+                            best = (gain, give, k, n + gain)
+                gain, give, k, n = best
+                if give is None:
                     break
-                gain, give, (other, *taken) = best
-                take(b), take(other)
-                items[b] = [i for i in items[b] if i not in give] + taken
+                other = heaps[k][n][0][1]
+                taken = found[other][k][n]
+                take(other)
+                items[b] = [i for i in items[b] if i not in give] + list(taken)
                 items[other] = [i for i in items[other] if i not in taken] + list(give)
                 fill[b] += gain
                 fill[other] -= gain
                 better = True
-                put(b)
                 if fill[other]:
                     put(other)
-            if fill[b]:
-                take(b)  # a finished bin no longer gives
+            if 0 < fill[b] < size:
+                put(b)
         return better
 
 
-def pack(lengths: list[int], size: int = SEQUENCE, passes: int = PASSES) -> tuple[list[int], list[int]]:
+def pack(lengths: list[int], size: int = SEQUENCE) -> tuple[list[int], list[int]]:
     """The bin of each piece and its place there."""
     bins = Bins(lengths, size)
     bins.best_fit()
-    bins.improve(passes)
+    bins.improve()
     at, offset, k = [0] * len(lengths), [0] * len(lengths), 0
     for own in bins.items:
         place = 0

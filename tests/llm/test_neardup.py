@@ -293,3 +293,28 @@ def test_a_block_joins_what_all_of_its_pairs_join(seed):
     assert all(neardup.similarity(texts[a], texts[b]) >= neardup.SIMILAR for a, b in got)
     want = [(i, j) for i in range(90) for j in range(i) if not (3 in keys[i] and 3 in keys[j]) and neardup.similarity(texts[i], texts[j]) >= neardup.SIMILAR]
     assert label(got) == label(want) and 0 < len(got) < 90 and len(set(label(want))) < len(set(x.tolist()))
+
+
+def test_short_texts_with_one_word_changed_are_found(spark):
+    """Of texts of few words all pairs that are similar, though they have no two k-mers in common."""
+    r, rows = random.Random(21), []
+    for n in range(3, 10):
+        for k in range(40):
+            own, at = words(r, n), r.randrange(n)
+            other = [own[:at] + ["x"] + own[at + 1 :], own[:at] + own[at + 1 :], own[:at] + ["x"] + own[at:], own[:at] + ["x"] + own[at + 2 :]][k % 4]
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(other))]
+    rows += [(len(rows), "w w w w w"), (len(rows) + 1, "w w w w")]
+    want = brute(rows)
+    assert 100 < len(rows) - len(set(want.values())) < 250
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {x.doc_id: x.class_id for x in neardup.classes(docs).collect()} == want
+
+
+@pytest.mark.parametrize("n", range(3, 10))
+def test_short_texts_agree_just_if_similar(n):
+    r = random.Random(n)
+    texts = [np.asarray([r.randrange(1, 4) for _ in range(r.randint(n, min(9, n + 1)))], "uint64") for _ in range(150)]
+    for k, a in enumerate(texts):
+        for b in texts[:k]:
+            if min(len(a), len(b)) >= neardup.FEWEST:
+                assert bool(set(neardup.shortened(a).tolist()) & set(neardup.shortened(b).tolist())) == (neardup.similarity(a, b) >= neardup.SIMILAR)

@@ -124,3 +124,29 @@ def test_documents_round_trip(spark):
 
 def test_no_documents(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("seed, n, low, high", [(9, 80, 60, 300), (31, 100, 200, 500), (120, 40, 60, 200), (122, 60, 100, 300)])
+def test_search_looks_at_all_items_and_bins(seed, n, low, high):
+    r = random.Random(seed)
+    lengths = [r.randint(low, high) for _ in range(n)]
+    assert len(set(packing.pack(lengths)[0])) == -(-sum(lengths) // 1024)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_step_is_left_between_any_two_bins(seed):
+    from itertools import combinations
+
+    r = random.Random(200 + seed)
+    low, high = ((20, 150), (60, 300), (200, 500))[seed % 3]
+    bins = packing.Bins([r.randint(low, high) for _ in range(150)])
+    bins.best_fit()
+    bins.improve()
+    assert sorted(i for own in bins.items for i in own) == list(range(150))
+    assert bins.fill == [sum(bins.lengths[i] for i in own) for own in bins.items]
+    under = [b for b in range(len(bins.items)) if 0 < bins.fill[b] < 1024]
+    some = {b: {k: {sum(bins.lengths[i] for i in c) for c in combinations(bins.items[b], k)} for k in range(3)} for b in under}
+    for b in under:
+        for other in under:
+            steps = [t - g for g in set().union(*some[b].values()) for t in some[other][1] | some[other][2] if other != b]
+            assert not any(0 < s <= 1024 - bins.fill[b] and bins.fill[b] + s > bins.fill[other] for s in steps)

@@ -141,3 +141,23 @@ def test_large_groups_make_no_table_of_their_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert sorted(x.doc_id for x in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()) == list(range(300))
     assert max(sizes) <= neardup.SKETCHES * len(rows)
+
+
+def test_packing_leaves_out_no_bin_or_candidate(spark):
+    """As many sequences as the tokens need, where a search of some of the items and bins takes one more."""
+    r = random.Random(122)
+    lengths = [r.randint(100, 300) for _ in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(["a"] * (n - 1))) for k, n in enumerate(lengths)], "doc_id bigint, text string").repartition(3)
+    out = corpus_pipeline.packed(spark, docs, SF).collect()
+    assert {x.doc_id: x.length for x in out} == dict(enumerate(lengths))
+    assert len({x.sequence_id for x in out}) == -(-sum(lengths) // 1024) == 12
+
+
+def test_near_duplicates_of_few_words_go_too(spark):
+    """Texts of four words and the same with one more, and of five with one changed in the middle."""
+    rows = []
+    for k in range(20):
+        a, b, c, d, e, f = (f"{x}{k}" for x in "abcdef")
+        rows += [(4 * k, f"{a} {b} {c} {d}"), (4 * k + 1, f"{a} {b} {c} {d} {e}"), (4 * k + 2, f"{f} {e} {d} {c} {b}"), (4 * k + 3, f"{f} {e} {a} {c} {b}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(x.doc_id for x in corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()) == list(range(0, 80, 2))
