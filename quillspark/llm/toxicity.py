@@ -306,19 +306,42 @@ def _spread(codes, n: int) -> list[bytes]:
     return sorted(codes, key=lambda c: (zlib.crc32(c), c))[:n]
 
 
+def all_windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """windows_of, by portions: what it makes on the way takes some times as much memory as what it gives."""
+    kind = "int32" if sum(len(t or "") + 1 for t in texts) < 1 << 30 else "int64"
+    found: tuple[list[np.ndarray], ...] = ([], [], [], [])
+    n = 0
+    for a, b in _portions(texts):
+        codes, starts, ends, owner = windows_of(texts[a:b])
+        for part, x in zip(found, (codes, (starts + n).astype(kind), (ends + n).astype(kind), (owner + a).astype("int32"))):
+            part.append(x)
+        n += len(codes)
+    codes, starts, ends, owner = map(np.concatenate, found)
+    return codes, starts, ends, owner
+
+
 class _Sample:
     """The labelled texts' windows: all, and the different ones with the numbers of clean and toxic texts that have them."""
 
     def __init__(self, texts: list[str], label: np.ndarray):
-        self.codes, self.starts, self.ends, owner = windows_of(texts)
+        self.codes, self.starts, self.ends, owner = all_windows(texts)
         padded = np.r_[self.codes, np.zeros(LONGEST, "uint8")]
         hashes = np.zeros(len(self.starts), "uint64")
-        for k in range(LONGEST):
-            hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + np.where(self.starts + k < self.ends, padded[self.starts + k], 0).astype("uint64")
-        _, self.first, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
+        for low in range(0, len(hashes), BLOCK):
+            s, e = self.starts[low : low + BLOCK], self.ends[low : low + BLOCK]
+            for k in range(LONGEST):
+                hashes[low : low + BLOCK] = hashes[low : low + BLOCK] * np.uint64(0x9E3779B97F4A7C15) + np.where(s + k < e, padded[s + k], 0).astype("uint64")
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        del hashes
+        self.first, self.kind = order[new], np.empty(len(order), "int32")
+        self.kind[order] = np.cumsum(new, dtype="int32") - 1
+        del order, new
         n = len(self.first)
-        self.kind = self.kind.astype("int32")
-        both = np.unique(owner.astype("int64") * n + self.kind)
+        cut = np.unique(np.r_[np.searchsorted(owner, owner[::BLOCK]), len(owner)])  # between texts
+        both = np.concatenate([np.zeros(0, "int64"), *(np.unique(owner[a:b].astype("int64") * n + self.kind[a:b]) for a, b in zip(cut, cut[1:]))])
         of_text, window = both // max(n, 1), (both % max(n, 1)).astype("int32")
         toxic = label[of_text] == 1
         self.toxic, self.clean = (np.bincount(window[t], minlength=n) for t in (toxic, ~toxic))
@@ -329,7 +352,9 @@ class _Sample:
 
     def scores(self, model: Model) -> np.ndarray:
         out = np.zeros(len(self.first))
-        out[self.kind] = linear(self.codes, self.starts, self.ends, model.weights) + model.offset
+        for low in range(0, len(self.starts), BLOCK):
+            own = slice(low, low + BLOCK)
+            out[self.kind[own]] = linear(self.codes, self.starts[own], self.ends[own], model.weights) + model.offset
         return out
 
     def witnesses(self, scores: np.ndarray) -> Counter:

@@ -179,3 +179,38 @@ def test_sample_is_bounded_and_leaves_the_fold_out(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     sample = training_sample(docs, labels, "toxic", ~held_out("doc_id", 5, 0), {0: 50, 1: 20}).collect()
     assert sum(r.label for r in sample) == 20 and len(sample) == 70
+
+
+def long_texts(n, words=400):
+    r = random.Random(5)
+    own = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    return [" ".join(r.choice(own) + r.choice(["", "", "", ".", "\n", " ü"]) for _ in range(words)) for _ in range(n)] + ["", None, "a", "x" * 3000]
+
+
+def test_windows_by_portions_are_those_of_all_texts(monkeypatch):
+    texts = long_texts(60)
+    whole = toxicity.windows_of(texts)
+    monkeypatch.setattr(toxicity, "BLOCK", 5000)
+    for a, b in zip(toxicity.all_windows(texts), whole):
+        assert a.tolist() == b.tolist()
+    for none in ([], [""], [None, "?"]):
+        assert [x.tolist() for x in toxicity.all_windows(none)] == [[], [], [], []]
+
+
+def test_training_holds_little_more_than_the_windows():
+    import tracemalloc
+
+    texts = long_texts(1200)
+    label = np.arange(len(texts)) % 3 == 0
+    tracemalloc.start()
+    try:
+        sample = toxicity._Sample([t or "" for t in texts], label.astype(int))
+        a_window = tracemalloc.get_traced_memory()[1] / len(sample.starts)
+    finally:
+        tracemalloc.stop()
+    hashes = {}
+    for k, (s, e) in enumerate(zip(sample.starts.tolist(), sample.ends.tolist())):
+        hashes.setdefault(sample.codes[s:e].tobytes(), []).append(k)
+    assert len(sample.first) == len(hashes) and sorted(sample.first.tolist()) == [own[0] for own in hashes.values()]
+    assert all(len(set(sample.kind[own].tolist())) == 1 for own in hashes.values())
+    assert a_window < 80, a_window
