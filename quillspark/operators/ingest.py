@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 
 from quillspark.functions import frontmatter as fm
 from quillspark.functions.text import normalize_name
+from quillspark.sources.shared import stashed
 
 # Fixed values: (longest name, distance) at which names count as one.
 NEAR = ((8, 1), (12, 2))
@@ -86,10 +87,12 @@ def name_matches(new: DataFrame, known: DataFrame) -> DataFrame:
 
     Names are similar when, normalised, they are equal, one holds the other, or few edits lie
     between. Candidates share a key: the name, a window of the other's length, or what is left
-    after deleting as many characters as edits are allowed, in both; each is then verified.
+    after deleting as many characters as edits are allowed, in both; each is then verified. Each
+    different name meets others once, and stands for the first known one of that name.
     """
-    a = new.select("id", "name", normalize_name(F.col("name")).alias("na")).distinct()
-    b = known.select("known_id", "known_name", "ord", normalize_name(F.col("known_name")).alias("nb"))
+    own = stashed(new.select("id", normalize_name(F.col("name")).alias("na")).where("na IS NOT NULL"))
+    a = stashed(own.select(F.col("na").alias("id"), "na").distinct())
+    b = stashed(known.groupBy(normalize_name(F.col("known_name")).alias("nb")).agg(F.min(F.struct("ord", "known_id")).alias("f")).select("f.known_id", "f.ord", "nb"))
     pairs = [a.join(b, a["na"] == b["nb"]).select("id", "known_id", "ord"), contained(a, b)]
     most = max(n for n, _ in NEAR)
     for longest, edits in NEAR:
@@ -98,8 +101,9 @@ def name_matches(new: DataFrame, known: DataFrame) -> DataFrame:
         near = left.join(right, "key").where(F.levenshtein("na", "nb") <= edits)
         pairs.append(near.select("id", "known_id", "ord"))
     assert most <= 12
-    every = reduce(DataFrame.unionByName, pairs)
-    return every.groupBy("id").agg(F.min(F.struct("ord", "known_id")).alias("b")).select("id", F.col("b.known_id").alias("known_id"))
+    first = lambda df: df.groupBy("id").agg(F.min(F.struct("ord", "known_id")).alias("f")).select("id", "f.ord", "f.known_id")
+    best = first(reduce(DataFrame.unionByName, pairs)).withColumnRenamed("id", "na")
+    return first(own.join(best, "na")).select("id", "known_id")
 
 
 _OPEN = re.compile(r"^\s*---\s*FILE\s*:\s*(.*?)\s*---\s*$", re.I)
