@@ -96,8 +96,8 @@ def name_matches(new: DataFrame, known: DataFrame) -> DataFrame:
     pairs = [a.join(b, a["na"] == b["nb"]).select("id", "known_id", "ord"), contained(a, b)]
     most = max(n for n, _ in NEAR)
     for longest, edits in NEAR:
-        left = a.where(F.length("na") <= longest).select("id", "na", F.explode(_deletions(F.col("na"), edits)).alias("key"))
-        right = b.where(F.length("nb") <= longest).select("known_id", "nb", "ord", F.explode(_deletions(F.col("nb"), edits)).alias("key"))
+        left = a.where(F.length("na") <= longest).select("id", "na", F.explode(_deletions(F.col("na"), edits)).alias("key")).repartition("key")  # stored names are few bytes, their keys many
+        right = b.where(F.length("nb") <= longest).select("known_id", "nb", "ord", F.explode(_deletions(F.col("nb"), edits)).alias("key")).repartition("key")
         near = left.join(right, "key").where(F.levenshtein("na", "nb") <= edits)
         pairs.append(near.select("id", "known_id", "ord"))
     assert most <= 12
